@@ -28,6 +28,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnlight.llm.shared import once
+
 SHINGLE = 5
 CONTAINMENT = 0.8
 BLOCK = 4
@@ -71,10 +73,13 @@ def _minima(names: Column, mask: int) -> Column:
     return F.transform(starts, least)
 
 
-def _bands(names: Column, mask: int, number: int) -> Column:
-    """Band keys of all windows: the minimum over each block and its right neighbour."""
-    minima = _minima(names, mask)
-    return F.transform(F.arrays_zip(minima.alias("a"), F.slice(minima, 2, 1 << 30).alias("b")), lambda x: F.xxhash64(F.least(x.a, x.b), F.lit(number)))
+def _bands(minima: Column) -> Column:
+    """Band keys of all windows: the minimum over each block and its right neighbour, by permutation."""
+
+    def windows(row: Column, number: Column) -> Column:
+        return F.zip_with(row, F.slice(row, 2, 1 << 30), lambda a, b: F.xxhash64(F.least(a, b), number))
+
+    return F.flatten(F.transform(minima, windows))
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "doc_id", text: str = "text", containment: float = CONTAINMENT, shingle: int = SHINGLE) -> DataFrame:
@@ -84,20 +89,22 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, key:
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
     parts = {name: template_shingles(t, shingle) for name, t in templates.items()}
     parts = {name: s for name, s in parts.items() if s}
-    out = docs.select(F.col(key).alias("key"), F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+"), lambda w: w != "").alias("words"))
+    out = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    out = once(out, "words", F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")).drop("text")
     if not parts:
         return out.select(F.col("key").alias(key), F.lit("").alias("license_id"), F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("n_found"), F.lit(0.0).alias("containment")).limit(0)
     keys = _template_bands(docs, parts)
     short = {name for name, s in parts.items() if len(s) < SHORT}
     tiny = [name for name, s in parts.items() if len(s[0].split(" ")) < shingle]
-    out = out.withColumn("names", F.transform(_shingles(F.col("words"), shingle), lambda s: F.xxhash64(s)))
-    out = out.withColumn("bands", F.flatten(F.array(*[_bands(F.col("names"), m, i) for i, m in enumerate(MASKS)])))
+    out = once(out, "names", F.transform(_shingles(F.col("words"), shingle), lambda s: F.xxhash64(s)))
+    out = once(out, "minima", F.array(*[_minima(F.col("names"), m) for m in MASKS]))
+    out = once(out, "bands", _bands(F.col("minima"))).drop("minima")
     all_short = F.lit(sorted({k for n in short for k in keys[n]})).cast("array<bigint>")
     all_long = F.lit(sorted({k for n in parts if n not in short for k in keys[n]})).cast("array<bigint>")
     met = F.arrays_overlap("names", all_short) | F.arrays_overlap("bands", all_long)
     for name in tiny:  # shorter than one shingle: retrieved by their words
         met = met | F.array_contains("words", parts[name][0].split(" ")[0])
-    out = out.filter(met).select("key", "names", "bands", "words", _shingles(F.col("words"), shingle).alias("shingles"))
+    out = once(out.filter(met), "shingles", _shingles(F.col("words"), shingle))
     found = []
     for name, shingles in parts.items():
         distinct = sorted(set(shingles))

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnlight.llm.shared import once
+
 RATIO = 0.1
 MIN_PAGES = 20
 BLANKS = " \t\r\x0b\x0c"
@@ -61,10 +63,11 @@ def line_dedup(pages: DataFrame, host: str = "source", text: str = "text", ratio
     """
     bad = boilerplate(pages, host, text, ratio, min_pages).groupBy("_host", "_none").agg(F.collect_list("_line").alias("_bad"))
     keyed = pages.withColumns({"_host": F.coalesce(F.col(host).cast("string"), F.lit("")), "_none": F.col(host).isNull()})
-    found = keyed.join(bad, ["_host", "_none"], "left").withColumn("_bad", F.array_intersect(_names(F.col(text)), F.coalesce("_bad", F.expr("array(cast(null as bigint))"))))
+    found = keyed.join(bad, ["_host", "_none"], "left")
+    found = once(found, "_mine", F.when(F.col("_bad").isNotNull(), F.array_intersect(_names(F.col(text)), F.col("_bad"))))
     lines = _lines(F.col(text))
-    kept = F.filter(lines, lambda x: (F.btrim(x, F.lit(BLANKS)) == "") | ~F.array_contains(F.col("_bad"), _name(x)))
-    some = F.size("_bad") > 0
+    kept = F.filter(lines, lambda x: (F.btrim(x, F.lit(BLANKS)) == "") | ~F.array_contains(F.col("_mine"), _name(x)))
+    some = F.coalesce(F.size("_mine") > 0, F.lit(False))
     done = found.withColumn("_kept", F.when(some, kept)).withColumns({
         "_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long"),
         "_dropped": F.when(some, F.size(lines) - F.size("_kept")).otherwise(0).cast("long"),

@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -86,6 +86,15 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row.
+
+    A one-element explode is a barrier: an alias in a projection would be copied by the
+    optimizer into each of its uses, and computed again for every element of a lambda.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The cells of a string or binary Arrow column as bytes, without decoding them."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else pa.binary()
@@ -125,8 +134,3 @@ def pair_name(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         x *= _C
         x ^= x >> np.uint64(29)
     return x
-
-
-def text_key(columns: list[str]) -> F.Column:
-    """A key of 128 bits for equal values."""
-    return F.md5(F.concat_ws("\x00", *[F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in columns]))
