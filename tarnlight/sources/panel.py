@@ -44,7 +44,7 @@ def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("cents") / F.lit(100.0)
     return panel.select(
         "effective_date", F.col("effective_date").alias("available_at"), "currency", F.concat(F.lit("R"), F.lpad(F.col("r_regionkey").cast("string"), 5, "0")).alias("cbr_id"),
-        nominal.alias("nominal"), (price * nominal).alias("value_rub"), price.alias("rub_per_unit"), F.try_divide(F.lit(1.0), price).alias("recipient_per_rub"),
+        nominal.alias("nominal"), (F.col("cents") * nominal / F.lit(100.0)).alias("value_rub"), price.alias("rub_per_unit"), F.try_divide(F.lit(1.0), price).alias("recipient_per_rub"),
         F.lit(True).alias("is_fresh"), F.lit("orders").alias("source"), "cents",
     )
 
