@@ -60,7 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    tables = StepTables(spark, "pipeline")
+    tables = StepTables(docs, "pipeline")
     before = None
     for _, stage in STAGES:
         docs, path = tables.write(stage(spark, docs, sf_dir))

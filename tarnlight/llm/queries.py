@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlight.llm import bpe, decontaminate, jaccard, language, license_scan, line_dedup, media, substring_dedup, suffix_dedup, warc
@@ -40,7 +40,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    archives = StepTables(spark, "warc").keep(warc.write_archives(warc.plan_records(pages)))
+    archives = StepTables(pages, "warc").keep(warc.write_archives(warc.plan_records(pages)))
     read = warc.read_archives(archives, pages.schema["page_id"].dataType)
     return read.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -49,7 +49,7 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
 
 
-def held_out(key: str = "doc_id") -> F.Column:
+def held_out(key: str = "doc_id") -> Column:
     """The fold that is never learned from."""
     return F.crc32(F.col(key).cast("string")) % 5 == 0
 

@@ -49,16 +49,26 @@ def _delete_at_exit(spark: SparkSession, path: str) -> None:
         pass
 
 
+def file_count(source: DataFrame) -> int:
+    """Files for a table derived from ``source``: by its estimated size, at least two a core."""
+    spark = source.sparkSession
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    return min(max(2 * spark.sparkContext.defaultParallelism, -(-size // split)), 1 << 30)
+
+
 class StepTables:
     """Tables written between the steps of one operator, in the shared folder.
 
     A written table cuts the lineage: a lost executor costs the tasks of one step,
     never a recomputation of all steps before it.  Shuffle files of a step are removed
-    once its table is written.
+    once its table is written.  Tables have as many files as the operator's input has
+    splits at most, however many shuffle partitions there are.
     """
 
-    def __init__(self, spark: SparkSession, operator: str):
-        self.spark = spark
+    def __init__(self, source: DataFrame, operator: str):
+        self.spark = spark = source.sparkSession
+        self.parts = file_count(source)
         self.root = f"{shared_dir(spark)}/tarnlight/{operator}-{uuid.uuid4().hex}"
         self.count = 0
         atexit.register(_delete_at_exit, spark, self.root)
@@ -69,7 +79,7 @@ class StepTables:
         before = self.spark.conf.get(SHUFFLE_CLEANUP, "false")
         self.spark.conf.set(SHUFFLE_CLEANUP, "true")
         try:
-            df.write.mode("overwrite").parquet(path)
+            df.coalesce(self.parts).write.mode("overwrite").parquet(path)
         finally:
             self.spark.conf.set(SHUFFLE_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path), path

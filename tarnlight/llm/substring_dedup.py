@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tarnlight.llm.jaccard import word_names
 from tarnlight.llm.repeats import LATER, SHARED, by_document, covered, in_several, int_docs, later, later_rows, map_batches, member, names_of, shared_rows
-from tarnlight.llm.shared import StepTables, pair_name, utf8
+from tarnlight.llm.shared import StepTables, file_count, pair_name, utf8
 
 WINDOW = 50
 PERIOD = 31
@@ -108,7 +108,7 @@ def _window_rows(docs: np.ndarray, texts: list[bytes], batch: pa.RecordBatch) ->
 
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """(key, n_words, n_removed, kept): a row for each row of ``docs``; ``kept`` joins the words by one space; with ``digest``, ``kept_sha256`` instead."""
-    tables = StepTables(docs.sparkSession, "substring-dedup")
+    tables = StepTables(docs, "substring-dedup")
     own = int_docs(docs, key, text)
     shared = tables.keep(by_document(in_several(own.mapInArrow(map_batches(_anchor_rows), SHARED))))
     repeated = tables.keep(by_document(later(own.join(shared, "doc").select("doc", "text", "names").mapInArrow(map_batches(_window_rows), LATER))))
@@ -134,7 +134,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", di
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "n_words", "n_removed", last[0]])
 
-    out = joined.mapInArrow(run, f"id {kind}, n_words bigint, n_removed bigint, {last[0]} string")
+    out = joined.coalesce(file_count(docs)).mapInArrow(run, f"id {kind}, n_words bigint, n_removed bigint, {last[0]} string")
     return out.withColumnRenamed("id", key)
 
 

@@ -2,16 +2,16 @@
 
 Removes each byte that a string of ``LENGTH`` bytes covers which also starts in a document
 with a smaller number.  Suffix positions are compared by the ranks of their prefixes, at
-growing offsets: 8 bytes, pairs at offset 8 (16 bytes), at 4 (20 bytes, the seeds), at 16
+growing offsets: 8 bytes, pairs at offset 8 (16 bytes), at 8 (24 bytes, the seeds), at 16
 (32 bytes), and at 18 (50 bytes, past the threshold).  A rank is the 64-bit name of a pair of ranks instead of its
 place in the sorted order, so pairing needs no shuffle and only reranking does: Spark
 sorts (rank, document) rows and keeps the positions whose rank is not unique.
 
 Two reranks suffice because positions are taken in groups.  Each start of 50 bytes belongs
-to the 20-byte prefix of least rank among those inside the 50 bytes, so equal strings
+to the 24-byte prefix of least rank among those inside the 50 bytes, so equal strings
 belong to equal prefixes wherever they stand, and the starts of one prefix are one row:
 
-* Rerank 1 sorts (20-byte rank, rank of the whole stretch of its starts, document).  A
+* Rerank 1 sorts (24-byte rank, rank of the whole stretch of its starts, document).  A
   stretch that also stands in a smaller document is decided: all its starts are repeats.
   A prefix that stands in one document only, or in one kind of stretch only, is unique or
   decided, and is dropped.
@@ -34,11 +34,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlight.llm.repeats import LATER, by_document, closed_key, covered, int_docs, later, later_rows, map_batches, member, names_of
-from tarnlight.llm.shared import StepTables, pair_name, utf8
+from tarnlight.llm.shared import StepTables, file_count, pair_name, utf8
 
 LENGTH = 50
 PIECE = 256 << 10
-SEED = 20
+SEED = 24
 
 
 def _bytes8(text: bytes) -> np.ndarray:
@@ -51,10 +51,10 @@ def _bytes8(text: bytes) -> np.ndarray:
 
 
 def ranks(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of the 20-byte and 32-byte prefixes at each position that has them."""
+    """Ranks of the 24-byte and 32-byte prefixes at each position that has them."""
     r8 = _bytes8(text)
     r16 = pair_name(r8[:-8], r8[8:])
-    return pair_name(r16[:-4], r16[4:]), pair_name(r16[:-16], r16[16:])
+    return pair_name(r16[:-8], r16[8:]), pair_name(r16[:-16], r16[16:])
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -72,10 +72,10 @@ def stretches(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
     A stretch holds ``LENGTH`` starts at most, so its first and last 50 bytes cover all its bytes.
     """
-    r20, r32 = ranks(text)
+    r24, r32 = ranks(text)
     starts = len(text) - LENGTH + 1
     left, right = r32[:starts], r32[LENGTH - 32 : LENGTH - 32 + starts]
-    seed = _least(r20, LENGTH - SEED + 1)
+    seed = _least(r24, LENGTH - SEED + 1)
     new = np.r_[True, seed[1:] != seed[:-1]]
     begin = np.flatnonzero(new)
     if len(begin) < starts:
@@ -155,7 +155,7 @@ def _start_rows(docs: np.ndarray, texts: list[bytes], batch: pa.RecordBatch) ->
 
 def repeat_marks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, stretches, starts): each document's decided stretches and repeated 50-byte ranks."""
-    tables = StepTables(docs.sparkSession, "suffix-dedup")
+    tables = StepTables(docs, "suffix-dedup")
     own = int_docs(docs, key, text)
     ranked = rerank_stretches(own.mapInArrow(map_batches(_stretch_rows), STRETCHES))
     ranked = tables.keep(ranked)
@@ -206,7 +206,7 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", diges
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), last[1]))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "n_bytes", "n_removed", "n_spans", last[0]])
 
-    out = joined.mapInArrow(run, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, {last[0]} {'string' if digest else 'binary'}")
+    out = joined.coalesce(file_count(docs)).mapInArrow(run, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, {last[0]} {'string' if digest else 'binary'}")
     return out.withColumnRenamed("id", key)
 
 
