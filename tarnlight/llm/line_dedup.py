@@ -12,7 +12,8 @@ Rows are pages: repeated rows count as often as they occur.  Other columns pass
 Scale: only (host, 64-bit line name) pairs are shuffled, summed on the map side first, so
 a common line of a hot host is one row a task.  A host's boilerplate holds fewer than
 (mean lines a page) / ratio names, whatever the size of the corpus; it joins the pages as
-one small array a host, and Spark splits a hot host's pages where that join shuffles.
+one small array a host: by broadcast if the written table is below Spark's threshold, else by a
+shuffle in which Spark splits a hot host's pages.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlight.llm.shared import once
+from tarnlight.llm.shared import StepTables, once
 
 RATIO = 0.1
 MIN_PAGES = 20
@@ -62,6 +63,8 @@ def line_dedup(pages: DataFrame, host: str = "source", text: str = "text", ratio
     The input's columns stay as they are; names with a leading underscore belong to the operator.
     """
     bad = boilerplate(pages, host, text, ratio, min_pages).groupBy("_host", "_none").agg(F.collect_list("_line").alias("_bad"))
+    # As a written table its size is known, so Spark broadcasts it below its threshold and shuffles pages only above.
+    bad = StepTables(pages, "line-dedup").keep(bad)
     keyed = pages.withColumns({"_host": F.coalesce(F.col(host).cast("string"), F.lit("")), "_none": F.col(host).isNull()})
     found = keyed.join(bad, ["_host", "_none"], "left")
     found = once(found, "_mine", F.when(F.col("_bad").isNotNull(), F.array_intersect(_names(F.col(text)), F.col("_bad"))))
