@@ -2,16 +2,20 @@
 
 A document's set holds its distinct shingles of ``shingle`` words (ASCII white space
 divides words, A-Z are lower-cased).  Two sets A and B link when
-``den * |A & B| >= num * |A | B|``.
-
-1. *Order.*  A fixed-size count sketch of all shingles puts them in one global order, rare
-   before common.  Two sets that link share at least ``need = ceil(num/den * max(|A|, |B|))``
-   shingles, hence at least k of the first ``n - ceil(num * n / den) + k`` of each.
+``den * |A & B| >= num * |A | B|``.  Documents with equal sets are one node throughout, so
+copies never multiply.
+
+1. *Order.*  All shingles stand in one global order: first those whose name falls in a fixed
+   share of all names, rare before common by their exact counts, then the rest.  Only the
+   fixed share is counted (a small set adds what its prefix needs of the rest).  Two sets
+   that link share at least ``need = ceil(num/den * max(|A|, |B|))`` shingles, hence at least
+   k of the first ``n - ceil(num * n / den) + k`` of each.  Shingles of one set only fill
+   prefixes first and match nothing, so most documents have no keys at all.
 2. *Light sets*, of at most ``x`` shingles, enumerate all subsets of the fixed size 2 of
    their prefix for k = 2: two light sets that link share a subset.
 3. *Heavy sets*, above ``x``, and sets large enough to link with one, are entered in the
    inverted lists of their prefix shingles (k = 1), which are scanned.  ``x`` is where the
-   cost of subsets and list entries, from the counts of set sizes, is least.
+   cost of subsets below and of scanned list entries above, summed over all sets, is least.
 4. Sets that share a subset or list fall into one candidate group (components of the keys).
    Each group's sets are fetched once and every pair in a group is decided exactly, by
    scanning the group's own inverted lists.  A group of more than ``GROUP`` sets is cut into
@@ -20,13 +24,11 @@ divides words, A-Z are lower-cased).  Two sets A and B link when
    fewer than its sets.
 5. Components of the links give each document's class.
 
-Equal sets are one set from the start, so copies never multiply.
-
 Defined results: null, empty and white-space texts have the empty set and link with
-nothing; a text of fewer words than ``shingle`` has one shingle of all its words; documents
-that repeat an id are one node whose links are those of all its rows (a row each in the
-result); a null id is a node named null that is never linked; other columns are not read.
-Shingles are compared by 64-bit names.
+nothing; a text of fewer words than ``shingle`` has one shingle of all its words; rows that
+repeat an id are one node whose links are those of all its rows, with a row each in the
+result; a null id is never linked and its component is null; other columns are not read.
+Shingles and sets are compared by 64-bit names.
 """
 
 from __future__ import annotations
@@ -35,15 +37,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tarnlight.llm.components import components
-from tarnlight.llm.shared import StepTables, batches, pair_name, utf8, width
+from tarnlight.llm.shared import StepTables, pair_name, utf8, width
 
-SKETCH_BITS = 20
-SLICES = 16
 GROUP = 4_096
 SIZES = 4_096
 
@@ -69,121 +68,125 @@ def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     return np.unique(out)
 
 
-def _set_name(names: np.ndarray) -> bytes:
-    from xxhash import xxh3_128_digest
-
-    return xxh3_128_digest(names.tobytes())
-
-
 def required(n: int | np.ndarray, num: int, den: int):
     """Shingles that a set of n shares at least with any set that it links with."""
     return -(-num * n // den)
 
 
-# --- step 1: distinct sets and the sketch ------------------------------------
+# --- step 1: sets, and the shingles that may stand in prefixes -------------------
 
 
-def _sets_and_counts(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
-    """Rows (doc, n, set name), and from each task its counts in slices (doc null, n = slice)."""
-    schema = T.StructType([T.StructField("doc", docs.schema["doc"].dataType), T.StructField("n", T.LongType()), T.StructField("name", T.BinaryType()), T.StructField("counts", T.BinaryType())])
-    slices = min(SLICES, 1 << bits)
+def counted_share(num: int, den: int) -> float:
+    """The share of names that is counted: twice what a prefix needs."""
+    return min(1.0, 2 * (den - num) / den)
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.int32)
-        kind = None
-        for batch in source:
-            kind, held, sizes, names = batch.column(0).type, [], [], []
-            for cell in utf8(batch.column(1)):
-                s = shingle_set(cell, shingle)
-                sizes.append(len(s))
-                names.append(_set_name(s) if len(s) else None)
-                held.append(s)
-            every = np.concatenate(held) if held else np.empty(0, np.uint64)
-            counts += np.bincount((every >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.nulls(len(sizes), pa.binary())], names=["doc", "n", "name", "counts"])
-        if kind is not None and counts.any():
-            parts = [x.tobytes() for x in np.split(counts, slices)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(slices, kind), pa.array(range(slices), pa.int64()), pa.nulls(slices, pa.binary()), pa.array(parts, pa.binary())], names=["doc", "n", "name", "counts"])
-
-    return docs.mapInArrow(run, schema)
-
-
-def _sketch(rows: DataFrame, bits: int) -> np.ndarray:
-    """The sum of the tasks' counts: ``2 ** bits`` numbers, whatever the input."""
-
-    def add(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in source:
-            for k, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(cell, np.int32).astype(np.int64)
-                total[k] = total[k] + part if k in total else part
-        yield from batches(((k, v.tobytes()) for k, v in total.items()), pa.schema([("n", pa.int64()), ("counts", pa.binary())]))
 
-    slices = min(SLICES, 1 << bits)
-    summed = rows.filter("counts IS NOT NULL").select("n", "counts").repartition(slices, "n").mapInArrow(add, "n bigint, counts binary")
-    out = np.zeros(1 << bits, np.int64)
-    for r in summed.collect():
-        at = r["n"] * ((1 << bits) // slices)
-        part = np.frombuffer(bytes(r["counts"]), np.int64)
-        out[at : at + len(part)] = part
-    return out
+def head_of(names: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
+    """(names that may stand in the prefix, how many of them are counted ones) of a sorted set.
 
+    Counted names are the smallest; a set with too few of them adds the next smallest.
+    """
+    n = len(names)
+    counted = int(np.searchsorted(names, np.uint64(min(counted_share(num, den) * 2.0**64, 2.0**64 - 2048))))
+    longest = min(n, n - int(required(n, num, den)) + 2)
+    return names[: max(counted, longest)], counted
 
-# --- step 2: the boundary and the keys ----------------------------------------
 
+TOKENS = "doc {kind}, sid bigint, n bigint, m int, token bigint, place int"
 
-def light_limit(sizes: dict[int, int], mean_list: float, num: int, den: int) -> int:
-    """The largest light size: where subsets for the sizes below and list entries above cost least.
 
-    A light set of n costs one row a subset.  A heavy one costs one entry a prefix shingle,
-    and scanning as many entries as such a list holds on average.
+def _tokens(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """A row (doc, sid, n, m) for each document and a row (sid, token, place) for each name in its head.
+
+    ``sid`` names the set, ``m`` counts the counted names; ``place`` is -1 for those, else the
+    place among the added ones.
     """
-    at, cost = 0, 0.0
-    heavy = {n: c * (n - required(n, num, den) + 1) * (1 + mean_list) for n, c in sizes.items()}
-    best = rest = sum(heavy.values())
-    for n in sorted(sizes):
-        p = min(n - required(n, num, den) + 2, n)
-        cost += sizes[n] * (p * (p - 1) / 2 if n > 1 else 1)
-        rest -= heavy[n]
-        if cost + rest < best:
-            best, at = cost + rest, n
-    return at
+    from xxhash import xxh3_64_intdigest
+
+    names = ("doc", "sid", "n", "m", "token", "place")
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            cells = utf8(batch.column(1))
+            kind = batch.column(0).type
+            for at in range(0, len(cells), 512):
+                own = batch.column(0).slice(at, 512)
+                sids, sizes, counted, heads = [], [], [], []
+                for cell in cells[at : at + 512]:
+                    found = shingle_set(cell, shingle)
+                    head, m = head_of(found, num, den)
+                    sids.append(xxh3_64_intdigest(found.tobytes()))
+                    sizes.append(len(found))
+                    counted.append(m)
+                    heads.append(head if len(found) > 1 else head[:0])  # one shingle links with its equals only
+                sid = np.array(sids, np.uint64).view(np.int64)
+                count = len(own)
+                yield pa.RecordBatch.from_arrays([own, pa.array(sid), pa.array(sizes, pa.int64()), pa.array(counted, pa.int32()), pa.nulls(count, pa.int64()), pa.nulls(count, pa.int32())], names=names)
+                some = own.is_valid().to_numpy(zero_copy_only=False)
+                heads = [h if ok else h[:0] for h, ok in zip(heads, some)]
+                lengths = [len(h) for h in heads]
+                total = sum(lengths)
+                if total:
+                    place = np.concatenate([np.maximum(np.arange(k) - m, -1) for k, m in zip(lengths, counted)]).astype(np.int32)
+                    columns = [pa.nulls(total, kind), pa.array(np.repeat(sid, lengths)), pa.nulls(total, pa.int64()), pa.nulls(total, pa.int32()), pa.array(np.concatenate(heads).view(np.int64)), pa.array(place)]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.mapInArrow(run, TOKENS.format(kind=docs.schema["doc"].dataType.simpleString()))
+
+
+def _heads(tokens: DataFrame, nodes: DataFrame, tables: StepTables, num: int, den: int) -> DataFrame:
+    """(sid, n, pairs, singles): the shared names in each set's prefixes for k = 2 and k = 1, in the global order.
+
+    Counts are summed on the map side before they meet; a name that very many sets share is
+    joined by a key that Spark may split, and no group is ever held by name.
+    """
+    shared = tables.keep(tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("token", "df"))
+    cell = F.struct("place", F.when(F.col("place") < 0, F.col("df")).otherwise(0).alias("rank"), "token", "df")
+    cells = tokens.join(shared, "token").select("sid", cell.alias("cell")).groupBy("sid").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
+    out = cells.join(nodes.groupBy("sid").agg(F.first("n").alias("n"), F.first("m").alias("m")), "sid")
+    counted = F.filter("cells", lambda x: x.place < 0)
+    out = out.withColumns({"counted": counted, "added": F.filter("cells", lambda x: x.place >= 0)})
+    alone = F.col("m") - F.size("counted")  # names of this set only
+    base = F.col("n") - F.ceil(F.col("n") * num / F.lit(den)).cast("int")
 
+    def prefix(k: int) -> Column:
+        length = F.least(base + k, F.col("n")).cast("int")
+        return F.concat(F.slice("counted", F.lit(1), F.greatest(length - alone, F.lit(0)).cast("int")), F.filter("added", lambda x: x.place < length - F.col("m")))
 
-def set_keys(names: np.ndarray, rank: np.ndarray, bits: int, limit: int, num: int, den: int) -> np.ndarray:
-    """Keys of one set: subsets of size 2 if it is light, inverted lists if it may meet a heavy set."""
-    n = len(names)  # above a threshold of 1/2, a set of one shingle links with none but its equals
-    need = int(required(n, num, den))
-    order = np.argsort(rank[(names >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")
-    keys = []
-    if n <= limit and n > 1:
-        head = np.sort(names[order[: min(n, n - need + 2)]])
-        i, j = np.triu_indices(len(head), 1)
-        keys.append(pair_name(head[i], head[j]))
-    if n > 1 and n * den >= num * (limit + 1):
-        keys.append(pair_name(names[order[: n - need + 1]], np.uint64(0)))
-    return np.concatenate(keys) if keys else np.empty(0, np.uint64)
+    return tables.keep(out.select("sid", "n", prefix(2).alias("pairs"), prefix(1).alias("singles")))
 
 
-def _keys(docs: DataFrame, sketch, shingle: int, bits: int, limit: int, num: int, den: int) -> DataFrame:
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("node", docs.schema["doc"].dataType), T.StructField("n", T.LongType())])
+# --- step 2: the boundary and the keys ----------------------------------------
+
+
+def light_limit(costs: list[tuple[int, float, float]]) -> int:
+    """The largest light size, from (size, cost as light, cost as heavy): where light costs below and heavy costs above are least."""
+    at, below, above = 0, 0.0, sum(h for _, _, h in costs)
+    best = above
+    for size, light, heavy in sorted(costs):
+        below, above = below + light, above - heavy
+        if below + above <= best:
+            best, at = below + above, size
+    return at
+
+
+def _costs(heads: DataFrame) -> list[tuple[int, float, float]]:
+    """Subsets of, and list entries scanned for, the sets of each size; sizes above ``SIZES`` are one."""
+    subsets = F.size("pairs") * (F.size("pairs") - 1) / 2
+    scanned = F.aggregate("singles", F.lit(0).cast("double"), lambda a, x: a + x.df)
+    rows = heads.groupBy(F.least("n", F.lit(SIZES)).alias("n")).agg(F.sum(subsets).alias("l"), F.sum(scanned).alias("h")).collect()
+    return [(r["n"], r["l"], r["h"]) for r in rows]
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = sketch.value
-        for batch in source:
-            cells, own = utf8(batch.column(1)), batch.column(0)
-            for at in range(0, len(cells), 256):
-                keys, lengths, sizes = [], [], []
-                for cell in cells[at : at + 256]:
-                    s = shingle_set(cell, shingle)
-                    k = set_keys(s, rank, bits, limit, num, den) if len(s) else np.empty(0, np.uint64)
-                    keys.append(k)
-                    lengths.append(len(k))
-                    sizes.append(len(s))
-                take = pa.array(np.repeat(np.arange(len(lengths)), lengths))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), own.slice(at, 256).take(take), pa.array(np.repeat(np.array(sizes, np.int64), lengths))], names=["key", "node", "n"])
 
-    return docs.mapInArrow(run, schema)
+def _keys(heads: DataFrame, limit: int, num: int, den: int) -> DataFrame:
+    """(key, sid): subsets of light sets, list entries of sets that may meet a heavy one."""
+    places = F.sequence(F.lit(0), F.size("pairs") - 1)
+    two = F.flatten(F.transform(F.when(F.size("pairs") > 1, places), lambda i: F.transform(F.slice("pairs", i + 2, F.size("pairs")), lambda y: F.xxhash64(F.get("pairs", i).token, y.token))))
+    one = F.transform("singles", lambda x: F.xxhash64(x.token))
+    none = F.expr("cast(array() as array<bigint>)")
+    light = F.when((F.col("n") <= limit) & (F.size("pairs") > 1), two)
+    heavy = F.when(F.col("n") * den >= num * (limit + 1), one)
+    return heads.select("sid", F.explode(F.concat(F.coalesce(light, none), F.coalesce(heavy, none))).alias("key"))
 
 
 # --- step 4: exact decision within a candidate group --------------------------
@@ -232,18 +235,17 @@ def group_links(sets: list[np.ndarray], num: int, den: int, split: int | None =
 
 
 def _group_tasks(members: DataFrame, group_size: int) -> DataFrame:
-    """(group, left, right, node, block): a row for each task that a set takes part in."""
+    """(group, left, right, block, sid): a row for each task that a set takes part in."""
     sizes = members.groupBy("group").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     blocks = F.ceil(F.greatest(F.col("m") / group_size, F.col("total") / (group_size * 512))).cast("int")
     out = members.join(sizes, "group").withColumn("blocks", blocks)
-    out = out.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    return out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("group", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "node")
+    out = out.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    return out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("group", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "sid")
 
 
 def _decide(tasks: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) of each task; tasks arrive sorted and are read as runs."""
-    node = tasks.schema["node"].dataType
-    schema = T.StructType([T.StructField("a", node), T.StructField("b", node)])
+    schema = "a bigint, b bigint"
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -273,19 +275,21 @@ def _decide(tasks: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _with_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc, set) of documents: the sorted names, packed."""
-    schema = T.StructType([T.StructField("node", docs.schema["doc"].dataType), T.StructField("set", T.BinaryType())])
+    """(sid, set) of documents: the name of each set, and its sorted names, packed."""
+    from xxhash import xxh3_64_intdigest
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             cells = utf8(batch.column(1))
             for at in range(0, len(cells), 512):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), pa.array([shingle_set(c, shingle).tobytes() for c in cells[at : at + 512]], pa.binary())], names=["node", "set"])
+                packed = [shingle_set(c, shingle).tobytes() for c in cells[at : at + 512]]
+                sid = np.array([xxh3_64_intdigest(x) for x in packed], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(packed, pa.binary())], names=["sid", "set"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, "sid bigint, set binary")
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, num: int = 8, den: int = 10, sketch_bits: int = SKETCH_BITS, group_size: int = GROUP, limit: int | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, num: int = 8, den: int = 10, group_size: int = GROUP, limit: int | None = None) -> DataFrame:
     """(key, n_shingles, component_id): a row for each row of ``docs``.
 
     ``component_id`` is the smallest key reachable by links.  ``limit`` fixes the light
@@ -293,48 +297,36 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     if not den < 2 * num <= 2 * den:
         raise ValueError("the threshold must be above 1/2 and at most 1")
-    spark = docs.sparkSession
-    tables = StepTables(spark, "jaccard")
     own = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    rows, rows_path = tables.write(_sets_and_counts(own, shingle, sketch_bits))
-    counts = _sketch(rows, sketch_bits)
-    nodes = tables.keep(rows.filter("counts IS NULL").select("doc", "n", "name"))
-    tables.drop(rows_path)
-
-    # One representative for each set: the smallest document that has it.
+    tables = StepTables(own, "jaccard")
+    rows, rows_path = tables.write(_tokens(own, shingle, num, den))
+    nodes = tables.keep(rows.filter("token IS NULL").select("doc", "n", "sid", "m"))
     real = nodes.filter("n > 0 AND doc IS NOT NULL")
-    reps = tables.keep(real.groupBy("name").agg(F.min("doc").alias("rep"), F.first("n").alias("n")))
-    binned = reps.groupBy(F.least("n", F.lit(SIZES)).alias("n")).agg(F.count("*").alias("c")).collect()
+    heads = _heads(rows.filter("token IS NOT NULL").select("sid", "token", "place"), real, tables, num, den)
+    tables.drop(rows_path)
     if limit is None:
-        # How much longer a shingle's list is than chance makes a sketch cell's count.
-        total = float(counts.sum())
-        mean_list = max(0.0, float((counts.astype(float) ** 2).sum()) / total - counts.mean() - 1) if total else 0.0
-        limit = light_limit({r["n"]: r["c"] for r in binned}, mean_list, num, den)
-    # Rank by count, ties by place: one order for all sets.
-    rank = np.empty(len(counts), np.int32)
-    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.int32)
-    sketch = spark.sparkContext.broadcast(rank)
-
-    # Two texts of one set may differ, and an id may repeat; (doc, set name) tells rows apart.
-    keys = _keys(own.filter("doc IS NOT NULL"), sketch, shingle, sketch_bits, limit, num, den)
-    keys, keys_path = tables.write(keys.select("key", "node"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub <> top")
-    meets = tables.keep(keys.join(shared.select("key", "hub"), "key").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    tables.drop(keys_path)
-    groups = tables.keep(components(meets, tables).select("node", F.col("component").alias("group")))
-    # Only representatives take part in the decision.
-    members = groups.join(reps.groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("n")), "node")
-    tasks = _group_tasks(members, group_size)
-    sets = _with_sets(own.withColumnRenamed("doc", "node").join(members.select("node"), "node", "left_semi").withColumnRenamed("node", "doc"), shingle)
-    work = tasks.join(sets, "node").select("group", "left", "right", "block", "node", "set")
-    work = work.repartition(width(spark), "group", "left", "right").sortWithinPartitions("group", "left", "right", F.col("block") != F.col("left"), "node")
+        limit = light_limit(_costs(heads))
+
+    keys = _keys(heads, limit, num, den)
+    met = keys.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("top")).filter("hub <> top").select("key", "hub")
+    meets = tables.keep(keys.join(met, "key").filter("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct())
+    groups = components(meets, tables).select(F.col("node").alias("sid"), F.col("component").alias("group"))
+    members = tables.keep(groups.join(real.groupBy("sid").agg(F.first("n").alias("n"), F.min("doc").alias("doc")), "sid"))
+    sets = _with_sets(own.join(members.select("doc").distinct(), "doc", "left_semi"), shingle).dropDuplicates(["sid"])
+    work = _group_tasks(members, group_size).join(sets, "sid").select("group", "left", "right", "block", "sid", "set")
+    work = work.repartition(width(docs.sparkSession), "group", "left", "right").sortWithinPartitions("group", "left", "right", F.col("block") != F.col("left"), "sid")
     links = tables.keep(_decide(work, num, den))
 
-    # Rows of one id, and of one set, are linked by themselves.
-    same = real.join(reps.select("name", "rep"), "name").filter("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-    classes = components(links.unionByName(same), tables)
-    out = nodes.join(classes, nodes["doc"] == classes["node"], "left")
-    return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+    # Rows of one id tie their sets together.
+    several = real.groupBy("doc").agg(F.min("sid").alias("b"), F.max("sid").alias("top")).filter("b <> top").select("doc", "b")
+    ties = real.join(several, "doc").filter("sid <> b").select(F.col("sid").alias("a"), "b")
+    trees = components(links.unionByName(ties), tables).withColumnRenamed("node", "sid")
+    linked = real.join(trees, "sid", "left").select("sid", "doc", F.coalesce("component", "sid").alias("tree"))
+    least = linked.groupBy("tree").agg(F.min("doc").alias("component_id"))
+    classes = linked.select("sid", "tree").distinct().join(least, "tree").select("sid", "component_id")
+    out = nodes.join(classes, "sid", "left")
+    component = F.when(F.col("doc").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")))
+    return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id")).coalesce(tables.parts)
 
 
 def brute_force(docs: list[tuple], shingle: int = 3, num: int = 90, den: int = 100) -> list[tuple]:
