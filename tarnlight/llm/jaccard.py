@@ -312,7 +312,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     meets = tables.keep(keys.join(met, "key").filter("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct())
     groups = components(meets, tables).select(F.col("node").alias("sid"), F.col("component").alias("group"))
     members = tables.keep(groups.join(real.groupBy("sid").agg(F.first("n").alias("n"), F.min("doc").alias("doc")), "sid"))
-    sets = _with_sets(own.join(members.select("doc").distinct(), "doc", "left_semi"), shingle).dropDuplicates(["sid"])
+    # A sort-merge join at every size: the list of grouped documents grows with the input.
+    sets = _with_sets(own.join(members.select("doc").distinct().hint("merge"), "doc", "left_semi"), shingle).dropDuplicates(["sid"])
     work = _group_tasks(members, group_size).join(sets, "sid").select("group", "left", "right", "block", "sid", "set")
     work = work.repartition(width(docs.sparkSession), "group", "left", "right").sortWithinPartitions("group", "left", "right", F.col("block") != F.col("left"), "sid")
     links = tables.keep(_decide(work, num, den))
