@@ -49,9 +49,9 @@ def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", paylo
     """(key, url, payload, refers_to, record_type) for each row."""
     own = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
     large = F.octet_length("payload") >= min_bytes
-    # Small records get no hash, so they meet nothing in the join.
-    own = own.withColumn("hash", F.when(large, F.unhex(F.sha2("payload", 256))))
-    again = own.filter(F.col("hash").isNotNull()).groupBy("hash").agg(F.max("key").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # A small record's key is its own, so it meets nothing in the join, and small records spread evenly.
+    own = own.withColumns({"large": large, "hash": F.when(large, F.sha2("payload", 256)).otherwise(F.concat(F.lit("small:"), F.xxhash64("key", "payload").cast("string")))})
+    again = own.filter("large").groupBy("hash").agg(F.max("key").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     found = own.join(again, "hash", "left")
     revisit = F.coalesce(F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first")), F.lit(False))
     return found.select("key", "url", "payload", F.when(revisit, F.col("first")).alias("refers_to"), F.when(revisit, "revisit").otherwise("response").alias("record_type"))
