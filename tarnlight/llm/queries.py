@@ -107,9 +107,47 @@ SELECT page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha1(p.h) AS paylo
 FROM p LEFT JOIN g ON p.h = g.h
 """
 
+ORACLE_OP6 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS q, len(w) AS n FROM w),
+grams AS (SELECT doc_id, n, string_agg(word, ' ') OVER s AS g, count(*) OVER s AS k FROM words WINDOW s AS (PARTITION BY doc_id ORDER BY q ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+sets AS (SELECT DISTINCT doc_id, g FROM grams WHERE k = least(n, 3)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  WHERE 10 * least(x.n, y.n) >= 9 * greatest(x.n, y.n) GROUP BY ALL HAVING 100 * count(*) >= 90 * (any_value(x.n) + any_value(y.n) - count(*))),
+reach AS (SELECT DISTINCT a AS doc_id, a AS other FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+least_of AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT w.doc_id, CAST(coalesce(sizes.n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of USING (doc_id)
+"""
+ORACLE_OP8 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, unnest(range(CAST(len(h) / 2 - 49 AS BIGINT))) AS i FROM d WHERE len(h) >= 100),
+s AS (SELECT p.doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 100) AS x FROM p JOIN d USING (doc_id)),
+m AS (SELECT x, min(doc_id) AS first FROM s GROUP BY x HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT s.doc_id, unnest(range(i, i + 50)) AS q FROM s JOIN m ON s.x = m.x AND m.first < s.doc_id),
+bytes AS (SELECT doc_id, substr(h, CAST(2 * q + 1 AS BIGINT), 2) AS b, q FROM (SELECT doc_id, h, unnest(range(CAST(len(h) / 2 AS BIGINT))) AS q FROM d)),
+kept AS (SELECT doc_id, string_agg(b, '' ORDER BY q) AS k FROM bytes ANTI JOIN gone USING (doc_id, q) GROUP BY doc_id),
+runs AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE new) AS n_spans FROM (SELECT doc_id, q - lag(q) OVER (PARTITION BY doc_id ORDER BY q) IS DISTINCT FROM 1 AS new FROM gone) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN runs USING (doc_id)
+"""
+ORACLE_OP10 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS q FROM w),
+wins AS (SELECT doc_id, q, md5(string_agg(word, ' ') OVER s) AS x, count(*) OVER s AS k FROM words WINDOW s AS (PARTITION BY doc_id ORDER BY q ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+m AS (SELECT x, min(doc_id) AS first FROM wins WHERE k = 50 GROUP BY x HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT wins.doc_id, unnest(range(q, q + 50)) AS q FROM wins JOIN m ON wins.x = m.x AND m.first < wins.doc_id WHERE k = 50),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY q) AS k FROM words ANTI JOIN gone USING (doc_id, q) GROUP BY doc_id),
+sums AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
+
 ORACLE_SQL = {
     "op2_line_dedup": line_dedup.ORACLE.format(ratio=line_dedup.RATIO, min_pages=line_dedup.MIN_PAGES),
     "op3_license_scan": license_scan.oracle(),
     "op4_decontaminate": ORACLE_OP4,
     "op5_warc": ORACLE_OP5,
+    "op6_jaccard": ORACLE_OP6,
+    "op8_suffix_dedup": ORACLE_OP8,
+    "op10_substring_dedup": ORACLE_OP10,
 }
