@@ -248,6 +248,34 @@ cnt AS (SELECT currency, count(*) FILTER (WHERE stay IS NOT NULL AND path_value
 lar AS (SELECT *, signal_hit_rate / nullif(random_hit_rate, 0) AS lift, (signal_value_bps - random_value_bps) - 2 * (signal_tail_regret_bps - random_tail_regret_bps) AS delta_utility_bps FROM cnt LEFT JOIN own USING (currency) LEFT JOIN {worst('elig', 'path_regret', 'currency', 'signal_tail_regret_bps', 'signal_momentum')} USING (currency) LEFT JOIN rnd USING (currency))"""
 
 
+ENSEMBLE = ("level__pct_w20_p10", "momentum__down_streak_2", "oversold__rsi_w5_p30")
+_HELD = {n: f"coalesce({c}, false)" for n, c in RULES if n in ENSEMBLE}
+
+
+def ensemble_rows() -> str:
+    """Counts of each AND, OR and vote of three rules; ORs of strongly correlated pairs are left out."""
+    a, b, c = ENSEMBLE
+    made = [(f"and__{a}__{x}", f'"{a}" AND "{x}"', "true") for x in (b, c)]
+    made += [(f"or__{x}__{y}", f'"{x}" OR "{y}"', f'(SELECT coalesce(abs(corr(CAST("{x}" AS INTEGER), CAST("{y}" AS INTEGER))) < 0.7, true) FROM held)') for x, y in ((a, b), (a, c), (b, c))]
+    made.append(("vote2__top3", " + ".join(f'CAST("{x}" AS INTEGER)' for x in ENSEMBLE) + " >= 2", "true"))
+    return " UNION ALL ".join(f"SELECT currency, '{n}' AS candidate, count(*) FILTER (WHERE {x}) AS n FROM held WHERE {keep} GROUP BY currency" for n, x, keep in made)
+
+
+CTX_NAMES = ("1_urgent", "2_high", "3_medium", "4_not_specified", "5_low")
+RELATIVE = {**{f"{c}_ret_1": f"ret_1 - {c}_ret_1" for c in ("usd", "eur", "cny")}, "residual_usd_1": "ret_1 - usd_ret_1"}
+CONTEXT_RULES = f"""
+known AS (SELECT effective_date, {', '.join(f"max(CASE WHEN series = '{n}' THEN value END) AS ctx_{n}" for n in CTX_NAMES)} FROM e0 GROUP BY effective_date),
+k0 AS (SELECT f2.*, list(f2.p) OVER (PARTITION BY f2.currency ORDER BY f2.effective_date {frame(60)}) AS l60, {', '.join(f'{x} AS rel_{c}' for c, x in RELATIVE.items())}, {', '.join(f'ctx_{n}' for n in CTX_NAMES)} FROM f2 LEFT JOIN wide USING (effective_date) LEFT JOIN known USING (effective_date)),
+k1 AS (SELECT *, {share('p', 'l60', 60)} AS pc60, {', '.join(f"{change('ctx_' + n)} AS chg_{n}" for n in CTX_NAMES)} FROM k0),
+k2 AS (SELECT *, {', '.join(f"{full(f'quantile_cont(rel_{c}, 0.1)', f'rel_{c}', frame(w), w)} AS lim_{c}_{w}" for c in RELATIVE for w in (60, 120))}, {', '.join(f"{full(f'quantile_cont(chg_{n}, {x})', f'chg_{n}', frame(120), 120)} AS lim_{n}_{d}" for n in CTX_NAMES for d, x in (('low', 0.1), ('high', 0.9)))} FROM k1)"""
+
+
+def context_rule_rows() -> str:
+    made = [(f"relative__{c}_w{w}_p10", f"rel_{c} <= lim_{c}_{w}") for c in RELATIVE for w in (60, 120)]
+    made += [(f"context__cheap_ctx_{n}_{d}", f"pc60 <= 0.2 AND chg_{n} {op} lim_{n}_{d}") for n in CTX_NAMES for d, op in (("low", "<="), ("high", ">="))]
+    return " UNION ALL ".join(f"SELECT currency, '{n}' AS rule_id, count(*) FILTER (WHERE {x}) AS n FROM k2 GROUP BY currency" for n, x in made)
+
+
 def rounding(columns: str, digits: int = 8) -> str:
     return ", ".join(f"round({c.strip()}, {digits}) AS {c.strip()}" for c in columns.split(","))
 
@@ -326,6 +354,8 @@ ORACLE_SQL: dict[str, str] = {
     "research_decisions": q("""SELECT fold, count(*) FILTER (WHERE dec = 'unusable') AS unusable, count(*) FILTER (WHERE dec = 'insufficient_frequency') AS insufficient_frequency, count(*) FILTER (WHERE dec = 'adopt') AS adopt, count(*) FILTER (WHERE dec = 'reject') AS reject FROM
       (SELECT a.fold, CASE WHEN a.signal_count = 0 THEN 'unusable' WHEN a.signals_per_week < 0.5 THEN 'insufficient_frequency' WHEN a.lift - b.lift > 0 AND a.moment_advantage_bps - b.moment_advantage_bps >= 0 THEN 'adopt' ELSE 'reject' END AS dec FROM slices a JOIN slices b ON a.fold = b.fold AND a.currency = b.currency AND a.horizon = 5 AND b.horizon = 5 AND a.method = 'signal_level' AND b.method = 'signal_momentum') GROUP BY fold""", *B, slices()),
     "rule_counts": q("SELECT currency, rule_id, n FROM (UNPIVOT cells ON " + ", ".join(f'"{n}"' for n, _ in RULES) + " INTO NAME rule_id VALUE n)", PANEL, RULE_CTES, "cells AS (SELECT currency, " + ", ".join(f'count(*) FILTER (WHERE {c}) AS "{n}"' for n, c in RULES) + " FROM g3 GROUP BY currency)", recursive=True),
+    "ensembles": q(ensemble_rows(), PANEL, RULE_CTES, "held AS (SELECT currency, " + ", ".join(f'{c} AS "{n}"' for n, c in _HELD.items()) + " FROM g3)", recursive=True),
+    "context_rule_counts": q(context_rule_rows(), PANEL, CONTEXT, CTX, FEATURES, EXTERNAL, EXT, CONTEXT_RULES),
     "rule_screen": q("SELECT rule_id, signal_count, corridors_with_signals, " + rounding("mean_lift, median_lift, mean_bps, mean_signals_per_week, positive_share, mean_cluster_share", 6) + ", family, passed FROM screened", PANEL, SCREEN, recursive=True),
     "rule_shortlist": q("""SELECT rule_id, family, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (ORDER BY f DESC, l DESC, b DESC, z DESC, rule_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY f DESC, l DESC, b DESC, z DESC, rule_id) AS kf FROM
       (SELECT *, CAST(coalesce(mean_signals_per_week BETWEEN 0.8 AND 2.5 AND mean_bps > 0, false) AS INTEGER) AS f, coalesce(median_lift, -1) AS l, coalesce(mean_bps, -1e9) AS b, -abs(mean_signals_per_week - 1.5) AS z FROM screened WHERE passed OR NOT (SELECT bool_or(passed) FROM screened))) WHERE kf <= 5) WHERE place <= 20""", PANEL, SCREEN, recursive=True),
