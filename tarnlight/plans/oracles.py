@@ -276,6 +276,27 @@ def context_rule_rows() -> str:
     return " UNION ALL ".join(f"SELECT currency, '{n}' AS rule_id, count(*) FILTER (WHERE {x}) AS n FROM k2 GROUP BY currency" for n, x in made)
 
 
+LOG_LAR = "CASE WHEN delta_utility_bps / (100.0 / ln(1.3)) > 709.782712893384 THEN 'infinity'::DOUBLE WHEN delta_utility_bps / (100.0 / ln(1.3)) < -744.4400719213812 THEN NULL ELSE round(ln(lift) + delta_utility_bps / (100.0 / ln(1.3)), 6) END AS log_lift_at_risk"
+
+
+def method_metrics() -> str:
+    """All metrics of the momentum rule by corridor, each part a query of its own."""
+    m = "signal_momentum"
+    gaps = f"SELECT currency, datediff('day', lag(effective_date) OVER ({S}), effective_date) AS g FROM own WHERE {m}"
+    parts = [
+        f"SELECT currency, count(adv) AS value_observations, round(avg(adv), 6) AS moment_advantage_bps, count(reg) AS regret_observations, round(avg(reg), 6) AS customer_regret_bps_mean, round(max(reg), 6) AS customer_regret_bps_max, round(avg(CASE WHEN k <= 5 THEN reg END), 6) AS customer_regret_worst_five_mean_bps, round(any_value(w), 6) AS customer_regret_cvar_95_bps FROM (SELECT *, row_number() OVER (PARTITION BY currency ORDER BY reg DESC NULLS LAST) AS k FROM own WHERE {m}) LEFT JOIN {worst('own', 'reg', 'currency', 'w', m)} USING (currency) GROUP BY currency",
+        q("SELECT currency, round(sum(pushes) / count(*), 6) AS useful_signals_per_week, round(sum(pushes) / count(*) * 100, 6) AS useful_signals_per_100_weeks FROM counts GROUP BY currency", weekly("own", f"(stay AND {m})")),
+        q("SELECT currency, CAST(sum(pushes) AS BIGINT) AS signal_count, count(*) AS eligible_weeks, round(avg(pushes), 6) AS pushes_per_week, round(quantile_cont(pushes, 0.5), 6) AS pushes_p50_per_week, round(quantile_cont(pushes, 0.9), 6) AS pushes_p90_per_week, round(avg(CAST(pushes = 0 AS INTEGER)), 6) AS zero_push_week_rate, round(avg(CAST(pushes > 2 AS INTEGER)), 6) AS over_budget_week_rate, round(avg(pushes), 6) AS signals_per_week FROM counts GROUP BY currency", weekly("own", m)),
+        f"SELECT currency, round(count(*) FILTER (WHERE g <= 3) / count(*), 6) AS cluster_rate FROM ({gaps}) GROUP BY currency",
+        f"SELECT currency, round(count(*) FILTER (WHERE s AND b) / nullif(count(*) FILTER (WHERE s), 0), 6) AS cluster_share FROM (SELECT currency, {m} AS s, coalesce(lag({m}) OVER ({S}), false) AS b FROM own) GROUP BY currency",
+        q(f"SELECT currency, {LOG_LAR}, eligible_count AS lar_eligible_count, signal_count AS lar_signal_count, excluded_signal_count AS lar_excluded_signal_count, " + ", ".join(f"round({c}, 6) AS lar_{c}" for c in ("signal_hit_rate", "signal_value_bps", "signal_tail_regret_bps", "random_hit_rate", "random_value_bps", "random_tail_regret_bps", "lift", "delta_utility_bps")) + " FROM lar", LAR_DRAWS.replace("FROM paths", "FROM own").replace(", own AS (", ", sent_own AS (").replace("\nown AS (", "\nsent_own AS (").replace("JOIN own USING", "JOIN sent_own USING")),
+    ]
+    joins = " ".join(f"LEFT JOIN ({x}) p{i} USING (currency)" for i, x in enumerate(parts))
+    hit = f"(SELECT currency, avg(h) AS fm FROM (SELECT currency, draw, avg(CAST(stay AS INTEGER)) AS h FROM (SELECT *, row_number() OVER (PARTITION BY currency, draw ORDER BY md5(concat_ws(':', 'hit', draw, currency, effective_date))) AS place FROM (SELECT *, count(*) FILTER (WHERE {m}) OVER (PARTITION BY currency) AS k FROM own), (SELECT unnest(range(1, 51)) AS draw)) WHERE place <= k GROUP BY ALL) GROUP BY currency)"
+    first = f"(SELECT currency, count(*) AS eligible_days, count(*) FILTER (WHERE stay) AS target_positives, avg(CASE WHEN {m} THEN CAST(stay AS INTEGER) END) AS shr, round(avg(CAST(stay AS INTEGER)), 6) AS random_hit_rate, round({LIFT.format(s=m, t='stay')}, 6) AS lift, round(avg(CASE WHEN {m} THEN bps END), 6) AS bps_forward FROM own GROUP BY currency)"
+    return f"SELECT f.* EXCLUDE (shr), round(shr, 6) AS signal_hit_rate, {', '.join(f'p{i}.* EXCLUDE (currency)' for i in range(len(parts)))}, round(fm, 6) AS freq_matched_hit_rate, round(shr / nullif(fm, 0), 6) AS lift_freq_matched, 5 AS horizon FROM {first} f {joins} LEFT JOIN {hit} h USING (currency)"
+
+
 def rounding(columns: str, digits: int = 8) -> str:
     return ", ".join(f"round({c.strip()}, {digits}) AS {c.strip()}" for c in columns.split(","))
 
@@ -335,7 +356,8 @@ ORACLE_SQL: dict[str, str] = {
     "matched_hit_rate": q("""SELECT currency, round(avg(h), 8) AS freq_matched_hit_rate FROM (SELECT currency, draw, avg(CAST(stay AS INTEGER)) AS h FROM (SELECT *, row_number() OVER (PARTITION BY currency, draw ORDER BY md5(concat_ws(':', 'hit', draw, currency, effective_date))) AS place FROM
       (SELECT *, count(*) FILTER (WHERE signal_momentum) OVER (PARTITION BY currency) AS k FROM outcomes WHERE stay IS NOT NULL), (SELECT unnest(range(1, 21)) AS draw)) WHERE place <= k GROUP BY ALL) GROUP BY currency""", *B, T5),
     "matched_draws": q(f"SELECT currency, effective_date, CAST(draw AS INTEGER) AS draw FROM (SELECT *, row_number() OVER (PARTITION BY currency, draw, wk ORDER BY md5(concat_ws(':', 'lar', draw, currency, effective_date))) AS place FROM (SELECT *, count(*) FILTER (WHERE signal_momentum) OVER (PARTITION BY currency, wk) AS k FROM (SELECT *, {WEEK} AS wk FROM base)), (SELECT unnest(range(1, 6)) AS draw)) WHERE place <= k", *B),
-    "lift_at_risk": q("SELECT currency, eligible_count, signal_count, excluded_signal_count, " + rounding("signal_hit_rate, signal_value_bps, signal_tail_regret_bps, random_hit_rate, random_value_bps, random_tail_regret_bps, lift, delta_utility_bps", 6) + ", CASE WHEN delta_utility_bps / (100.0 / ln(1.3)) > 709.782712893384 THEN 'infinity'::DOUBLE WHEN delta_utility_bps / (100.0 / ln(1.3)) < -744.4400719213812 THEN NULL ELSE round(ln(lift) + delta_utility_bps / (100.0 / ln(1.3)), 6) END AS log_lift_at_risk FROM lar", *B, T5, path(5, None, "outcomes"), LAR_DRAWS),
+    "lift_at_risk": q("SELECT currency, eligible_count, signal_count, excluded_signal_count, " + rounding("signal_hit_rate, signal_value_bps, signal_tail_regret_bps, random_hit_rate, random_value_bps, random_tail_regret_bps, lift, delta_utility_bps", 6) + ", " + LOG_LAR + " FROM lar", *B, T5, path(5, None, "outcomes"), LAR_DRAWS),
+    "method_metrics": q(method_metrics(), *B, T5, path(5, None, "outcomes"), "own AS (SELECT * FROM paths WHERE stay IS NOT NULL)"),
     "baseline_lift": q(" UNION ALL ".join(f"SELECT * FROM ({lift_rows(f'outcomes{h}', 'local_min', NAMES[:4], f', {h} AS horizon')})" for h in (1, 3, 5)), *B, *[(targets(h).replace("labels", f"labels{h}").replace("outcomes", f"outcomes{h}")) % "base" for h in (1, 3, 5)]),
     "slices": q("SELECT method, split, fold, currency, " + rounding("lift, moment_advantage_bps, customer_regret_bps", 6) + ", signal_count, round(signals_per_week, 6) AS signals_per_week, horizon, round(lift_at_risk, 6) AS lift_at_risk FROM slices", *B, slices()),
     "stability": q(" UNION ALL ".join(f"SELECT '{m}' AS metric, count({m}) AS slice_count, round({w}({m}), 6) AS worst, round(quantile_cont({m}, 0.5), 6) AS median, round({b}({m}), 6) AS best FROM slices" for m, w, b in (("lift", "min", "max"), ("moment_advantage_bps", "min", "max"), ("customer_regret_bps", "max", "min"))), *B, slices()),

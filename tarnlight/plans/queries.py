@@ -221,7 +221,8 @@ def lift_at_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def method_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = targets.add_path_outcomes(_labelled(spark, sf_dir), 5)
-    return rounded(metrics.evaluate_method(own, "target_stay_not_worse_h5", "signal_momentum", 5, [KEY], draws=20), 6)
+    out = metrics.evaluate_method(own, "target_stay_not_worse_h5", "signal_momentum", 5, [KEY], draws=20)
+    return rounded(out.withColumn("log_lift_at_risk", F.ln("lift_at_risk")).drop("lift_at_risk"), 6)
 
 
 def baseline_lift(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ def test_query_matches_sql(spark, sql, sf_dir, name):
     assert rows(df.columns, df.collect()) == rows(names, cursor.fetchall())
 
 
-@pytest.mark.parametrize("name", ["method_metrics", "context_rule_counts", "ensembles", "indicator_search", "logreg_scores", "snapshot_signals"])
+@pytest.mark.parametrize("name", ["indicator_search", "logreg_scores", "snapshot_signals", "rule_backtest"])
 def test_other_queries_run(spark, sf_dir, name):
     out = QUERIES[name](spark, sf_dir)
     assert out.columns and (out.count() > 0 or name == "snapshot_signals")
