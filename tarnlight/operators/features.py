@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnlight.functions.frames import DATE, KEY, PRICE, change, full, island, lagged, last_rows, rank_share, rows_since_minimum, series
+from tarnlight.functions.frames import DATE, KEY, PRICE, change, full, island, last_rows, rank_share, rows_since_minimum, series
 from tarnlight.operators.asof import external_asof, next_holiday
 from tarnlight.operators.signals import BASELINE, add_baseline, add_has_fact, add_research, falling
 from tarnlight.operators.validate import require
@@ -122,6 +122,3 @@ def columns_for_groups(groups: list[str], frame: DataFrame) -> list[str]:
     for g in groups:
         require(g in known, f"unknown feature group {g!r}")
     return list(dict.fromkeys(c for g in groups for c in known[g] if c in have))
-
-
-__all__ = ["add_context", "add_external", "add_features", "add_series_features", "columns_for_groups", "context_features", "external_features", "lagged"]

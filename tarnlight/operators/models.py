@@ -12,7 +12,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlight.functions.frames import DATE, KEY, PRICE
+from tarnlight.functions.frames import KEY, PRICE
 from tarnlight.functions.scalar import advantage_bps, flag
 from tarnlight.operators.metrics import path_lift_at_risk, week
 from tarnlight.operators.validate import require
@@ -134,6 +134,3 @@ def select_threshold(validation: DataFrame, target: str, horizon: int, grid: lis
     scored = score_thresholds(own, threshold_candidates(own, grid, quantiles), target, horizon, metric)
     found = best_threshold(scored, max_per_week, saturation).first()["threshold"]
     return FALLBACK_THRESHOLD if found is None else found
-
-
-__all__ = ["DATE", "FALLBACK_THRESHOLD", "Scorer", "best_threshold", "fit_scorer", "score", "score_thresholds", "select_threshold", "threshold_candidates"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlight.functions.frames import DATE, KEY, PRICE, around, full, next_rows, series
+from tarnlight.functions.frames import DATE, PRICE, around, full, next_rows, series
 from tarnlight.functions.scalar import advantage_bps, regret_bps
 from tarnlight.operators.validate import require
 
@@ -85,6 +85,3 @@ def add_path_outcomes(panel: DataFrame, horizon: int, mean_gap_days: float | Non
     value = total(lambda x: (x.p / p - 1) * 10_000 * weight(x)) / total(weight)
     regret = F.array_max(F.transform("_path", lambda x: F.greatest((p / x.p - 1) * 10_000, F.lit(0.0)) * weight(x)))
     return out.withColumns({"path_value_bps": value, "path_regret_bps": regret}).drop("_path")
-
-
-__all__ = ["KEY", "KINDS", "add_customer_outcomes", "add_path_outcomes", "add_targets", "forward_mean", "future_prices", "local_min", "stay_not_worse", "target_column", "window_closing"]
