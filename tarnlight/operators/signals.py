@@ -17,6 +17,7 @@ from tarnlight.functions.scalar import reciprocal
 from tarnlight.operators.asof import annual_reference, next_holiday
 from tarnlight.operators.validate import require, require_columns
 
+#: Fixed names of the signals.
 BASELINE = ("signal_momentum", "signal_level", "signal_reversal", "signal_seasonality")
 RESEARCH = (
     "signal_better_than_one_year_ago",
