@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROWS_A_FILE = 500_000
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -50,11 +51,12 @@ def _delete_at_exit(spark: SparkSession, path: str) -> None:
 
 
 def file_count(source: DataFrame) -> int:
-    """Files for a table derived from ``source``: by its estimated size, at least two a core."""
+    """Files for a table derived from ``source``: two for each split of its input, and at least four a core."""
     spark = source.sparkSession
-    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = source._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
-    return min(max(2 * spark.sparkContext.defaultParallelism, -(-size // split)), 1 << 30)
+    return min(max(4 * spark.sparkContext.defaultParallelism, 2 * -(-size // split)), 1 << 30)
 
 
 class StepTables:
@@ -62,8 +64,8 @@ class StepTables:
 
     A written table cuts the lineage: a lost executor costs the tasks of one step,
     never a recomputation of all steps before it.  Shuffle files of a step are removed
-    once its table is written.  Tables have as many files as the operator's input has
-    splits at most, however many shuffle partitions there are.
+    once its table is written.  The number of a table's files follows the operator's input,
+    however many shuffle partitions there are.
     """
 
     def __init__(self, source: DataFrame, operator: str):
@@ -73,13 +75,15 @@ class StepTables:
         self.count = 0
         atexit.register(_delete_at_exit, spark, self.root)
 
-    def write(self, df: DataFrame) -> tuple[DataFrame, str]:
+    def write(self, df: DataFrame, rows: int | None = None) -> tuple[DataFrame, str]:
+        """The written table and its path; ``rows``, where known about, keeps small tables in few files."""
+        parts = self.parts if rows is None else min(self.parts, rows // ROWS_A_FILE + 1)
         path = f"{self.root}/{self.count}"
         self.count += 1
         before = self.spark.conf.get(SHUFFLE_CLEANUP, "false")
         self.spark.conf.set(SHUFFLE_CLEANUP, "true")
         try:
-            df.coalesce(self.parts).write.mode("overwrite").parquet(path)
+            df.coalesce(parts).write.mode("overwrite").parquet(path)
         finally:
             self.spark.conf.set(SHUFFLE_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path), path
