@@ -4,9 +4,9 @@ For each language, labelled text makes a suffix automaton.  A text is parsed int
 each the longest match from where it stands; the language that needs fewest phrases wins.
 ``phrases * log2(length of the labelled text) / characters`` estimates the cross entropy in bits a character.
 
-Fitting is bounded and documented: at most ``DOCS`` labelled texts of a language (those whose
-hashed key is least within a share of them that is drawn by hash), ``CHARS_EACH`` characters
-of each, ``CHARS`` in all, and the ``ALPHABET`` most frequent characters.  Prediction parses
+Fitting is bounded and documented: at most ``DOCS`` distinct labelled texts of a language (those
+whose hash is least within a share of them that is drawn by hash), a window of ``CHARS_EACH``
+characters at a hashed place of each (more where the texts are few), ``CHARS`` in all, and the ``ALPHABET`` most frequent characters.  Prediction parses
 every whole text, in segments of ``SEGMENT`` characters (a phrase ends at a segment's end);
 all languages and the segments of many texts are parsed in step, as array operations.
 
@@ -153,17 +153,22 @@ def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float, flo
     return out
 
 
-def fit(docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", n_docs: int = DOCS, chars_each: int = CHARS_EACH, chars: int = CHARS) -> Model:
-    """A model from a bounded sample of the rows of ``docs`` where ``usable`` holds."""
-    own = docs.filter(usable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.substring(text, 1, chars_each).alias("part"), F.xxhash64(F.col(key).cast("string"), F.lit("fit")).alias("h"))
-    own = own.filter(F.length(F.trim("part")) > 0)
-    totals = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", n_docs: int = DOCS, chars_each: int = CHARS_EACH, chars: int = CHARS) -> Model:
+    """A model from a bounded sample of the distinct texts of ``docs`` where ``usable`` holds."""
+    own = docs.filter(usable & F.col(lang).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text), F.lit("fit")).alias("h"))
+    totals = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count_distinct("h").alias("n")).collect()}
     if not totals:
         return train({})
+
+    def of_lang(value) -> Column:
+        return F.element_at(F.create_map(*[x for k, n in totals.items() for x in (F.lit(k), F.lit(value(n)))]), F.col("lang"))
+
     # The hash draws about twice the texts wanted of each language; the least of those are taken.
-    share = F.create_map(*[x for k, n in totals.items() for x in (F.lit(k), F.lit(min(1.0, 2.0 * n_docs / n)))])
-    drawn = own.filter((F.col("h") / F.lit(float(1 << 63)) + 1) / 2 <= F.element_at(share, F.col("lang")))
-    rows = drawn.collect()
+    drawn = own.filter((F.col("h") / F.lit(float(1 << 63)) + 1) / 2 <= of_lang(lambda n: min(1.0, 2.0 * n_docs / n)))
+    # Where texts are few, each gives more, so that the same number of characters is learned from.
+    size = of_lang(lambda n: max(chars_each, -(-chars // min(n, n_docs))))
+    start = F.pmod(F.xxhash64(F.col("text"), F.lit("place")), F.greatest(F.length("text") - size + 1, F.lit(1))).cast("int")
+    rows = drawn.select("lang", "h", F.substring("text", start + 1, size).alias("part")).distinct().collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["part"])):
         texts.setdefault(r["lang"], []).append(r["part"])
