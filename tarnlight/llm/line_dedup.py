@@ -1,13 +1,12 @@
 """Line dedup by site-relative frequency, in DataFrame functions only.
 
 For each host, the pages that hold a line are divided by the host's pages; lines above
-``ratio`` are boilerplate and are dropped from every page of that host.
+``ratio`` that are on at least ``least`` pages are boilerplate and are dropped from every
+page of that host, however small it is.
 
 Defined results: a line is what stands between line feeds, compared without white space
 at its ends; blank lines are never counted and never dropped; a line counts once a page.
-A null text has no lines and stays null; a null host is a host of its own.  Hosts with
-fewer than ``min_pages`` pages are left alone, since a frequency means nothing there.
-Rows are pages: repeated rows count as often as they occur.  Other columns pass through.
+A null text has no lines and stays null; a null host is a host of its own.  Rows are pages: repeated rows count as often as they occur.  Other columns pass through.
 
 Scale: only (host, 64-bit line name) pairs are shuffled, summed on the map side first, so
 a common line of a hot host is one row a task.  A host's boilerplate holds fewer than
@@ -24,7 +23,8 @@ from pyspark.sql import functions as F
 from tarnlight.llm.shared import StepTables, once
 
 RATIO = 0.1
-MIN_PAGES = 20
+LEAST = 2  #: a line on one page is no repetition
+MIN_PAGES = 20  #: of :data:`ORACLE` only, which leaves smaller hosts alone
 BLANKS = " \t\r\x0b\x0c"
 
 
@@ -47,22 +47,22 @@ def _names(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(_lines(text), lambda x: F.btrim(x, F.lit(BLANKS)) != ""), _name))
 
 
-def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, line name, pages with it, pages of the host) of the lines above ``ratio``."""
+def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+    """(host, line name, pages with it, pages of the host) of the lines above ``ratio`` on ``least`` pages or more."""
     own = pages.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.col(host).isNull().alias("_none"), F.col(text).alias("_text"))
-    totals = own.groupBy("_host", "_none").agg(F.count("*").alias("_total")).filter(F.col("_total") >= min_pages)
+    totals = own.groupBy("_host", "_none").agg(F.count("*").alias("_total"))
     counts = own.select("_host", "_none", F.explode(_names(F.col("_text"))).alias("_line")).groupBy("_host", "_none", "_line").agg(F.count("*").alias("_pages"))
-    # A boilerplate line is on more than ratio * min_pages pages, so most lines go before the join.
-    frequent = counts.filter(F.col("_pages") > ratio * min_pages)
+    # Most lines are on one page and go before the join.
+    frequent = counts.filter(F.col("_pages") >= least)
     return frequent.join(totals, ["_host", "_none"]).filter(F.col("_pages") > ratio * F.col("_total"))
 
 
-def line_dedup(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def line_dedup(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """``pages`` with the boilerplate lines gone from ``text``, and ``_lines``, ``_dropped``: lines before, lines dropped.
 
     The input's columns stay as they are; names with a leading underscore belong to the operator.
     """
-    bad = boilerplate(pages, host, text, ratio, min_pages).groupBy("_host", "_none").agg(F.collect_list("_line").alias("_bad"))
+    bad = boilerplate(pages, host, text, ratio, least).groupBy("_host", "_none").agg(F.collect_list("_line").alias("_bad"))
     # As a written table its size is known, so Spark broadcasts it below its threshold and shuffles pages only above.
     bad = StepTables(pages, "line-dedup").keep(bad)
     keyed = pages.withColumns({"_host": F.coalesce(F.col(host).cast("string"), F.lit("")), "_none": F.col(host).isNull()})

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tarnlight.llm import language
+from tarnlight.llm import language, line_dedup
 
 WORDS = [a + b for a in ("lo", "ra", "mi", "te", "su", "ko", "ne", "vi") for b in ("", "n", "ri", "sta", "lo")]
 
@@ -22,3 +22,10 @@ def test_language_learns_from_whole_texts_whatever_the_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     model = language.fit(docs, F.lit(True))
     assert model.languages == ["aa", "bb", "cc"] and model.sizes.min() > 25_000
+
+
+def test_line_dedup_drops_boilerplate_of_small_hosts(spark):
+    rng = random.Random(12)
+    rows = [(i, f"shared head\n{prose(rng, 12)}", f"s{i % 10}") for i in range(190)]  # 19 pages a host
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert all(r["_dropped"] == 1 and r["text"] == rows[r["doc_id"]][1].split("\n")[1] for r in out)
