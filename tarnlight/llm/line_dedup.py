@@ -6,10 +6,13 @@ page of that host, however small it is.
 
 Defined results: a line is what stands between line feeds, compared without white space
 at its ends; blank lines are never counted and never dropped; a line counts once a page.
-A null text has no lines and stays null; a null host is a host of its own.  Rows are pages: repeated rows count as often as they occur.  Other columns pass through.
+A null text has no lines and stays null; a null host is a host of its own.  Equal texts of
+a host are one page, in both counts, so that copies don't make their own content boilerplate;
+the lines of every row are dropped alike.  Other columns pass through.
 
-Scale: only (host, 64-bit line name) pairs are shuffled, summed on the map side first, so
-a common line of a hot host is one row a task.  A host's boilerplate holds fewer than
+Scale: the 64-bit line names of each distinct page and the counts of (host, line name) are
+shuffled, both reduced on the map side first, so copies and a common line of a hot host are
+one row a task.  A host's boilerplate holds fewer than
 (mean lines a page) / ratio names, whatever the size of the corpus; it joins the pages as
 one small array a host: by broadcast if the written table is below Spark's threshold, else by a
 shuffle in which Spark splits a hot host's pages.
@@ -50,8 +53,9 @@ def _names(text: Column) -> Column:
 def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """(host, line name, pages with it, pages of the host) of the lines above ``ratio`` on ``least`` pages or more."""
     own = pages.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.col(host).isNull().alias("_none"), F.col(text).alias("_text"))
-    totals = own.groupBy("_host", "_none").agg(F.count("*").alias("_total"))
-    counts = own.select("_host", "_none", F.explode(_names(F.col("_text"))).alias("_line")).groupBy("_host", "_none", "_line").agg(F.count("*").alias("_pages"))
+    distinct = own.groupBy("_host", "_none", F.xxhash64("_text", F.col("_text").isNull()).alias("_page")).agg(F.any_value(_names(F.col("_text"))).alias("_names"))
+    totals = distinct.groupBy("_host", "_none").agg(F.count("*").alias("_total"))
+    counts = distinct.select("_host", "_none", F.explode("_names").alias("_line")).groupBy("_host", "_none", "_line").agg(F.count("*").alias("_pages"))
     # Most lines are on one page and go before the join.
     frequent = counts.filter(F.col("_pages") >= least)
     return frequent.join(totals, ["_host", "_none"]).filter(F.col("_pages") > ratio * F.col("_total"))

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tarnlight.llm import language, line_dedup
 
 WORDS = [a + b for a in ("lo", "ra", "mi", "te", "su", "ko", "ne", "vi") for b in ("", "n", "ri", "sta", "lo")]
@@ -29,3 +30,14 @@ def test_line_dedup_drops_boilerplate_of_small_hosts(spark):
     rows = [(i, f"shared head\n{prose(rng, 12)}", f"s{i % 10}") for i in range(190)]  # 19 pages a host
     out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
     assert all(r["_dropped"] == 1 and r["text"] == rows[r["doc_id"]][1].split("\n")[1] for r in out)
+
+
+def test_copies_of_a_page_keep_their_content(spark, tmp_path):
+    rng = random.Random(13)
+    copy = "\n".join(prose(rng, 12) for _ in range(4))
+    rows = [(i, ("shared head\n" if i % 4 == 0 else "") + (copy if i % 3 == 0 else prose(rng, 30)), "aa", "s", 1) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    lines = corpus_pipeline.drop_boilerplate(spark, docs, str(tmp_path)).cache()
+    assert all(r["text"] == rows[r["doc_id"]][1].removeprefix("shared head\n") for r in lines.collect())
+    kept = [r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, lines, str(tmp_path)).collect()]
+    assert sorted(kept) == sorted([0] + [i for i in range(120) if i % 3])
