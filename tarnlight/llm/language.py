@@ -6,7 +6,8 @@ each the longest match from where it stands; the language that needs fewest phra
 
 Fitting is bounded and documented: at most ``DOCS`` distinct labelled texts of a language (those
 whose hash is least within a share of them that is drawn by hash), a window of ``CHARS_EACH``
-characters at a hashed place of each (more where the texts are few), ``CHARS`` in all, and the ``ALPHABET`` most frequent characters.  Prediction parses
+characters at a hashed place of each (more where the texts are few), ``CHARS`` in all;
+every character seen in them is a symbol of its own.  Prediction parses
 every whole text, in segments of ``SEGMENT`` characters (a phrase ends at a segment's end);
 all languages and the segments of many texts are parsed in step, as array operations.
 
@@ -18,7 +19,6 @@ predicted by its text alone, repeated rows alike; other columns are not read.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +33,6 @@ from tarnlight.llm.shared import utf8
 DOCS = 160
 CHARS_EACH = 400
 CHARS = 40_000
-ALPHABET = 47
 SEGMENT = 4_096
 UNDETERMINED = "und"
 
@@ -71,9 +70,11 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
 @dataclass
 class Model:
     languages: list[str]
-    chars: np.ndarray  #: code points of the alphabet; class k + 1, all others are class 0
-    table: np.ndarray  #: [state * classes + class] -> 2 * next state's row + 1 if a phrase ends before the character
-    roots: np.ndarray  #: each language's root row
+    chars: np.ndarray  #: code points seen in training; class k + 1, all others are class 0
+    owner: np.ndarray  #: [state + class] -> the state whose transition it is, or -1
+    target: np.ndarray  #: [state + class] -> that transition's next state
+    first: np.ndarray  #: [language, class] -> the state that a phrase of this character alone leads to
+    roots: np.ndarray  #: each language's root state
     sizes: np.ndarray  #: characters of each language's labelled text
 
     @property
@@ -81,59 +82,93 @@ class Model:
         return len(self.chars) + 1
 
 
-def train(texts: dict[str, list[str]], alphabet: int = ALPHABET, chars: int = CHARS) -> Model:
+def _pack(moves: list[dict[int, int]], classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, target, places): sparse transitions laid over one another, each state at a place of its own.
+
+    Class 0 has no transitions.  The transition of a state at place p by class c is in cell p + c.
+    """
+    span = 3 * sum(map(len, moves)) + len(moves) + 1
+    used, taken = bytearray(span), bytearray(span + classes)
+    places = [0] * len(moves)
+    draw = 0
+    for state in sorted(range(len(moves)), key=lambda k: -len(moves[k])):
+        own = moves[state]
+        for _ in range(64):
+            draw = (draw + 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+            at = (draw >> 16) % span
+            if not used[at] and not any(taken[at + c] for c in own):
+                break
+        else:  # no place found: one behind all others
+            at = len(taken)
+            used.extend(bytes(at + 1 - len(used)))
+            taken.extend(bytes(classes))
+        used[at] = 1
+        for c in own:
+            taken[at + c] = 1
+        places[state] = at
+    owner, target = np.full(len(taken), -1, np.int32), np.zeros(len(taken), np.int32)
+    for state, own in enumerate(moves):
+        at = places[state]
+        for c, to in own.items():
+            owner[at + c], target[at + c] = at, places[to]
+    return owner, target, np.array(places, np.int64)
+
+
+def train(texts: dict[str, list[str]], chars: int = CHARS) -> Model:
     """A model of the labelled texts of each language."""
     joined = {lang: "\n".join(parts).lower()[:chars] for lang, parts in sorted(texts.items()) if any(parts)}
-    seen = Counter(c for t in joined.values() for c in t)
-    ranked = sorted(seen, key=lambda c: (-seen[c], c))[:alphabet]
-    points = np.array(sorted(map(ord, ranked)), np.int64)
+    points = np.array(sorted({ord(c) for t in joined.values() for c in t}), np.int64)
     place = {int(p): k + 1 for k, p in enumerate(points)}
     classes = len(points) + 1
-    tables, roots, base = [], [], 0
-    for text in joined.values():
-        moves = suffix_automaton([place.get(ord(c), 0) for c in text])
-        table = np.full((len(moves), classes), -1, np.int64)
-        for state, m in enumerate(moves):
-            if m:
-                table[state, list(m)] = list(m.values())
-        first = np.maximum(table[0], 0)  # a character the language lacks is a phrase of its own
-        ends = table < 0
-        table = np.where(ends, first, table)
-        tables.append((((table + base) * classes << 1) | ends).astype(np.int32))
-        roots.append(base * classes)
-        base += len(moves)
-    table = np.concatenate(tables).ravel() if tables else np.empty(0, np.int32)
-    if base * classes >= 1 << 30:
-        raise ValueError("the model is too large; lower chars, alphabet or the number of languages")
-    return Model(list(joined), points, table, np.array(roots, np.int64), np.array([len(t) for t in joined.values()], np.int64))
+    owners, targets, roots, base = [], [], [], 0
+    first = np.empty((len(joined), classes), np.int32)
+    for k, text in enumerate(joined.values()):
+        moves = suffix_automaton([place[ord(c)] for c in text])
+        owner, target, places = _pack(moves, classes)
+        if base + len(owner) >= 1 << 31:
+            raise ValueError("the model is too large; lower chars or the number of languages")
+        owners.append(np.where(owner >= 0, owner + base, -1).astype(np.int32))
+        targets.append((target + base).astype(np.int32))
+        roots.append(base + places[0])
+        first[k] = roots[-1]  # a character the language lacks is a phrase of its own
+        first[k, list(moves[0])] = base + places[list(moves[0].values())]
+        base += len(owner)
+    empty = [np.empty(0, np.int32)]
+    return Model(list(joined), points, np.concatenate(owners or empty), np.concatenate(targets or empty), first, np.array(roots, np.int64), np.array([len(t) for t in joined.values()], np.int64))
 
 
 def phrase_counts(model: Model, texts: list[str]) -> np.ndarray:
     """[text, language]: how many phrases each text parses into."""
-    lookup = np.zeros(0x110000 if len(model.chars) and model.chars[-1] > 0xFFFF else 0x10000, np.int8)
+    kind = np.int16 if model.classes < 1 << 15 else np.int32
+    lookup = np.zeros(0x110000 if len(model.chars) and model.chars[-1] > 0xFFFF else 0x10000, kind)
     lookup[model.chars] = np.arange(1, len(model.chars) + 1)
     codes = [np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     owner = np.repeat(np.arange(len(codes)), [-(-len(c) // SEGMENT) for c in codes])
     segments = [lookup[np.where(c[at : at + SEGMENT] < len(lookup), c[at : at + SEGMENT], 0)] for c in codes for at in range(0, len(c), SEGMENT)]
     out = np.zeros((len(texts), len(model.languages)), np.int64)
+    roots = model.roots[:, None].astype(np.int32)
     lengths = np.array([len(s) for s in segments], np.int64)
     order = np.argsort(-lengths, kind="stable")
     # Segments of like length go together, longest first, so that few cells are padding.
     for at in range(0, len(order), 1024):
         part = order[at : at + 1024]
         size = lengths[part]
-        grid = np.zeros((int(size[0]), len(part)), np.int8)
+        grid = np.zeros((int(size[0]), len(part)), kind)
         for k, i in enumerate(part):
             grid[: size[k], k] = segments[i]
         active = np.searchsorted(-size, -np.arange(len(grid)), side="left")
-        state = np.repeat(model.roots[:, None], len(part), axis=1).astype(np.int32)
+        state = np.repeat(roots, len(part), axis=1)
         count = np.zeros(state.shape, np.int32)
         for t in range(len(grid)):
             m = active[t]
-            move = model.table[state[:, :m] + grid[t, :m]]
-            count[:, :m] += move & 1
-            state[:, :m] = move >> 1
-        np.add.at(out, owner[part], count.T + 1)  # and the phrase that the segment's end closes
+            held, symbol = state[:, :m], grid[t, :m]
+            cell = held + symbol
+            ends, alone = model.owner[cell] != held, model.first[:, symbol]
+            # A character the language lacks closes the phrase before it, if one is open, and is one more.
+            count[:, :m] += ends
+            count[:, :m] += (alone == roots) & (held != roots)
+            state[:, :m] = np.where(ends, alone, model.target[cell])
+        np.add.at(out, owner[part], (count + (state != roots)).T)  # and the phrase that the segment's end closes
     return out
 
 

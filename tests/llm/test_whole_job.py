@@ -41,3 +41,23 @@ def test_copies_of_a_page_keep_their_content(spark, tmp_path):
     assert all(r["text"] == rows[r["doc_id"]][1].removeprefix("shared head\n") for r in lines.collect())
     kept = [r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, lines, str(tmp_path)).collect()]
     assert sorted(kept) == sorted([0] + [i for i in range(120) if i % 3])
+
+
+def test_languages_of_large_alphabets_are_told_apart():
+    rng = random.Random(14)
+    common, own = [chr(0x4E00 + k) for k in range(60)], {k: [chr(0x5000 + 0x400 * i + j) for j in range(300)] for i, k in enumerate("abc")}
+
+    def text(k, n):
+        return "".join(rng.choice(common) if rng.random() < 0.5 else rng.choice(own[k]) for _ in range(n))
+
+    model = language.train({**{k: [text(k, 400) for _ in range(60)] for k in own}, "latin": [prose(rng, 4000)]})
+    texts = [(k, text(k, 60)) for k in own for _ in range(20)] + [("latin", prose(rng, 20))]
+    assert [p[0] for p in language.predict(model, [t for _, t in texts])] == [k for k, _ in texts]
+    assert model.classes > 960
+
+
+def test_characters_a_language_lacks_are_phrases():
+    text = "abcabdabx"
+    model = language.train({"l": [text], "m": ["qz"]})
+    for s, n in (("abcabd", 1), ("abqab", 3), ("zz", 2), ("zabq", 3), ("一ab一", 3)):
+        assert int(language.phrase_counts(model, [s])[0, 0]) == n, s
