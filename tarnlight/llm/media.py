@@ -3,7 +3,7 @@
 An Aho-Corasick automaton over magic bytes finds every place where a known format might
 start.  A validator for each format then confirms its structure and finds its length; what
 fails is no medium.  A medium at offset 0 that ends with the cell corrects the declared
-type; others are embedded and can be carved out.
+type; others, also those inside another, are embedded and can be carved out.
 
 Texts become media losslessly: UTF-8, zero bytes up to a positive multiple of 64, stored as
 the samples of an 8-bit mono WAV file.
@@ -235,19 +235,16 @@ def _automaton():
 
 
 def find_media(content: bytes) -> list[tuple[str, int, int]]:
-    """(type, offset, length) of the valid media, outermost first; a medium inside another is its part, not listed."""
-    found, covered = [], 0
+    """(type, offset, length) of the valid media by offset; media inside another medium are listed too."""
+    found = []
     for last, (length, kinds) in _automaton().iter(content.decode("latin-1")):
         at = last - length + 1
-        if at < covered:
-            continue
         for kind, valid in kinds:
             size = valid(content, at)
             if size is not None:
                 found.append((kind, at, size))
-                covered = at + size
                 break
-    return found
+    return sorted(found, key=lambda x: x[1])
 
 
 # --- the lossless form of texts ------------------------------------------------
@@ -304,7 +301,7 @@ _MEDIUM = pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("l
 
 
 def sniff(media: DataFrame, content: str = "media", declared: str = "declared") -> DataFrame:
-    """``media`` with ``_type``, the corrected type, and ``_embedded``, the media that are only a part of the cell.
+    """``media`` with ``_type``, the corrected type, and ``_embedded``, the media that are only a part of the cell, at any depth.
 
     A medium is the cell if it starts it and leaves nothing over but zero bytes.  Columns of the input with these names are replaced.
     """
@@ -343,11 +340,11 @@ DIGEST = "key {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 strin
 
 
 def features(media: DataFrame, key: str = "doc_id", content: str = "media", declared: str = "declared") -> DataFrame:
-    """Reads stored cells back and sums each up: sizes, digests and what sniffing finds.
+    """Reads stored cells back and sums each up: sizes, digests and what sniffing the cell and the bytes read back finds.
 
     Columns: n_bytes (of the text), payload_bytes, payload_sha256, tail_crc32 (of the last 64
     bytes), media_bytes, media_sha256, feature (type, mean and peak of the samples, zero
-    crossings, embedded media).
+    crossings, number of embedded media, and each as type@offset+length in the payload).
     """
     import numpy as np
 
@@ -361,9 +358,10 @@ def features(media: DataFrame, key: str = "doc_id", content: str = "media", decl
             for cell, said, n in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 found, parts = _judge(cell, said)
                 payload = from_wav(cell)
+                held = ",".join(f"{t}@{o}+{k}" for t, o, k in find_media(payload))
                 samples = np.frombuffer(payload, np.uint8)
                 above = samples >= 128
-                feature = f"type={found};mean={samples.mean():.4f};peak={samples.max()};crossings={int((above[1:] != above[:-1]).sum())};embedded={len(parts)}"
+                feature = f"type={found};mean={samples.mean():.4f};peak={samples.max()};crossings={int((above[1:] != above[:-1]).sum())};embedded={len(parts)};holds={held}"
                 rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(cell), hashlib.sha256(cell).hexdigest(), feature))
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows), arrow)]], names=list(names))

@@ -5,8 +5,9 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tarnlight.llm import language, line_dedup
+from tarnlight.llm import language, line_dedup, media
 
+JPEG = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x04cd\x12\xff\x00\x34\xff\xd9"
 WORDS = [a + b for a in ("lo", "ra", "mi", "te", "su", "ko", "ne", "vi") for b in ("", "n", "ri", "sta", "lo")]
 
 
@@ -61,3 +62,20 @@ def test_characters_a_language_lacks_are_phrases():
     model = language.train({"l": [text], "m": ["qz"]})
     for s, n in (("abcabd", 1), ("abqab", 3), ("zz", 2), ("zabq", 3), ("一ab一", 3)):
         assert int(language.phrase_counts(model, [s])[0, 0]) == n, s
+
+
+def test_media_inside_media_are_listed_and_carved(spark):
+    pdf = b"%PDF-1.4\n1 0 obj\nstream\n" + JPEG + b"\nendstream\nendobj\nstartxref\n9\n%%EOF\n"
+    sound = media.to_wav(media.payload_of(b"noise" + pdf))
+    out = media.sniff(spark.createDataFrame([(1, pdf, None), (2, sound, None)], "id int, media binary, declared string"))
+    jpeg = pdf.index(JPEG)
+    found = {r["id"]: (r["_type"], [(m["type"], m["offset"]) for m in r["_embedded"]]) for r in out.collect()}
+    assert found == {1: ("application/pdf", [("image/jpeg", jpeg)]), 2: ("audio/wav", [("application/pdf", 49), ("image/jpeg", 49 + jpeg)])}
+    assert sorted(bytes(r["carved"]) for r in media.carve(out).collect()) == sorted([JPEG, JPEG, pdf])
+
+
+def test_media_features_report_what_a_text_holds(spark):
+    text = "see %PDF-1.4\n1 0 obj\nendobj\nstartxref\n9\n%%EOF"
+    docs = spark.createDataFrame([(1, text), (2, "no medium")], "doc_id bigint, text string")
+    found = {r["doc_id"]: r["feature"] for r in media.features(media.store_texts(docs)).collect()}
+    assert found[1].endswith(f"embedded=1;holds=application/pdf@4+{len(text) - 4}") and found[2].endswith("embedded=0;holds=")
