@@ -6,8 +6,10 @@ words.  A template with fewer words than that is one shingle of all its words.
 Retrieval.  A text's shingles are cut into blocks of ``BLOCK``; each pair of neighbouring
 blocks is a window, so windows overlap by half.  A window's signature is its minimum
 under ``len(MASKS)`` permutations (a hash XOR a fixed mask), and every permutation is a
-band of one row: windows of Jaccard similarity J meet in some band with probability
-1 - (1 - J)^4, which is 0.9375 at J = 0.5.  Templates are windowed at every offset, so a
+band of one row.  The masks differ in their two top bits, so the four minima come from four
+different quarters of the hashes and never favour the same shingle: windows of Jaccard
+similarity J meet in some band with probability 1 - (1 - J)^4 or more (0.9375 at J = 0.5; a test
+measures it).  Templates are windowed at every offset, so a
 verbatim copy holds a window equal to a template's (J = 1: certain retrieval), and a copy
 of n shingles offers about n / BLOCK windows.  Templates shorter than ``SHORT`` shingles
 use windows of one shingle, whose signature is the shingle itself: certain retrieval of
@@ -18,7 +20,9 @@ shingles, compared as strings, occur in the text.
 
 Everything is one projection a row: no shuffle, no join.  The templates are parameters,
 held as literals (a few hundred short texts at most; ``MAX_TEMPLATES`` is checked).
-Defined results: null and empty texts match nothing; repeated rows each give their matches.
+Defined results: null and empty texts match nothing; repeated rows each give their matches;
+texts of any length are scanned whole, each in its own row; only ``key`` and ``text`` are read,
+so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -35,8 +39,8 @@ CONTAINMENT = 0.8
 BLOCK = 4
 SHORT = 12
 MAX_TEMPLATES = 512
-#: Fixed masks of the permutations.
-MASKS = (0x0000000000000000, 0x5A827999B504F333, 0x2545F4914F6CDD1D, 0x7FEDCBA987654321)
+#: Masks of the permutations as signed longs, one for each value of the two top bits.
+MASKS = tuple((top << 62 | low) - (top >> 1 << 64) for top, low in ((0, 0), (1, 0x1A827999B504F333), (2, 0x2545F4914F6CDD1D), (3, 0x3FEDCBA987654321)))
 
 #: Notices by licence; fixed texts.
 TEMPLATES = {
