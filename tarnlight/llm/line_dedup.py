@@ -8,7 +8,10 @@ Defined results: a line is what stands between line feeds, compared without whit
 at its ends; blank lines are never counted and never dropped; a line counts once a page.
 A null text has no lines and stays null; a null host is a host of its own.  Equal texts of
 a host are one page, in both counts, so that copies don't make their own content boilerplate;
-the lines of every row are dropped alike.  Other columns pass through.
+the lines of every row are dropped alike, texts of any length whole.  Other columns pass through,
+whatever their names, but for ``_lines`` and ``_dropped``, which are replaced.  Lines are told
+apart by 64-bit names, only within one host: among 10^9 distinct lines of a host a false match
+with one of its boilerplate lines has a probability of about 10^-9.
 
 Scale: the 64-bit line names of each distinct page and the counts of (host, line name) are
 shuffled, both reduced on the map side first, so copies and a common line of a hot host are
@@ -27,7 +30,6 @@ from tarnlight.llm.shared import StepTables, once
 
 RATIO = 0.1
 LEAST = 2  #: a line on one page is no repetition
-MIN_PAGES = 20  #: of :data:`ORACLE` only, which leaves smaller hosts alone
 BLANKS = " \t\r\x0b\x0c"
 
 
@@ -62,35 +64,36 @@ def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", rati
 
 
 def line_dedup(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
-    """``pages`` with the boilerplate lines gone from ``text``, and ``_lines``, ``_dropped``: lines before, lines dropped.
-
-    The input's columns stay as they are; names with a leading underscore belong to the operator.
-    """
+    """``pages`` with the boilerplate lines gone from ``text``, and ``_lines``, ``_dropped``: lines before, lines dropped."""
     bad = boilerplate(pages, host, text, ratio, least).groupBy("_host", "_none").agg(F.collect_list("_line").alias("_bad"))
     # As a written table its size is known, so Spark broadcasts it below its threshold and shuffles pages only above.
     bad = StepTables(pages, "line-dedup").keep(bad)
-    keyed = pages.withColumns({"_host": F.coalesce(F.col(host).cast("string"), F.lit("")), "_none": F.col(host).isNull()})
+    # The page is one struct, so that no name of its columns can clash with one of the operator's.
+    names = [c for c in pages.columns if c not in ("_lines", "_dropped")]
+    rest = [F.col(f"`{c}`") for c in names if c != text]
+    keyed = pages.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.col(host).isNull().alias("_none"), F.col(text).alias("_text"), (F.struct(*rest) if rest else F.lit(0)).alias("_page"))
     found = keyed.join(bad, ["_host", "_none"], "left")
-    found = once(found, "_mine", F.when(F.col("_bad").isNotNull(), F.array_intersect(_names(F.col(text)), F.col("_bad"))))
-    lines = _lines(F.col(text))
+    found = once(found, "_mine", F.when(F.col("_bad").isNotNull(), F.array_intersect(_names(F.col("_text")), F.col("_bad"))))
+    lines = _lines(F.col("_text"))
     kept = F.filter(lines, lambda x: (F.btrim(x, F.lit(BLANKS)) == "") | ~F.array_contains(F.col("_mine"), _name(x)))
     some = F.coalesce(F.size("_mine") > 0, F.lit(False))
     done = found.withColumn("_kept", F.when(some, kept)).withColumns({
-        "_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long"),
+        "_lines": F.when(F.col("_text").isNull(), 0).otherwise(F.size(lines)).cast("long"),
         "_dropped": F.when(some, F.size(lines) - F.size("_kept")).otherwise(0).cast("long"),
+        "_text": F.when(some, F.array_join("_kept", "\n")).otherwise(F.col("_text")),
     })
-    done = done.withColumn(text, F.when(some, F.array_join("_kept", "\n")).otherwise(F.col(text)))
-    return done.select(*[F.col(f"`{c}`") for c in pages.columns], "_lines", "_dropped")
+    return done.select(*[F.col("_text").alias(c) if c == text else F.col("_page").getField(c).alias(c) for c in names], "_lines", "_dropped")
 
 
-#: DuckDB SQL for the digest query; {ratio} and {min_pages} are filled in.
+#: DuckDB SQL for the digest query; {ratio} and {least} are filled in.
 ORACLE = r"""
 WITH pages AS (SELECT doc_id, source, text, row_number() OVER () AS r FROM documents),
-totals AS (SELECT source, count(*) AS total FROM pages GROUP BY source),
+one AS (SELECT source, text, row_number() OVER () AS i FROM (SELECT DISTINCT source, text FROM documents)),
+totals AS (SELECT source, count(*) AS total FROM one GROUP BY source),
+freq AS (SELECT source, t, count(DISTINCT i) AS df FROM (SELECT source, i, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS t FROM one) WHERE t <> '' GROUP BY source, t),
+bad AS (SELECT f.source, f.t FROM freq f JOIN totals o ON f.source IS NOT DISTINCT FROM o.source WHERE f.df >= {least} AND f.df > {ratio} * o.total),
 lines AS (SELECT r, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM pages),
 trimmed AS (SELECT *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS t FROM lines),
-freq AS (SELECT source, t, count(DISTINCT r) AS df FROM trimmed WHERE t <> '' GROUP BY source, t),
-bad AS (SELECT f.source, f.t FROM freq f JOIN totals o ON f.source IS NOT DISTINCT FROM o.source WHERE o.total >= {min_pages} AND f.df > {ratio} * o.total),
 marked AS (SELECT l.r, l.n, l.line, b.t IS NOT NULL AS gone FROM trimmed l LEFT JOIN bad b ON l.source IS NOT DISTINCT FROM b.source AND l.t = b.t),
 back AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone) AS kept FROM marked GROUP BY r)
 SELECT p.doc_id, CAST(coalesce(b.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(b.n_dropped, 0) AS BIGINT) AS n_dropped,

@@ -143,7 +143,7 @@ SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGIN
 """
 
 ORACLE_SQL = {
-    "op2_line_dedup": line_dedup.ORACLE.format(ratio=line_dedup.RATIO, min_pages=line_dedup.MIN_PAGES),
+    "op2_line_dedup": line_dedup.ORACLE.format(ratio=line_dedup.RATIO, least=line_dedup.LEAST),
     "op3_license_scan": license_scan.oracle(),
     "op4_decontaminate": ORACLE_OP4,
     "op5_warc": ORACLE_OP5,
