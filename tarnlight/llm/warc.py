@@ -9,8 +9,14 @@ table, written and committed by Spark, because executors share no local files;
 Of records with equal payloads of at least ``min_bytes`` bytes, that with the largest id
 is a ``response``; the others are ``revisit`` records that refer to it and hold no payload.
 Defined results: a null payload is empty; a null id is never the largest unless all are
-null; rows that repeat the largest id and payload are all responses; extra columns are
-not read.
+null, and differs from an empty one; rows that repeat the largest id and payload are all
+responses; ids and URLs of any characters fit into one header line (a URL's white space and
+control characters read back as ``%XX``, a null URL as ``about:blank``); payloads of any length
+are one record; extra columns are not read; an empty table gives no archives.
+
+The dictionary is trained on evenly spread pieces of all of an archive's records, however
+large those are.  Where training finds nothing in common (or sees too little) the dictionary is
+the pieces' raw bytes; only archives below ``8 * MIN_DICTIONARY`` bytes have none.
 
 Scale: equal payloads meet by hash; only (hash, largest id) of hashes that occur twice is
 joined back, and Spark splits a hot payload's rows in that join.  A task holds one
@@ -22,9 +28,11 @@ from __future__ import annotations
 import hashlib
 import io
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,8 +44,11 @@ from tarnlight.llm.shared import utf8
 MIN_BYTES = 1_000
 ARCHIVE_BYTES = 8 << 20
 DICTIONARY_BYTES = 64 << 10
-#: Bound of the bytes of an archive's records that its dictionary is trained on.
+MIN_DICTIONARY = 256
+#: Bound of the bytes of an archive's records that its dictionary is trained on, and of each piece of them.
 TRAINING_BYTES = 1 << 20
+PIECE_BYTES = 2 << 10
+DICTIONARY_MAGIC = b"\x37\xa4\x30\xec"
 LEVEL = 3
 SKIPPABLE = 0x184D2A5D
 FEED = 8 << 10
@@ -58,7 +69,16 @@ def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", paylo
 
 
 def record_id(key) -> str:
-    return f"<urn:x-record:{'' if key is None else key}>"
+    return "<urn:x-record>" if key is None else f"<urn:x-record:{quote(str(key), safe='')}>"
+
+
+def key_of(urn: str | None) -> str | None:
+    """The id in a record's name; None where it has none."""
+    return unquote(urn[14:-1]) if urn and urn.startswith("<urn:x-record:") else None
+
+
+def target_uri(url: str | None) -> str:
+    return re.sub(r"[\s\x00-\x20\x7f-\xa0]", lambda m: quote(m.group()), url or "about:blank")
 
 
 def build_record(key, url: str | None, payload: bytes, refers_to, record_type: str) -> bytes:
@@ -70,7 +90,7 @@ def build_record(key, url: str | None, payload: bytes, refers_to, record_type: s
         f"WARC-Type: {record_type}",
         f"WARC-Record-ID: {record_id(key)}",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {' '.join((url or 'about:blank').split())}",
+        f"WARC-Target-URI: {target_uri(url)}",
         f"WARC-Payload-Digest: sha1:{hashlib.sha1(payload).hexdigest()}",
     ]
     if record_type == "revisit":
@@ -79,19 +99,28 @@ def build_record(key, url: str | None, payload: bytes, refers_to, record_type: s
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def training_pieces(records: list[bytes]) -> list[bytes]:
+    """Pieces of at most ``PIECE_BYTES``, evenly spread over all records, ``TRAINING_BYTES`` in all."""
+    places = [(k, at) for k, r in enumerate(records) for at in range(0, len(r), PIECE_BYTES)]
+    step = max(1.0, sum(map(len, records)) / TRAINING_BYTES)
+    chosen = (places[int(i * step)] for i in range(int(len(places) / step)))
+    return [records[k][at : at + PIECE_BYTES] for k, at in chosen]
+
+
 def _train(records: list[bytes]) -> bytes:
-    """A dictionary from a bounded, evenly spread part of the records; empty if they are too few."""
+    """A dictionary from the archive's own records; empty only for an archive of next to nothing."""
     import zstandard
 
-    step = max(1, sum(map(len, records)) // TRAINING_BYTES)
-    samples = records[::step]
-    size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
-    if len(samples) < 8 or size < 1024:
+    pieces = training_pieces(records)
+    size = min(DICTIONARY_BYTES, sum(map(len, pieces)) // 8)
+    if size < MIN_DICTIONARY:
         return b""
     try:
-        return zstandard.train_dictionary(size, samples, k=64, d=8, steps=1, threads=0).as_bytes()
-    except zstandard.ZstdError:  # records without anything in common have no dictionary
-        return b""
+        return zstandard.train_dictionary(size, pieces, k=64, d=8, steps=1, threads=0).as_bytes()
+    except zstandard.ZstdError:  # too few pieces, or nothing in common
+        each = -(-size // len(pieces))
+        raw = b"".join(p[:each] for p in pieces)[:size]
+        return b" " + raw if raw.startswith(DICTIONARY_MAGIC) else raw
 
 
 def build_archive(records: list[bytes]) -> bytes:
@@ -177,9 +206,6 @@ def read_archives(archives: DataFrame, key: T.DataType | None = None) -> DataFra
     schema = ", ".join(f"{n} {k}" for n, k in zip(names, kinds))
     arrow = pa.schema([(n, {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}[k]) for n, k in zip(names, kinds)])
 
-    def name(urn: str | None) -> str | None:
-        return urn.removeprefix("<urn:x-record:").removesuffix(">") or None if urn else None
-
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for content in batch.column(0):
@@ -187,7 +213,7 @@ def read_archives(archives: DataFrame, key: T.DataType | None = None) -> DataFra
                 for record in read_archive(content.as_py()):
                     r = parse_record(record)
                     f = r["fields"]
-                    rows.append((name(f["WARC-Record-ID"]), f["WARC-Target-URI"], r["payload_bytes"], r["digest"], f["WARC-Type"], name(f.get("WARC-Refers-To")), r["payload"]))
+                    rows.append((key_of(f["WARC-Record-ID"]), f["WARC-Target-URI"], r["payload_bytes"], r["digest"], f["WARC-Type"], key_of(f.get("WARC-Refers-To")), r["payload"]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), arrow)], schema=arrow)
 
