@@ -8,8 +8,11 @@ Fitting is bounded and documented: at most ``DOCS`` distinct labelled texts of a
 whose hash is least within a share of them that is drawn by hash), a window of ``CHARS_EACH``
 characters at a hashed place of each (more where the texts are few), ``CHARS`` in all;
 every character seen in them is a symbol of its own.  Prediction parses
-every whole text, in segments of ``SEGMENT`` characters (a phrase ends at a segment's end);
-all languages and the segments of many texts are parsed in step, as array operations.
+every whole text.  Long texts are parsed in segments of ``SEGMENT`` characters at once, each from
+``WARM`` characters before it; where the parse so begun does not stand in the state in which the
+segment before has ended, the segment is parsed again from that state.  So the phrases are
+those of one parse from the text's start, whatever the segments.
+All languages and the segments of many texts are parsed in step, as array operations.
 
 Defined results: a null text and one without a letter are ``und`` with score 0; without any
 labelled text all are ``und``; equal counts go to the alphabetically first language; the
@@ -34,6 +37,7 @@ DOCS = 160
 CHARS_EACH = 400
 CHARS = 40_000
 SEGMENT = 4_096
+WARM = 512
 UNDETERMINED = "und"
 
 
@@ -137,15 +141,12 @@ def train(texts: dict[str, list[str]], chars: int = CHARS) -> Model:
     return Model(list(joined), points, np.concatenate(owners or empty), np.concatenate(targets or empty), first, np.array(roots, np.int64), np.array([len(t) for t in joined.values()], np.int64))
 
 
-def phrase_counts(model: Model, texts: list[str]) -> np.ndarray:
-    """[text, language]: how many phrases each text parses into."""
-    kind = np.int16 if model.classes < 1 << 15 else np.int32
-    lookup = np.zeros(0x110000 if len(model.chars) and model.chars[-1] > 0xFFFF else 0x10000, kind)
-    lookup[model.chars] = np.arange(1, len(model.chars) + 1)
-    codes = [np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-    owner = np.repeat(np.arange(len(codes)), [-(-len(c) // SEGMENT) for c in codes])
-    segments = [lookup[np.where(c[at : at + SEGMENT] < len(lookup), c[at : at + SEGMENT], 0)] for c in codes for at in range(0, len(c), SEGMENT)]
-    out = np.zeros((len(texts), len(model.languages)), np.int64)
+def _parse(model: Model, segments: list[np.ndarray], begin: np.ndarray, warm: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(count, first, last), each [language, segment]: phrases ended after the segment's first ``warm`` symbols, the state there and at the end.
+
+    ``begin`` holds the states that the segments start from.
+    """
+    count, first, last = np.zeros(begin.shape, np.int64), begin.copy(), begin.copy()
     roots = model.roots[:, None].astype(np.int32)
     lengths = np.array([len(s) for s in segments], np.int64)
     order = np.argsort(-lengths, kind="stable")
@@ -153,22 +154,51 @@ def phrase_counts(model: Model, texts: list[str]) -> np.ndarray:
     for at in range(0, len(order), 1024):
         part = order[at : at + 1024]
         size = lengths[part]
-        grid = np.zeros((int(size[0]), len(part)), kind)
+        grid = np.zeros((int(size[0]), len(part)), segments[part[0]].dtype)
         for k, i in enumerate(part):
             grid[: size[k], k] = segments[i]
         active = np.searchsorted(-size, -np.arange(len(grid)), side="left")
-        state = np.repeat(roots, len(part), axis=1)
-        count = np.zeros(state.shape, np.int32)
+        state, seen = begin[:, part], np.zeros((len(begin), len(part)), np.int32)
         for t in range(len(grid)):
+            if t == WARM:
+                late = np.flatnonzero(warm[part])
+                first[:, part[late]] = state[:, late]
+                seen[:, late] = 0
             m = active[t]
             held, symbol = state[:, :m], grid[t, :m]
             cell = held + symbol
             ends, alone = model.owner[cell] != held, model.first[:, symbol]
             # A character the language lacks closes the phrase before it, if one is open, and is one more.
-            count[:, :m] += ends
-            count[:, :m] += (alone == roots) & (held != roots)
+            seen[:, :m] += ends
+            seen[:, :m] += (alone == roots) & (held != roots)
             state[:, :m] = np.where(ends, alone, model.target[cell])
-        np.add.at(out, owner[part], (count + (state != roots)).T)  # and the phrase that the segment's end closes
+        count[:, part], last[:, part] = seen, state
+    return count, first, last
+
+
+def phrase_counts(model: Model, texts: list[str]) -> np.ndarray:
+    """[text, language]: how many phrases each text parses into."""
+    kind = np.int16 if model.classes < 1 << 15 else np.int32
+    lookup = np.zeros(0x110000 if len(model.chars) and model.chars[-1] > 0xFFFF else 0x10000, kind)
+    lookup[model.chars] = np.arange(1, len(model.chars) + 1)
+    symbols = []
+    for t in texts:
+        c = np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        symbols.append(lookup[np.where(c < len(lookup), c, 0)])
+    places = [(k, at) for k, c in enumerate(symbols) for at in range(0, len(c), SEGMENT)]
+    out = np.zeros((len(texts), len(model.languages)), np.int64)
+    if not places:
+        return out
+    owner, inner = np.array([k for k, _ in places]), np.array([at > 0 for _, at in places])
+    roots = np.repeat(model.roots[:, None].astype(np.int32), len(places), axis=1)
+    count, first, last = _parse(model, [symbols[k][max(at - WARM, 0) : at + SEGMENT] for k, at in places], roots, inner)
+    # Each round mends at least the first segment of a text that began in a wrong state.
+    while len(wrong := np.flatnonzero(np.r_[False, (first[:, 1:] != last[:, :-1]).any(axis=0)] & inner)):
+        begin = last[:, wrong - 1]
+        again, _, end = _parse(model, [symbols[k][at : at + SEGMENT] for k, at in (places[i] for i in wrong)], begin, np.zeros(len(wrong), bool))
+        count[:, wrong], first[:, wrong], last[:, wrong] = again, begin, end
+    closing = np.r_[owner[1:] != owner[:-1], True]
+    np.add.at(out, owner, (count + ((last != roots) & closing)).T)  # and the phrase that the text's end closes
     return out
 
 
