@@ -10,7 +10,8 @@ the samples of an 8-bit mono WAV file.
 
 Defined results: a null cell is an empty one; an empty cell has no medium and keeps its
 declared type (``application/octet-stream`` where null); equal cells give equal values;
-repeated rows each get a row; input columns pass through.
+repeated rows each get a row; cells of any length are sniffed whole; input columns pass through
+under any names, and those that the operator adds replace columns of the same names.
 """
 
 from __future__ import annotations
@@ -344,7 +345,8 @@ def features(media: DataFrame, key: str = "doc_id", content: str = "media", decl
 
     Columns: n_bytes (of the text), payload_bytes, payload_sha256, tail_crc32 (of the last 64
     bytes), media_bytes, media_sha256, feature (type, mean and peak of the samples, zero
-    crossings, number of embedded media, and each as type@offset+length in the payload).
+    crossings, number of embedded media, and each medium carved from the payload as
+    type@offset+length#crc32).
     """
     import numpy as np
 
@@ -358,7 +360,7 @@ def features(media: DataFrame, key: str = "doc_id", content: str = "media", decl
             for cell, said, n in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 found, parts = _judge(cell, said)
                 payload = from_wav(cell)
-                held = ",".join(f"{t}@{o}+{k}" for t, o, k in find_media(payload))
+                held = ",".join(f"{t}@{o}+{k}#{zlib.crc32(memoryview(payload)[o : o + k]):08x}" for t, o, k in find_media(payload))
                 samples = np.frombuffer(payload, np.uint8)
                 above = samples >= 128
                 feature = f"type={found};mean={samples.mean():.4f};peak={samples.max()};crossings={int((above[1:] != above[:-1]).sum())};embedded={len(parts)};holds={held}"
