@@ -6,9 +6,13 @@ overlap of two neighbours, the boundaries that both see show where the two runs
 resynchronise; the text is stitched there and each piece between two stitches is
 encoded as an independent row.  Decoding concatenates the raw bytes of the ids.
 
-Defined results: null and empty texts have no ids; repeated rows each get a row; other
-columns of the input are not read.  A stretch whose overlap holds no common boundary
-(one word longer than the overlap) stays in one piece up to the text's end.
+Where an overlap holds no common boundary (a word longer than it), only the chunks on its two
+sides become one chunk, which is pre-tokenised again and stitched to its neighbours; this repeats
+until all stitches hold.  Such a chunk is cut at its own boundaries before it is encoded, so
+only a single pre-token longer than a chunk stays whole, as its encoding must.
+
+Defined results: null and empty texts have no ids; repeated rows each get a row; texts of any
+length are encoded whole; only the key and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnlight.llm.shared import batches, utf8
+from tarnlight.llm.shared import StepTables, batches, utf8
 
 CHUNK = 65_536
 OVERLAP = 1_024
@@ -57,14 +61,14 @@ def _text(cell: bytes | None) -> str:
 
 
 def boundaries(text: str, pattern: str) -> list[int]:
-    """Ends of pre-tokens after which a text may be cut: between a non-space and a space.
+    """Ends of pre-tokens after which a text may be cut: behind a letter or digit before anything else, or a non-space before a space.
 
-    A cut elsewhere could change the match of a run of spaces before it.
+    Pre-tokens look ahead of their end only behind white space, so a cut there changes no match.
     """
     import regex
 
     ends = (m.end() for m in regex.finditer(pattern, text))
-    return [e for e in ends if e < len(text) and text[e].isspace() and not text[e - 1].isspace()]
+    return [e for e in ends if e < len(text) and not text[e - 1].isspace() and (text[e].isspace() or text[e - 1].isalnum())]
 
 
 def _encode(cells: list[bytes | None], path: str, pattern: str) -> list[list[int]]:
@@ -77,62 +81,92 @@ def decode_ids(ids, path: str) -> bytes:
     return b"".join(map(_token_bytes(path).__getitem__, ids))
 
 
-def _pieces(docs: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
-    """(row, piece, text) for long texts: the stretches between two stitches."""
-    schema = T.StructType([T.StructField("row", T.StringType()), T.StructField("piece", T.LongType()), T.StructField("chunk", T.BinaryType())])
-    arrow = pa.schema([("row", pa.string()), ("piece", pa.int64()), ("chunk", pa.binary())])
+def _chunks(texts: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
+    """(row, first, text, head, tail, cuts) of each chunk of long texts.
+
+    ``first`` is the place of the chunk's first character in its text, ``head`` and ``tail`` are the
+    boundaries in the overlaps with the chunks before and after, as places in the text.
+    """
 
-    def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in source:
                 for row, cell in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
                     text = _text(cell)
-                    for k, start in enumerate(range(0, max(len(text), 1), chunk)):
-                        yield row, k, text[start : start + chunk + overlap].encode()
+                    for first in range(0, max(len(text) - overlap, 1), chunk):  # the last chunk holds more than its overlap
+                        yield row, first, text[first : first + chunk + overlap].encode()
 
-        yield from batches(rows(), arrow)
+        yield from batches(rows(), pa.schema(list(_CHUNKS)[:3]))
 
-    chunks = docs.select("row", "text").mapInArrow(cut, schema).repartition("row", "piece")
-    seen = T.StructType([T.StructField("row", T.StringType()), T.StructField("piece", T.LongType()), T.StructField("head", T.ArrayType(T.IntegerType())), T.StructField("tail", T.ArrayType(T.IntegerType()))])
-    seen_arrow = pa.schema([("row", pa.string()), ("piece", pa.int64()), ("head", pa.list_(pa.int32())), ("tail", pa.list_(pa.int32()))])
+    cut = texts.select("row", "text").mapInArrow(run, "row string, first bigint, text binary").repartition("row", "first")
+    return cut.mapInArrow(_seen(pattern, chunk, overlap), CHUNKS)
 
-    def pre_tokenise(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for batch in source:
-                for row, k, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2))):
-                    found = boundaries(_text(cell), pattern)
-                    yield row, k, [e for e in found if e < overlap], [e - chunk for e in found if e >= chunk]
-
-        yield from batches(rows(), seen_arrow)
-
-    order = Window.partitionBy("row").orderBy("piece")
-    met = F.array_min(F.array_intersect("head", F.lag("tail").over(order)))
-    # A stitch holds only while every stitch before it in the text has held.
-    stitched = chunks.mapInArrow(pre_tokenise, seen).select("row", "piece", F.when(F.col("piece") == 0, 0).otherwise(met).alias("start"))
-    firm = F.max(F.col("start").isNull()).over(order)
-    stitched = stitched.select("row", "piece", F.when(~firm, F.col("start")).alias("start"))
-    limits = stitched.select("row", "piece", "start", F.lead("start").over(order).alias("stop"), F.lead("piece").over(order).isNotNull().alias("more"))
-    whole = T.StructType([T.StructField("row", T.StringType()), T.StructField("piece", T.LongType()), T.StructField("part", T.LongType()), T.StructField("text", T.BinaryType())])
-    whole_arrow = pa.schema([("row", pa.string()), ("piece", pa.int64()), ("part", pa.int64()), ("text", pa.binary())])
-
-    def slices(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+CHUNKS = "row string, first bigint, text binary, head array<bigint>, tail array<bigint>, cuts array<bigint>"
+_CHUNKS = pa.schema([("row", pa.string()), ("first", pa.int64()), ("text", pa.binary()), ("head", pa.list_(pa.int64())), ("tail", pa.list_(pa.int64())), ("cuts", pa.list_(pa.int64()))])
+
+
+def _seen(pattern: str, chunk: int, overlap: int):
+    """A mapInArrow function over (row, first, text): pre-tokenises each chunk."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in source:
-                named = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names) if n != "chunk"}
-                cells = utf8(batch.column(batch.schema.names.index("chunk")))
-                for row, k, start, stop, more, owner, cell in zip(named["row"], named["piece"], named["start"], named["stop"], named["more"], named["owner"], cells):
+                for row, first, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2))):
                     text = _text(cell)
-                    end = chunk + stop if stop is not None else (chunk if more else len(text))
-                    yield row, owner, k, text[(start or 0) : end].encode()
-
-        yield from batches(rows(), whole_arrow)
+                    found = [first + e for e in boundaries(text, pattern)]
+                    after = first + max(len(text) - overlap, 0)  # where the next chunk begins
+                    cuts = [next(iter(found[i : i + 1]), None) for i in np.searchsorted(found, range(first + chunk, after, chunk))]
+                    yield row, first, cell, [e for e in found if e < first + overlap], [e for e in found if e >= after], sorted({c for c in cuts if c is not None})
+
+        yield from batches(rows(), _CHUNKS)
+
+    return run
+
+
+def _stitched(chunks: DataFrame, tables: StepTables, pattern: str, chunk: int, overlap: int) -> DataFrame:
+    """(row, first, start, stop) and the chunk's columns: chunks whose stitches all hold."""
+    order = Window.partitionBy("row").orderBy("first")
+    chunks, path = tables.write(chunks)
+    while True:
+        met = F.array_min(F.array_intersect("head", F.lag("tail").over(order)))
+        narrow = chunks.select("row", "first", "head", "tail").withColumn("start", F.when(F.col("first") == 0, F.lit(0).cast("bigint")).otherwise(met))
+        if narrow.filter("start IS NULL").isEmpty():
+            stops = narrow.select("row", "first", "start", F.lead("start").over(order).alias("stop"))
+            return chunks.select("row", "first", "text", "cuts").join(stops, ["row", "first"])
+        # Chunks on both sides of a failed stitch become one; all others stay as they are.
+        grouped = narrow.withColumn("group", F.count("start").over(order))
+        grouped = grouped.withColumn("members", F.count("*").over(Window.partitionBy("row", "group"))).select("row", "first", "group", "members", (F.lead("first").over(order) - F.col("first")).alias("own"))
+        both = chunks.join(grouped, ["row", "first"])
+        parts = F.sort_array(F.collect_list(F.struct("first", "own", "text")))
+        joined = both.filter("members > 1").groupBy("row", "group").agg(F.min("first").alias("first"), parts.alias("parts")).select("row", "first", "parts").mapInArrow(_joined, "row string, first bigint, text binary").mapInArrow(_seen(pattern, chunk, overlap), CHUNKS)
+        before = path
+        chunks, path = tables.write(both.filter("members = 1").select(*chunks.columns).unionByName(joined))
+        tables.drop(before)
+
+
+def _joined(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of neighbouring chunks: each without its overlap but for the last."""
+    for batch in source:
+        for row, first, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            texts = [_text(p["text"]) if k == len(parts) - 1 else _text(p["text"])[: p["own"]] for k, p in enumerate(parts)]
+            yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([first], pa.int64()), pa.array(["".join(texts).encode()], pa.binary())], names=["row", "first", "text"])
+
+
+def _pieces(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, place, text): what lies between two stitches, cut again where the chunk is a joined one."""
+    schema = pa.schema([("row", pa.string()), ("place", pa.int64()), ("text", pa.binary())])
+
+    def rows():
+        for batch in source:
+            for row, first, cell, cuts, start, stop in zip(*[utf8(batch.column(i)) if i == 2 else batch.column(i).to_pylist() for i in range(6)]):
+                text = _text(cell)
+                end = first + len(text) if stop is None else stop
+                places = [start, *[c for c in cuts if start < c < end], end]
+                for a, b in zip(places, places[1:]):
+                    yield row, a, text[a - first : b - first].encode()
 
-    owner = F.last(F.when(F.col("start").isNotNull(), F.col("piece")), ignorenulls=True).over(order)
-    limits = limits.withColumn("owner", owner)
-    parts = chunks.join(limits, ["row", "piece"]).mapInArrow(slices, whole)
-    # Parts of one piece (only where no stitch held) are put together again before encoding.
-    parts = parts.groupBy("row", "piece").agg(F.sort_array(F.collect_list(F.struct("part", "text"))).alias("parts"))
-    return parts.select("row", "piece", F.expr("aggregate(parts, cast('' as binary), (a, x) -> concat(a, x.text))").alias("text"))
+    yield from batches(rows(), schema)
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -178,12 +212,14 @@ def _coded(docs: DataFrame, ranks: str, pattern: str, key: str, text: str, chunk
     long_text = F.coalesce(F.length("text") > chunk, F.lit(False))
     of_short = source.filter(~long_text).mapInArrow(short, T.StructType([key_out, *outs]))
 
-    # Repeated rows stay apart: a row's place in its group of equal (key, text) is part of its name.
+    # Repeated rows stay apart: they are one named row with a number of copies.
+    tables = StepTables(docs, "bpe")
     named = source.filter(long_text).withColumn("row", F.concat_ws(":", F.coalesce(F.col("key").cast("string"), F.lit("null")), F.sha2("text", 256)))
-    counted = named.groupBy("row").agg(F.first("key").alias("key"), F.first("text").alias("text"), F.count("*").alias("copies"))
-    pieces = _pieces(counted.select("row", "text"), pattern, chunk, overlap).repartition("row", "piece")
-    piece_ids = T.StructType([T.StructField("row", T.StringType()), T.StructField("piece", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    piece_arrow = pa.schema([("row", pa.string()), ("piece", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    counted = tables.keep(named.groupBy("row").agg(F.first("key").alias("key"), F.first("text").alias("text"), F.count("*").alias("copies")))
+    pieces = _stitched(_chunks(counted, pattern, chunk, overlap), tables, pattern, chunk, overlap)
+    pieces = pieces.select("row", "first", "text", "cuts", "start", "stop").mapInArrow(_pieces, "row string, place bigint, text binary").repartition("row", "place")
+    piece_ids = T.StructType([T.StructField("row", T.StringType()), T.StructField("place", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    piece_arrow = pa.schema([("row", pa.string()), ("place", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def by_piece(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -193,7 +229,7 @@ def _coded(docs: DataFrame, ranks: str, pattern: str, key: str, text: str, chunk
 
         yield from batches(rows(), piece_arrow, size=16)
 
-    joined = pieces.mapInArrow(by_piece, piece_ids).groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("piece", "ids"))), lambda x: x.ids)).alias("ids"))
+    joined = pieces.mapInArrow(by_piece, piece_ids).groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("place", "ids"))), lambda x: x.ids)).alias("ids"))
     with_key = counted.select("row", "key", "copies").join(joined, "row").select("key", "ids", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
 
     def finish(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
