@@ -1,6 +1,7 @@
 """Inputs on which a cut in an operator would lose part of the job."""
 
 import random
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -78,4 +79,4 @@ def test_media_features_report_what_a_text_holds(spark):
     text = "see %PDF-1.4\n1 0 obj\nendobj\nstartxref\n9\n%%EOF"
     docs = spark.createDataFrame([(1, text), (2, "no medium")], "doc_id bigint, text string")
     found = {r["doc_id"]: r["feature"] for r in media.features(media.store_texts(docs)).collect()}
-    assert found[1].endswith(f"embedded=1;holds=application/pdf@4+{len(text) - 4}") and found[2].endswith("embedded=0;holds=")
+    assert found[1].endswith(f"embedded=1;holds=application/pdf@4+{len(text) - 4}#{zlib.crc32(text[4:].encode()):08x}") and found[2].endswith("embedded=0;holds=")
