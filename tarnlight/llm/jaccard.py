@@ -16,19 +16,23 @@ copies never multiply.
 3. *Heavy sets*, above ``x``, and sets large enough to link with one, are entered in the
    inverted lists of their prefix shingles (k = 1), which are scanned.  ``x`` is where the
    cost of subsets below and of scanned list entries above, summed over all sets, is least.
-4. Sets that share a subset or list fall into one candidate group (components of the keys).
-   Each group's sets are fetched once and every pair in a group is decided exactly, by
-   scanning the group's own inverted lists.  A group of more than ``GROUP`` sets is cut into
-   blocks, and every pair of blocks is a task of its own, so memory stays bounded and no
-   pair is lost.  Only links that join two parts of a task's forest are emitted: at most one
-   fewer than its sets.
-5. Components of the links give each document's class.
+4. *Hubs.*  A subset or list that several sets share has a hub, its least set.  Every set is
+   verified exactly against one hub, that of most of its keys; a hub with many sets is sent to
+   many tasks.  Links contract sets to trees, and keys whose sets stand in one tree are done.
+5. *The rest.*  Sets that share a key which is not done are in one group.  Sets outside a group's
+   largest tree are decided against each other and against that tree, by scanning inverted
+   lists of shingles; sets within the tree never meet again.  Blocks of ``GROUP`` sets (fewer where
+   sets are large) bound a task, and each pair of blocks is a task of its own, so no pair is
+   lost.  Only links that join two parts of a task's forest are emitted.
+6. Components of the links give each document's class.
 
 Defined results: null, empty and white-space texts have the empty set and link with
 nothing; a text of fewer words than ``shingle`` has one shingle of all its words; rows that
 repeat an id are one node whose links are those of all its rows, with a row each in the
-result; a null id is never linked and its component is null; other columns are not read.
-Shingles and sets are compared by 64-bit names.
+result; a null id is never linked and its component is null; texts of any length are taken whole;
+only the key and the text are read, so other columns may have any name.
+Shingles have 64-bit names.  A set's name has 64 bits too, and a second one tells whether it
+names different sets; those go by their second name.
 """
 
 from __future__ import annotations
@@ -43,7 +47,9 @@ from pyspark.sql import functions as F
 from tarnlight.llm.components import components
 from tarnlight.llm.shared import StepTables, pair_name, utf8, width
 
-GROUP = 4_096
+GROUP = 1_024
+#: Sets that meet their hub in one task.
+PART = 256
 SIZES = 4_096
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -92,18 +98,24 @@ def head_of(names: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
     return names[: max(counted, longest)], counted
 
 
-TOKENS = "doc {kind}, sid bigint, n bigint, m int, token bigint, place int"
+TOKENS = "doc {kind}, sid bigint, other bigint, n bigint, m int, token bigint, place int"
 
 
-def _tokens(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """A row (doc, sid, n, m) for each document and a row (sid, token, place) for each name in its head.
-
-    ``sid`` names the set, ``m`` counts the counted names; ``place`` is -1 for those, else the
-    place among the added ones.
-    """
+def set_names(names: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """The name of a set (of ``bits`` bits) and its second name."""
     from xxhash import xxh3_64_intdigest
 
-    names = ("doc", "sid", "n", "m", "token", "place")
+    packed = names.tobytes()
+    return xxh3_64_intdigest(packed) & (1 << bits) - 1, xxh3_64_intdigest(packed, 1)
+
+
+def _tokens(docs: DataFrame, shingle: int, num: int, den: int, bits: int, second: bool = False) -> DataFrame:
+    """A row (doc, sid, other, n, m) for each document and a row (sid, token, place) for each name in its head.
+
+    ``sid`` names the set and ``other`` is its second name (with ``second`` the other way round, and on
+    every row); ``m`` counts the counted names; ``place`` is -1 for those, else the place among the added ones.
+    """
+    names = ("doc", "sid", "other", "n", "m", "token", "place")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -115,25 +127,42 @@ def _tokens(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
                 for cell in cells[at : at + 512]:
                     found = shingle_set(cell, shingle)
                     head, m = head_of(found, num, den)
-                    sids.append(xxh3_64_intdigest(found.tobytes()))
+                    sids.append(set_names(found, bits)[:: -1 if second else 1])
                     sizes.append(len(found))
                     counted.append(m)
                     heads.append(head if len(found) > 1 else head[:0])  # one shingle links with its equals only
-                sid = np.array(sids, np.uint64).view(np.int64)
+                sid, other = np.array(sids, np.uint64).view(np.int64).T
                 count = len(own)
-                yield pa.RecordBatch.from_arrays([own, pa.array(sid), pa.array(sizes, pa.int64()), pa.array(counted, pa.int32()), pa.nulls(count, pa.int64()), pa.nulls(count, pa.int32())], names=names)
+                yield pa.RecordBatch.from_arrays([own, pa.array(sid), pa.array(other), pa.array(sizes, pa.int64()), pa.array(counted, pa.int32()), pa.nulls(count, pa.int64()), pa.nulls(count, pa.int32())], names=names)
                 some = own.is_valid().to_numpy(zero_copy_only=False)
                 heads = [h if ok else h[:0] for h, ok in zip(heads, some)]
                 lengths = [len(h) for h in heads]
                 total = sum(lengths)
                 if total:
                     place = np.concatenate([np.maximum(np.arange(k) - m, -1) for k, m in zip(lengths, counted)]).astype(np.int32)
-                    columns = [pa.nulls(total, kind), pa.array(np.repeat(sid, lengths)), pa.nulls(total, pa.int64()), pa.nulls(total, pa.int32()), pa.array(np.concatenate(heads).view(np.int64)), pa.array(place)]
+                    others = pa.array(np.repeat(other, lengths)) if second else pa.nulls(total, pa.int64())
+                    columns = [pa.nulls(total, kind), pa.array(np.repeat(sid, lengths)), others, pa.nulls(total, pa.int64()), pa.nulls(total, pa.int32()), pa.array(np.concatenate(heads).view(np.int64)), pa.array(place)]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.mapInArrow(run, TOKENS.format(kind=docs.schema["doc"].dataType.simpleString()))
 
 
+def _named(own: DataFrame, tables: StepTables, shingle: int, num: int, den: int, bits: int) -> tuple[DataFrame, DataFrame, list[str], DataFrame | None]:
+    """(nodes, tokens, tables to drop, clashes): no two sets have one name; ``clashes`` holds the names that different sets had, if any."""
+    rows, path = tables.write(_tokens(own, shingle, num, den, bits))
+    nodes = tables.keep(rows.filter("token IS NULL").select("doc", "n", "sid", "m", "other"))
+    tokens = rows.filter("token IS NOT NULL").select("sid", "token", "place")
+    clashes = tables.keep(nodes.groupBy("sid").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).filter("lo <> hi").select("sid"))
+    if clashes.isEmpty():
+        return nodes, tokens, [path], None
+    docs = nodes.join(clashes, "sid", "left_semi").select("doc").distinct()
+    again, again_path = tables.write(_tokens(own.join(docs, own.doc.eqNullSafe(docs.doc), "left_semi"), shingle, num, den, bits, second=True))
+    again = again.join(clashes.withColumnRenamed("sid", "other"), "other", "left_semi")
+    nodes = tables.keep(nodes.join(clashes, "sid", "left_anti").select("doc", "n", "sid", "m").unionByName(again.filter("token IS NULL").select("doc", "n", "sid", "m")))
+    tokens = tokens.join(clashes, "sid", "left_anti").unionByName(again.filter("token IS NOT NULL").select("sid", "token", "place"))
+    return nodes, tokens, [path, again_path], clashes
+
+
 def _heads(tokens: DataFrame, nodes: DataFrame, tables: StepTables, num: int, den: int) -> DataFrame:
     """(sid, n, pairs, singles): the shared names in each set's prefixes for k = 2 and k = 1, in the global order.
 
@@ -189,15 +218,101 @@ def _keys(heads: DataFrame, limit: int, num: int, den: int) -> DataFrame:
     return heads.select("sid", F.explode(F.concat(F.coalesce(light, none), F.coalesce(heavy, none))).alias("key"))
 
 
-# --- step 4: exact decision within a candidate group --------------------------
+# --- step 4: sets against their hubs -------------------------------------------
+
+
+def _packed_sets(docs: DataFrame, shingle: int, bits: int, clashes: DataFrame | None) -> DataFrame:
+    """(sid, set) of documents, a row for each set: its name, and its sorted shingle names, packed."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            cells = utf8(batch.column(1))
+            for at in range(0, len(cells), 512):
+                found = [shingle_set(c, shingle) for c in cells[at : at + 512]]
+                sid, other = np.array([set_names(x, bits) for x in found], np.uint64).view(np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(other), pa.array([x.tobytes() for x in found], pa.binary())], names=["sid", "other", "set"])
+
+    out = docs.mapInArrow(run, "sid bigint, other bigint, set binary")
+    if clashes is not None:
+        known = clashes.withColumn("clash", F.lit(True))
+        out = out.join(known, "sid", "left").withColumn("sid", F.when(F.col("clash"), F.col("other")).otherwise(F.col("sid")))
+    return out.select("sid", "set").dropDuplicates(["sid"])
+
+
+def _fetch(work: DataFrame, own: DataFrame, real: DataFrame, shingle: int, bits: int, clashes: DataFrame | None) -> DataFrame:
+    """``work`` with the packed set of each row's ``sid``; each set is made once, from one document."""
+    wanted = work.select("sid").distinct().join(real.groupBy("sid").agg(F.min("doc").alias("doc")), "sid")
+    # A sort-merge join at every size: the list of wanted documents grows with the input.
+    docs = own.join(wanted.select("doc").distinct().hint("merge"), "doc", "left_semi")
+    return work.join(_packed_sets(docs, shingle, bits, clashes), "sid")
+
+
+def _runs_of(key: tuple[int, ...], solve) -> object:
+    """A mapInArrow function: gathers neighbouring rows with equal ``key`` columns and yields ``solve``'s links of each run as (a, b)."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        current = None
+
+        def links() -> Iterator[pa.RecordBatch]:
+            found = solve(held) if len(held) > 1 else []
+            if found:
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in source:
+            last = batch.num_columns - 1
+            for row in zip(*[utf8(batch.column(i)) if i == last else batch.column(i).to_pylist() for i in range(last + 1)]):
+                name = tuple(row[i] for i in key)
+                if name != current:
+                    yield from links()
+                    held, current = [], name
+                held.append(row)
+        if held:
+            yield from links()
+
+    return run
+
+
+def star_links(hub: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[int]:
+    """Which of ``sets`` link with ``hub``."""
+    out = []
+    for i, one in enumerate(sets):
+        shared = int((hub[np.minimum(np.searchsorted(hub, one), len(hub) - 1)] == one).sum())
+        if den * shared >= num * (len(hub) + len(one) - shared):
+            out.append(i)
+    return out
+
+
+def _star_tasks(entries: DataFrame, part: int) -> DataFrame:
+    """(hub, part, member, sid): each set with the hub of most of its keys, hubs once for each part of their sets."""
+    met = entries.filter("sid <> hub").groupBy("sid", "hub").agg(F.count("*").alias("c"))
+    stars = met.groupBy("sid").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
+    parts = stars.groupBy("hub").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    members = stars.join(parts, "hub").select("hub", F.pmod(F.xxhash64("sid"), "parts").cast("int").alias("part"), F.lit(1).alias("member"), "sid")
+    return members.unionByName(parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("member"), F.col("hub").alias("sid")))
+
+
+def _decide_stars(tasks: DataFrame, num: int, den: int) -> DataFrame:
+    def solve(rows: list[tuple]) -> list[tuple[int, int]]:
+        if rows[0][2]:  # no hub: its part holds no other set
+            return []
+        sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+        return [(rows[0][3], rows[1 + i][3]) for i in star_links(sets[0], sets[1:], num, den)]
 
+    return tasks.select("hub", "part", "member", "sid", "set").mapInArrow(_runs_of((0, 1), solve), "a bigint, b bigint")
 
-def group_links(sets: list[np.ndarray], num: int, den: int, split: int | None = None) -> list[tuple[int, int]]:
+
+# --- step 5: exact decision within a group ------------------------------------
+
+
+def group_links(sets: list[np.ndarray], num: int, den: int, split: int | None = None, trees: list[int] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among ``sets``; with ``split``, of those between ``sets[:split]`` and the rest.
 
-    Scans inverted lists: the lists of a set's shingles are counted at once, which decides
-    all its pairs.  Sets outside the largest tree are scanned first; when all that are left
-    unscanned stand in one tree, every pair of different trees has been decided.
+    ``trees`` tells which sets are known to stand in one tree.  Scans inverted lists: the
+    lists of a set's shingles are counted at once, which decides all its pairs.  Sets outside the
+    largest tree are scanned first; when all that are left unscanned stand in one tree, every
+    pair of different trees has been decided.
     """
     count = len(sets)
     lengths = np.array([len(s) for s in sets], np.int64)
@@ -207,7 +322,7 @@ def group_links(sets: list[np.ndarray], num: int, den: int, split: int | None =
     starts = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
     stops = np.r_[starts[1:], len(lists)]
     values = lists[starts]
-    tree = np.arange(count)
+    tree = np.arange(count) if trees is None else np.unique(trees, return_inverse=True)[1]
     waiting = np.ones(count, bool)
     side = np.arange(count) < (count if split is None else split)
     links = []
@@ -235,96 +350,83 @@ def group_links(sets: list[np.ndarray], num: int, den: int, split: int | None =
 
 
 def _group_tasks(members: DataFrame, group_size: int) -> DataFrame:
-    """(group, left, right, block, sid): a row for each task that a set takes part in."""
-    sizes = members.groupBy("group").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
-    blocks = F.ceil(F.greatest(F.col("m") / group_size, F.col("total") / (group_size * 512))).cast("int")
-    out = members.join(sizes, "group").withColumn("blocks", blocks)
-    out = out.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    return out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("group", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "sid")
-
+    """(group, left, right, block, tree, sid): a row for each task that a set of ``members`` (sid, tree, group, n) takes part in.
 
-def _decide(tasks: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) of each task; tasks arrive sorted and are read as runs."""
-    schema = "a bigint, b bigint"
-
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        current, kind = None, None
+    The sets outside a group's largest tree fill blocks 0 to s - 1, the others s to s + r - 1; tasks
+    are all pairs of blocks of which one at least is of the former.
+    """
 
-        def solve() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1:
-                left, right = current[1], current[2]
-                split = None if left == right else sum(block == left for block, _, _ in held)
-                if split is None or 0 < split < len(held):
-                    links = group_links([s for _, _, s in held], num, den, split)
-                    if links:
-                        yield pa.RecordBatch.from_arrays([pa.array([held[i][1] for i, _ in links], kind), pa.array([held[j][1] for _, j in links], kind)], names=["a", "b"])
+    def blocks(mine: Column) -> Column:
+        return F.ceil(F.greatest(F.count_if(mine) / group_size, F.sum(F.when(mine, F.col("n"))) / (group_size * 512))).cast("int")
 
-        for batch in source:
-            kind = batch.column(4).type
-            columns = [batch.column(i).to_pylist() for i in range(5)]
-            for group, left, right, block, one, cell in zip(*columns, utf8(batch.column(5))):
-                if (group, left, right) != current:
-                    yield from solve()
-                    held, current = [], (group, left, right)
-                held.append((block, one, np.frombuffer(cell, np.uint64)))
-        if held:
-            yield from solve()
+    trees = members.groupBy("group", "tree").agg(F.count("*").alias("c"))
+    main = trees.groupBy("group").agg(F.max_by("tree", F.struct("c", "tree")).alias("main"))
+    sided = members.join(main, "group").withColumn("aside", F.col("tree") != F.col("main"))
+    sizes = sided.groupBy("group").agg(blocks(F.col("aside")).alias("s"), blocks(~F.col("aside")).alias("r"))
+    out = sided.join(sizes, "group").withColumn("block", F.when(F.col("aside"), F.pmod(F.xxhash64("sid"), "s")).otherwise(F.col("s") + F.pmod(F.xxhash64("sid"), "r")).cast("int"))
+    last = F.when(F.col("aside"), F.col("s") + F.col("r")).otherwise(F.col("s")) - 1
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    return out.select("group", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "tree", "sid")
 
-    return tasks.mapInArrow(run, schema)
 
+def _decide_groups(tasks: DataFrame, num: int, den: int) -> DataFrame:
+    def solve(rows: list[tuple]) -> list[tuple[int, int]]:
+        left, right = rows[0][1], rows[0][2]
+        split = None if left == right else sum(r[3] == left for r in rows)
+        if split == 0 or split == len(rows):
+            return []
+        sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+        return [(rows[i][5], rows[j][5]) for i, j in group_links(sets, num, den, split, [r[4] for r in rows])]
 
-def _with_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(sid, set) of documents: the name of each set, and its sorted names, packed."""
-    from xxhash import xxh3_64_intdigest
-
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            cells = utf8(batch.column(1))
-            for at in range(0, len(cells), 512):
-                packed = [shingle_set(c, shingle).tobytes() for c in cells[at : at + 512]]
-                sid = np.array([xxh3_64_intdigest(x) for x in packed], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(packed, pa.binary())], names=["sid", "set"])
-
-    return docs.mapInArrow(run, "sid bigint, set binary")
+    return tasks.select("group", "left", "right", "block", "tree", "sid", "set").mapInArrow(_runs_of((0, 1, 2), solve), "a bigint, b bigint")
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, num: int = 8, den: int = 10, group_size: int = GROUP, limit: int | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, num: int = 8, den: int = 10, group_size: int = GROUP, part: int = PART, limit: int | None = None, bits: int = 64) -> DataFrame:
     """(key, n_shingles, component_id): a row for each row of ``docs``.
 
     ``component_id`` is the smallest key reachable by links.  ``limit`` fixes the light
-    boundary instead of the cost model (for tests).
+    boundary instead of the cost model, and ``bits`` the length of set names (both for tests).
     """
     if not den < 2 * num <= 2 * den:
         raise ValueError("the threshold must be above 1/2 and at most 1")
     own = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    tables = StepTables(own, "jaccard")
-    rows, rows_path = tables.write(_tokens(own, shingle, num, den))
-    nodes = tables.keep(rows.filter("token IS NULL").select("doc", "n", "sid", "m"))
+    tables, partitions = StepTables(own, "jaccard"), width(docs.sparkSession)
+    nodes, tokens, done, clashes = _named(own, tables, shingle, num, den, bits)
     real = nodes.filter("n > 0 AND doc IS NOT NULL")
-    heads = _heads(rows.filter("token IS NOT NULL").select("sid", "token", "place"), real, tables, num, den)
-    tables.drop(rows_path)
+    heads = _heads(tokens, real, tables, num, den)
+    for path in done:
+        tables.drop(path)
     if limit is None:
         limit = light_limit(_costs(heads))
 
     keys = _keys(heads, limit, num, den)
     met = keys.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("top")).filter("hub <> top").select("key", "hub")
-    meets = tables.keep(keys.join(met, "key").filter("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct())
-    groups = components(meets, tables).select(F.col("node").alias("sid"), F.col("component").alias("group"))
-    members = tables.keep(groups.join(real.groupBy("sid").agg(F.first("n").alias("n"), F.min("doc").alias("doc")), "sid"))
-    # A sort-merge join at every size: the list of grouped documents grows with the input.
-    sets = _with_sets(own.join(members.select("doc").distinct().hint("merge"), "doc", "left_semi"), shingle).dropDuplicates(["sid"])
-    work = _group_tasks(members, group_size).join(sets, "sid").select("group", "left", "right", "block", "sid", "set")
-    work = work.repartition(width(docs.sparkSession), "group", "left", "right").sortWithinPartitions("group", "left", "right", F.col("block") != F.col("left"), "sid")
-    links = tables.keep(_decide(work, num, den))
-
-    # Rows of one id tie their sets together.
+    entries = tables.keep(keys.join(met, "key"))
+    stars = _fetch(tables.keep(_star_tasks(entries, part)), own, real, shingle, bits, clashes)
+    stars = stars.repartition(partitions, "hub", "part").sortWithinPartitions("hub", "part", "member", "sid")
+    links = tables.keep(_decide_stars(stars, num, den))
+
+    trees = tables.keep(components(links, tables))
+    placed = entries.join(trees, F.col("sid") == F.col("node"), "left").select("key", "sid", F.coalesce("component", "sid").alias("tree"))
+    least = placed.groupBy("key").agg(F.min("tree").alias("least"), F.max("tree").alias("top")).filter("least <> top").select("key", "least")
+    rest = tables.keep(placed.join(least, "key").select("sid", "tree", "least").distinct())
     several = real.groupBy("doc").agg(F.min("sid").alias("b"), F.max("sid").alias("top")).filter("b <> top").select("doc", "b")
-    ties = real.join(several, "doc").filter("sid <> b").select(F.col("sid").alias("a"), "b")
-    trees = components(links.unionByName(ties), tables).withColumnRenamed("node", "sid")
-    linked = real.join(trees, "sid", "left").select("sid", "doc", F.coalesce("component", "sid").alias("tree"))
-    least = linked.groupBy("tree").agg(F.min("doc").alias("component_id"))
-    classes = linked.select("sid", "tree").distinct().join(least, "tree").select("sid", "component_id")
+    # Rows of one id tie their sets together.
+    ties = tables.keep(real.join(several, "doc").filter("sid <> b").select(F.col("sid").alias("a"), "b"))
+    if not rest.isEmpty():
+        joined = rest.filter("tree <> least").select(F.col("tree").alias("a"), F.col("least").alias("b")).distinct()
+        groups = components(joined, tables).withColumnRenamed("node", "tree").withColumnRenamed("component", "group")
+        members = rest.select("sid", "tree").distinct().join(groups, "tree").join(real.groupBy("sid").agg(F.first("n").alias("n")), "sid")
+        work = _fetch(tables.keep(_group_tasks(tables.keep(members), group_size)), own, real, shingle, bits, clashes)
+        work = work.repartition(partitions, "group", "left", "right").sortWithinPartitions("group", "left", "right", F.col("block") != F.col("left"), "sid")
+        links = links.unionByName(tables.keep(_decide_groups(work, num, den)))
+        trees = components(links.unionByName(ties), tables)
+    elif not ties.isEmpty():
+        trees = components(links.unionByName(ties), tables)
+
+    linked = real.join(trees.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "doc", F.coalesce("component", "sid").alias("tree"))
+    lowest = linked.groupBy("tree").agg(F.min("doc").alias("component_id"))
+    classes = linked.select("sid", "tree").distinct().join(lowest, "tree").select("sid", "component_id")
     out = nodes.join(classes, "sid", "left")
     component = F.when(F.col("doc").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")))
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id")).coalesce(tables.parts)
