@@ -313,12 +313,27 @@ def test_jaccard_equals_brute_force(docs, corpus, limit):
     assert got(out) == sorted(jaccard.brute_force(pairs(corpus)), key=str)
 
 
-def test_jaccard_in_blocks(docs, corpus):
-    out = jaccard.jaccard_components(docs, shingle=5, num=8, den=10, group_size=2)
+@pytest.mark.parametrize("size, bits", [(2, 64), (1, 64), (1000, 4)])
+def test_jaccard_in_blocks(docs, corpus, size, bits):
+    """Also with set names of 4 bits, which name different sets alike."""
+    out = jaccard.jaccard_components(docs, shingle=5, num=8, den=10, group_size=size, part=size, bits=bits)
     want = jaccard.brute_force(pairs(corpus), 5, 8, 10)
     assert got(out) == sorted(want, key=str) and sum(d != c for d, _, c in want) > 6
 
 
+def test_jaccard_of_chains(spark):
+    """Sets that link with neighbours only: most pairs of a candidate group don't link."""
+    rng = random.Random(37)
+    words = [rng.choice(WORDS) + str(i) for i in range(400)]
+    rows = [(100 - k, " ".join(words[3 * k : 3 * k + 100])) for k in range(60)] + [(500 + k, " ".join(words[9 * k : 9 * k + 100])) for k in range(20)]
+    rows += [(900 + k, " ".join([*words[:99], f"end{k}", *[rng.choice(WORDS) for _ in range(12 + k % 9)]])) for k in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted(jaccard.brute_force(rows, 3, 90, 100), key=str)
+    assert 3 < len({c for _, _, c in want}) < 60
+    for options in ({}, {"group_size": 5, "part": 3}, {"group_size": 5, "limit": 0}):
+        assert got(jaccard.jaccard_components(frame, shingle=3, num=90, den=100, **options)) == want
+
+
 def test_jaccard_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (None, None)], "doc_id bigint, text string")
     assert got(jaccard.jaccard_components(df)) == sorted([(None, 1, None), (1, 1, 1), (None, 0, None)], key=str)
@@ -339,6 +354,9 @@ def test_group_links_are_a_forest_of_all_links():
 
     found = jaccard.group_links(sets, 90, 100)
     assert classes(found) == classes(linked) and set(map(lambda x: tuple(sorted(x, reverse=True)), found)) <= set(linked)
+    trees = [99 if i in (3, 4, 5) else i for i in range(40)]
+    known = jaccard.group_links(sets, 90, 100, trees=trees)
+    assert classes(known + [(3, 4), (4, 5)]) == classes(linked + [(3, 4), (4, 5)])
     cross = jaccard.group_links(sets, 90, 100, 15)
     assert classes(cross) == classes([(i, j) for i, j in linked if (i < 15) != (j < 15)])
 
