@@ -417,18 +417,31 @@ def test_suffix_dedup_equals_brute_force(docs, corpus):
     assert got(suffix_dedup.suffix_dedup(with_clashes(docs), digest=True)) == sorted(want, key=str) and sum(w[2] > 0 for w in want) > 10
 
 
-def test_suffix_dedup_in_pieces(spark, monkeypatch):
+def test_suffix_dedup_in_pieces(monkeypatch):
     rng = random.Random(1)
     a = prose(rng, 200)
-    rows = [(1, a), (2, "zz" + a[100:]), (3, a[:333] + "!" + a[333:]), (4, "ab" * 300), (5, "ab" * 400 + "c")]
-    want = sorted(suffix_dedup.brute_force(rows))
-    monkeypatch.setattr(suffix_dedup, "PIECE", 90)
-    marks = {}
-    for _, t in rows:
-        marks.update({at: p for at, p in suffix_dedup.pieces(t.encode())})
-    assert all(len(p) >= suffix_dedup.LENGTH for p in marks.values())
-    monkeypatch.undo()
-    assert got(suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), digest=True)) == sorted(want, key=str)
+    for size in (90, 120):
+        monkeypatch.setattr(suffix_dedup, "PIECE", size)
+        for t in (a, "zz" + a[100:], a[:333] + "!" + a[333:], "ab" * 300, "x" * 50):
+            found = list(suffix_dedup.pieces(t.encode()))
+            starts = [at + i for at, p in found for i in range(len(p) - suffix_dedup.LENGTH + 1)]
+            assert starts == list(range(len(t) - suffix_dedup.LENGTH + 1)) and all(t.encode()[at : at + len(p)] == p for at, p in found)
+
+
+def test_dedup_of_very_long_texts(spark):
+    """Texts of several pieces at the production parameters: long repeats over piece ends, within a text, and near a text's end."""
+    rng = random.Random(43)
+    a = " ".join(f"{rng.choice(WORDS)}{rng.randrange(1000)}" for _ in range(90_000))
+    cut = suffix_dedup.PIECE
+    rows = [(1, a), (2, "x" * 40 + a[cut - 200 : cut + 300] + "y" * 70), (3, a[: cut + 60]), (4, a[-49:] + "?" + a[-50:]), (5, "ab" * cut), (6, "ab" * 200 + "c" + a[1000:1049]), (7, a[5:] + "z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {r["doc_id"]: (r["n_removed"], bytes(r["kept"]).decode()) for r in suffix_dedup.suffix_dedup(docs).collect()}
+    assert kept[1] == (0, a) and kept[5] == (0, "ab" * cut)
+    assert kept[2] == (500, "x" * 40 + "y" * 70) and kept[3] == (cut + 60, "") and kept[4] == (50, a[-49:] + "?") and kept[6] == (400, "c" + a[1000:1049])
+    assert kept[7] == (len(a) - 5, "z")
+    words = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.substring_dedup(docs).collect()}
+    n, tail = len(a.split()), a[5:].split()
+    assert words[1] == (n, 0, a) and words[7][0] == len(tail) and words[7][2].split()[-1] == tail[-1] + "z" and words[7][1] >= len(tail) - 2
 
 
 def test_null_document_numbers_lose_nothing(spark):
