@@ -48,6 +48,8 @@ from tarnlight.llm.components import components
 from tarnlight.llm.shared import StepTables, pair_name, utf8, width
 
 GROUP = 1_024
+#: Blocks that a group has at least, where its blocks keep an eighth of ``GROUP``: so many that tasks spread.
+SPREAD = 16
 #: Sets that meet their hub in one task.
 PART = 256
 SIZES = 4_096
@@ -357,7 +359,9 @@ def _group_tasks(members: DataFrame, group_size: int) -> DataFrame:
     """
 
     def blocks(mine: Column) -> Column:
-        return F.ceil(F.greatest(F.count_if(mine) / group_size, F.sum(F.when(mine, F.col("n"))) / (group_size * 512))).cast("int")
+        count = F.count_if(mine)
+        spread = F.least(F.lit(SPREAD), count / F.lit(group_size / 8))
+        return F.ceil(F.greatest(count / group_size, spread, F.sum(F.when(mine, F.col("n"))) / (group_size * 512))).cast("int")
 
     trees = members.groupBy("group", "tree").agg(F.count("*").alias("c"))
     main = trees.groupBy("group").agg(F.max_by("tree", F.struct("c", "tree")).alias("main"))
