@@ -18,8 +18,9 @@ def _get(url: str) -> str:
 
 def fetch_rates(spark, config: dict) -> str:
     """Downloads every configured series once: ``url`` has ``{id}``, ``series`` maps corridors to ids."""
-    df = readers.fetch_snapshot(spark, lambda cbr_id: _get(config["url"].format(id=cbr_id)), config["series"], config["download"], config["rates"], bool(config.get("force")))
-    sinks.manifest(df, f"{config['download']}/manifest.json", url=config["url"])
+    df = readers.fetch_snapshot(spark, lambda cbr_id: _get(config["url"].format(id=cbr_id)), config["series"], config["rates"], bool(config.get("force")))
+    Path(config["download"]).mkdir(parents=True, exist_ok=True)
+    sinks.manifest(df, config["rates"], f"{config['download']}/manifest.json", url=config["url"])
     return f"{df.count()} rates at {config['rates']}\n"
 
 

@@ -8,8 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnlight.functions.frames import DATE, KEY
-from tarnlight.functions.scalar import corridor, flag, message
+from tarnlight.functions.frames import DATE, KEY, PRICE
+from tarnlight.functions.scalar import LAR_SCALE_BPS, corridor, flag, message
 from tarnlight.operators.decision import add_decisions
 from tarnlight.operators.metrics import evaluate_method, lift_by_indicator, random_signal
 from tarnlight.operators.models import FALLBACK_THRESHOLD, fit_scorer, score, select_threshold
@@ -18,6 +18,7 @@ from tarnlight.operators.signals import RESEARCH, SIGNALS
 from tarnlight.operators.splits import Fold, assign_folds, check_folds, snapshot_fold, test_rows, train_rows, validation_rows
 from tarnlight.operators.targets import add_customer_outcomes, add_path_outcomes, add_targets, target_column
 from tarnlight.operators.validate import require
+from tarnlight.session import written
 
 
 @dataclass(frozen=True)
@@ -32,10 +33,11 @@ class ThresholdChoice:
 def walk_forward_predictions(frame: DataFrame, folds: list[Fold], columns: list[str], target: str, horizon: int, kind: str = "logreg", choice: ThresholdChoice = ThresholdChoice(), iterations: int | None = None) -> tuple[DataFrame, list[dict]]:
     """Test rows of all folds with ``score``, ``threshold``, ``model_signal``, ``fold``, ``split``; and an audit row for each fold.
 
-    Models are fitted fold by fold by the driver (each fit is a distributed job); scoring
-    stays lazy and the folds' scored rows are one union.
+    Models are fitted fold by fold by the driver (each fit is a distributed job) on the written
+    frame; scoring stays lazy and the folds' scored rows are one union.
     """
     check_folds(folds)
+    frame = written(frame, "frame")
     parts, audit = [], []
     for fold in folds:
         train, validation = train_rows(frame, fold, horizon), validation_rows(frame, fold, horizon)
@@ -82,21 +84,34 @@ def methods(model_groups: tuple[tuple[str, ...], ...] = ()) -> list[Method]:
     return out
 
 
-def evaluate_rules(frame: DataFrame, folds: list[Fold], horizon: int, target_kind: str = "stay_not_worse", signals: tuple[str, ...] = SIGNALS, draws: int = 50) -> DataFrame:
-    """Metrics of every rule and the random control in every fold and corridor, in one query (CTL-02).
+def by_horizon(frame: DataFrame, horizons: tuple[int, ...], target_kind: str, keep: list[str]) -> DataFrame:
+    """``keep``, and for each horizon a row with ``horizon``, ``target`` and the outcomes; rows without a target are left out."""
+    names = ("moment_advantage_bps", "customer_regret_bps", "forward_mean")
+    cells = [F.struct(F.lit(h).alias("horizon"), F.col(target_column(target_kind, h)).alias("target"), *[F.col(f"{n}_h{h}").alias(n) for n in names]) for h in horizons]
+    return frame.select(*keep, F.explode(F.array(*cells)).alias("_o")).select(*keep, "_o.*").filter("target IS NOT NULL")
 
-    Methods become a column, so that methods, folds and corridors all are parallel slices.
+
+def evaluate_rules(frame: DataFrame, folds: list[Fold], horizons: tuple[int, ...] = (5,), target_kind: str = "stay_not_worse", signals: tuple[str, ...] = SIGNALS, draws: int = 50, control: bool = True, scale: float = LAR_SCALE_BPS) -> DataFrame:
+    """Metrics of every rule (and a random ``control``) in every fold, corridor and horizon, in one query (CTL-02, MDL-08).
+
+    Methods and horizons become columns, so that all slices are parallel and the panel is made once.
     Path outcomes are taken within a fold's slice, as evaluation sees no later rows.
     """
-    own = random_signal(assign_folds(frame, folds), by=("fold", KEY))
-    names = [*signals, "random_signal"]
-    keep = [c for c in own.columns if c not in names]
-    long = own.unpivot(keep, names, "method", "sent")
-    target = target_column(target_kind, horizon)
-    eligible = long.filter(F.col(target).isNotNull())
-    slices = F.concat_ws("|", "method", "fold", KEY)
-    path = add_path_outcomes(eligible.withColumns({"_corridor": F.col(KEY), KEY: slices}), horizon).withColumn(KEY, F.col("_corridor")).drop("_corridor")
-    return evaluate_method(path, target, "sent", horizon, ["method", "split", "fold", KEY], draws=draws).withColumn("corridor", corridor(F.col(KEY)))
+    own = assign_folds(frame, folds)
+    own = random_signal(own, by=("fold", KEY)) if control else own
+    names = [*signals, "random_signal"] if control else list(signals)
+    long = by_horizon(own, horizons, target_kind, [KEY, DATE, PRICE, "fold", "split", *names])
+    long = add_path_outcomes(long, max(horizons), by=["fold", KEY, "horizon"], own_horizon="horizon")
+    long = long.unpivot([c for c in long.columns if c not in names], names, "method", "sent")
+    return evaluate_method(long, "target", "sent", None, ["method", "split", "fold", KEY, "horizon"], draws=draws, scale=scale).withColumn("corridor", corridor(F.col(KEY)))
+
+
+def evaluate_models(frame: DataFrame, folds: list[Fold], columns: list[str], horizon: int, kind: str = "logreg", target_kind: str = "stay_not_worse", choice: ThresholdChoice = ThresholdChoice(), iterations: int | None = None, draws: int = 50, scale: float = LAR_SCALE_BPS) -> DataFrame:
+    """Metrics of a model's stream, after decision and send policy, in every fold and corridor (MDL-08); :func:`metrics.stability` sums them up."""
+    stream, _ = walk_forward_predictions(frame, folds, columns, target_column(target_kind, horizon), horizon, kind, choice, iterations)
+    long = by_horizon(meta_policy(stream), (horizon,), target_kind, [KEY, DATE, PRICE, "fold", "split", "policy_signal"])
+    long = add_path_outcomes(long, horizon, by=["fold", KEY]).withColumn("method", F.lit(kind))
+    return evaluate_method(long, "target", "policy_signal", None, ["method", "split", "fold", KEY, "horizon"], draws=draws, scale=scale)
 
 
 def baseline(frame: DataFrame, horizons: tuple[int, ...] = (1, 3, 5, 10, 20), signals: tuple[str, ...] = SIGNALS[:4]) -> DataFrame:
@@ -108,6 +123,7 @@ def baseline(frame: DataFrame, horizons: tuple[int, ...] = (1, 3, 5, 10, 20), si
     return out
 
 
+#: Fixed names and order of the output columns.
 SNAPSHOT = ("as_of", "effective_date", "corridor", "indicator", "direction", "strength", "speed", "recommended_scenario", "push_title", "push_body", "market_score", "market_threshold", "selected_effect", "selection_score", "decision_reason")
 
 

@@ -10,6 +10,7 @@ from tarnlight.operators.asof import external_asof, next_holiday
 from tarnlight.operators.signals import BASELINE, add_baseline, add_has_fact, add_research, falling
 from tarnlight.operators.validate import require
 
+# Fixed column names of the groups.
 GROUP_A = BASELINE
 GROUP_B = ("down_streak", "price_percentile", "days_since_min", "rebound_pct", "days_to_holiday")
 GROUP_C = ("ret_1", "ret_3", "ret_5", "ret_10", "ret_20", "vol_20", "slope_20")

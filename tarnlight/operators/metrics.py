@@ -60,9 +60,14 @@ def worst_share(losses: DataFrame, loss: str, by: list[str], confidence: float =
     return ranked.filter(F.col("_k") <= worst).groupBy(*by).agg(F.avg(loss).alias(name))
 
 
-def customer_outcomes(frame: DataFrame, signal: str, horizon: int, by: list[str]) -> DataFrame:
+def outcome(name: str, horizon: int | None) -> str:
+    """The column of an outcome; without a horizon, that of a frame in which the horizon is a column too."""
+    return name if horizon is None else f"{name}_h{horizon}"
+
+
+def customer_outcomes(frame: DataFrame, signal: str, horizon: int | None, by: list[str]) -> DataFrame:
     """Value and regret of what was sent (AGG-07); the outcome columns must exist."""
-    value, regret = f"moment_advantage_bps_h{horizon}", f"customer_regret_bps_h{horizon}"
+    value, regret = outcome("moment_advantage_bps", horizon), outcome("customer_regret_bps", horizon)
     sent = frame.filter(flag(F.col(signal)))
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc_nulls_last(regret)))
     sums = sent.withColumn("_k", place).groupBy(*by).agg(
@@ -175,18 +180,22 @@ def path_lift_at_risk(frame: DataFrame, target: str, signal: str, by: list[str],
     return out.withColumns({"delta_utility_bps": delta, "lift_at_risk": score})
 
 
-def evaluate_method(frame: DataFrame, target: str, signal: str, horizon: int, by: list[str], draws: int = 200, weekly_limit: int = 2, cooldown_days: int = 3, seed: str = "lar") -> DataFrame:
-    """One row for each slice with all metrics (AGG-05, AGG-06); outcome, path and forward-mean columns must exist."""
+def evaluate_method(frame: DataFrame, target: str, signal: str, horizon: int | None, by: list[str], draws: int = 200, weekly_limit: int = 2, cooldown_days: int = 3, seed: str = "lar", scale: float = LAR_SCALE_BPS) -> DataFrame:
+    """One row for each slice with all metrics (AGG-05, AGG-06); outcome, path and forward-mean columns must exist.
+
+    Without ``horizon``, it is one of the columns ``by``.
+    """
     own = frame.filter(F.col(target).isNotNull() & F.col(PRICE).isNotNull())
     t, s = F.col(target), F.col(signal)
-    bps = advantage_bps(F.col(PRICE), F.col(f"forward_mean_h{horizon}"))
+    bps = advantage_bps(F.col(PRICE), F.col(outcome("forward_mean", horizon)))
     base = own.groupBy(*by).agg(F.count("*").alias("eligible_days"), F.count_if(t).alias("target_positives"), hit_rate(t, s).alias("signal_hit_rate"), F.avg(t.cast("int")).alias("random_hit_rate"), lift(t, s).alias("lift"), F.avg(F.when(flag(s), bps)).alias("bps_forward"))
-    lar = path_lift_at_risk(own, target, signal, by, draws, seed=seed)
+    lar = path_lift_at_risk(own, target, signal, by, draws, seed=seed, scale=scale)
     lar = lar.select(*by, "lift_at_risk", *[F.col(c).alias(f"lar_{c}") for c in lar.columns if c not in (*by, "lift_at_risk")])
     parts = [customer_outcomes(own, signal, horizon, by), useful_signals(own, target, signal, by), frequency_summary(own, signal, by, weekly_limit, cooldown_days), cluster_share(own, signal, by), matched_hit_rate(own, target, signal, by), lar]
     for part in parts:
         base = base.join(part, by, "left")
-    return base.withColumns({"lift_freq_matched": F.when(F.col("signal_count") > 0, F.try_divide("signal_hit_rate", "freq_matched_hit_rate")), "signals_per_week": F.col("pushes_per_week"), "horizon": F.lit(horizon)})
+    out = base.withColumns({"lift_freq_matched": F.when(F.col("signal_count") > 0, F.try_divide("signal_hit_rate", "freq_matched_hit_rate")), "signals_per_week": F.col("pushes_per_week")})
+    return out if horizon is None else out.withColumn("horizon", F.lit(horizon))
 
 
 def stability(metrics: DataFrame, columns: list[str], lower_is_better: tuple[str, ...] = ()) -> DataFrame:

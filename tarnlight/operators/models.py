@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlight.functions.frames import KEY, PRICE
-from tarnlight.functions.scalar import advantage_bps, flag
+from tarnlight.functions.scalar import LAR_SCALE_BPS, advantage_bps, flag
 from tarnlight.operators.metrics import path_lift_at_risk, week
 from tarnlight.operators.validate import require
 
@@ -52,7 +52,8 @@ def fit_scorer(train: DataFrame, columns: list[str], target: str, kind: str = "l
 
     ``logreg``: medians for gaps, population standardisation, one-hot corridors, L2 with C = 1
     and balanced weights.  ``gbt``: gradient-boosted trees of depth 3 with missing flags and
-    square-root balanced weights; it is not numerically equal to any other tree library.
+    square-root balanced weights, which stop early where ``validation`` has both classes and its
+    error no longer falls; it is not numerically equal to any other tree library.
     """
     require(kind in ("logreg", "gbt"), f"unknown model {kind!r}")
     own = train.filter(F.col(target).isNotNull())
@@ -66,6 +67,14 @@ def fit_scorer(train: DataFrame, columns: list[str], target: str, kind: str = "l
     ones, zeros = row["ones"], row["n"] - row["ones"]
     weights = (row["n"] / (2 * ones), row["n"] / (2 * zeros)) if kind == "logreg" else (max(1.0, (zeros / ones) ** 0.5), max(1.0, (ones / zeros) ** 0.5))
     data = _prepared(own, columns, medians, scales, kind).withColumns({"_label": F.col(target).cast("double"), "_weight": F.when(F.col(target), weights[0]).otherwise(weights[1])})
+    seen = None if validation is None else validation.filter(F.col(target).isNotNull())
+    judged = seen is not None and seen.select(target).distinct().count() == 2
+    if kind == "gbt":
+        data = data.withColumn("_held", F.lit(False))
+        if judged:
+            shared = [c for c in own.columns if c in seen.columns]
+            rest = _prepared(seen.select(*shared), columns, medians, scales, kind).withColumns({"_label": F.col(target).cast("double"), "_weight": F.lit(1.0), "_held": F.lit(True)})
+            data = data.unionByName(rest, allowMissingColumns=True)
     index = StringIndexer(inputCol=KEY, outputCol="_key", handleInvalid="keep", stringOrderType="alphabetAsc")
     names = [f"_x_{c}" for c in columns] + ([f"_m_{c}" for c in columns] if kind == "gbt" else [])
     if kind == "logreg":
@@ -73,12 +82,10 @@ def fit_scorer(train: DataFrame, columns: list[str], target: str, kind: str = "l
         total = weights[0] * ones + weights[1] * zeros
         stages.append(LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="_weight", regParam=1.0 / total, standardization=False, maxIter=iterations or 200))
     else:
-        stages = [index, VectorAssembler(inputCols=[*names, "_key"], outputCol="_features"), GBTClassifier(featuresCol="_features", labelCol="_label", weightCol="_weight", maxDepth=3, maxIter=iterations or 200, stepSize=0.05, seed=0)]
+        stages = [index, VectorAssembler(inputCols=[*names, "_key"], outputCol="_features"), GBTClassifier(featuresCol="_features", labelCol="_label", weightCol="_weight", maxDepth=3, maxIter=iterations or 200, stepSize=0.05, seed=0, **({"validationIndicatorCol": "_held"} if judged else {}))]
     scorer = Scorer(kind, columns, medians, scales, Pipeline(stages=stages).fit(data))
-    if validation is not None:
-        seen = score(validation.filter(F.col(target).isNotNull()), scorer).withColumn("_label", F.col(target).cast("double"))
-        if seen.select("_label").distinct().count() == 2:
-            scorer.calibrator = IsotonicRegression(featuresCol="score", labelCol="_label").fit(seen)
+    if judged:
+        scorer.calibrator = IsotonicRegression(featuresCol="score", labelCol="_label").fit(score(seen, scorer).withColumn("_label", F.col(target).cast("double")))
     return scorer
 
 
@@ -98,7 +105,7 @@ def threshold_candidates(validation: DataFrame, grid: list[float], quantiles: li
     return sorted({*grid, *([x for x in row["q"] if x is not None] if row and row["q"] else [])})
 
 
-def score_thresholds(validation: DataFrame, candidates: list[float], target: str, horizon: int, metric: str = "lift", draws: int = 50) -> DataFrame:
+def score_thresholds(validation: DataFrame, candidates: list[float], target: str, horizon: int, metric: str = "lift", draws: int = 50, scale: float = LAR_SCALE_BPS) -> DataFrame:
     """(threshold, weekly, metric, mean_bps) of each candidate that sends anything; all in one query.
 
     ``lar`` needs ``path_value_bps`` and ``path_regret_bps``; it is the mean over corridors.
@@ -111,7 +118,7 @@ def score_thresholds(validation: DataFrame, candidates: list[float], target: str
     weeks = F.datediff(F.max(week()), F.min(week())) / 7 + 1
     out = own.groupBy("threshold").agg((F.count_if(s) / weeks).alias("weekly"), F.coalesce(F.try_divide(F.avg(F.when(s, t)), F.avg(t)), F.lit(0.0)).alias("metric"), F.avg(F.when(s, F.col("_bps"))).alias("mean_bps"), F.count_if(s).alias("_n")).filter("_n > 0").drop("_n")
     if metric == "lar":
-        lar = path_lift_at_risk(own, target, "_sent", ["threshold", KEY], draws).filter("lift_at_risk IS NOT NULL").groupBy("threshold").agg(F.avg("lift_at_risk").alias("metric"))
+        lar = path_lift_at_risk(own, target, "_sent", ["threshold", KEY], draws, scale=scale).filter("lift_at_risk IS NOT NULL").groupBy("threshold").agg(F.avg("lift_at_risk").alias("metric"))
         out = out.drop("metric").join(lar, "threshold").select("threshold", "weekly", "metric", "mean_bps")
     return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlight.functions.frames import DATE, KEY, PRICE, change
@@ -86,6 +86,11 @@ def oot_order() -> list[Column]:
     return [F.desc_nulls_last(c) for c in ("corridors_with_lar_h5", "lift_h5", "corridors_with_lar_h10", "lift_h10")]
 
 
+def oot_ranking(summary: DataFrame) -> DataFrame:
+    """``summary`` with ``place``, by :func:`oot_order`; equal methods go by name (SRT-02).  One row a method."""
+    return summary.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*oot_order(), "method")))
+
+
 def method_summary(metrics: DataFrame, horizon: int = 5) -> DataFrame:
     """Each method over the splits before the final one, and in it, with PASS or REVIEW (AGG-19, FLT-08)."""
     work = metrics.filter(F.col("horizon") == horizon)

@@ -13,6 +13,7 @@ from tarnlight.operators.metrics import week
 from tarnlight.operators.policy import publication_policy
 from tarnlight.operators.rules import Rule, add_rules, combine, correlations
 from tarnlight.operators.splits import Fold, in_range, purge_tail
+from tarnlight.session import written
 
 
 @dataclass(frozen=True)
@@ -99,11 +100,12 @@ def policy_streams(frame: DataFrame, candidates: list[str], cooldowns: tuple[int
     return out.filter("target IS NOT NULL AND bps IS NOT NULL")
 
 
-def choose_policy(streams: DataFrame) -> DataFrame:
-    """The best candidate and cooldown; equal keys go to the first by name and cooldown (TOP-03)."""
+def choose_policy(streams: DataFrame, candidates: list[str], cooldowns: tuple[int, ...]) -> DataFrame:
+    """The best candidate and cooldown; of equal keys, the first candidate in order with its first cooldown (TOP-03)."""
     ids = ["rule_id", "cooldown"]
     found = summarize(by_corridor(streams, ids), ids)
-    return found.withColumn("_key", rank_key()).orderBy(F.desc("_key"), *ids).limit(1).drop("_key")
+    places = [F.array_position(F.lit(candidates), F.col("rule_id")), F.array_position(F.lit(list(cooldowns)), F.col("cooldown"))]
+    return found.withColumn("_key", rank_key()).orderBy(F.desc("_key"), *places).limit(1).drop("_key")
 
 
 def discovery_effect(streams: DataFrame) -> DataFrame:
@@ -128,6 +130,7 @@ def indicator_search(panel: DataFrame, folds: list[Fold], target: str, horizon:
     The driver sees a shortlist and one winner a fold; everything else stays distributed.
     """
     frame, rules = add_rules(panel)
+    frame = written(frame, "rules")
     family = {r.rule_id: r.family for r in rules}
     out = []
     for fold in folds:
@@ -135,7 +138,7 @@ def indicator_search(panel: DataFrame, folds: list[Fold], target: str, horizon:
         screened = screen(validation, rules, target, horizon, screening)
         names = [r["rule_id"] for r in shortlist(screened).orderBy("place").collect()]
         validation, candidates = combine(validation, names, family, correlations(validation, names))
-        best = choose_policy(policy_streams(validation, candidates, cooldowns, target, horizon)).first()
+        best = choose_policy(policy_streams(validation, candidates, cooldowns, target, horizon), candidates, cooldowns).first()
         test, _ = combine(frame.filter(in_range(fold.test_start, fold.test_end)), names, family)
         stream = policy_streams(test, [best["rule_id"]], (best["cooldown"],), target, horizon)
         out.append(Found(fold.name, best["rule_id"], best["cooldown"], screened.withColumn("fold", F.lit(fold.name)), stream.withColumn("fold", F.lit(fold.name))))

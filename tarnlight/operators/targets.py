@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlight.functions.frames import DATE, PRICE, around, full, next_rows, series
+from tarnlight.functions.frames import DATE, KEY, PRICE, around, full, next_rows, series
 from tarnlight.functions.scalar import advantage_bps, regret_bps
 from tarnlight.operators.validate import require
 
@@ -62,17 +62,25 @@ def add_customer_outcomes(panel: DataFrame, horizon: int) -> DataFrame:
     return out.withColumns({f"moment_advantage_bps_h{horizon}": advantage_bps(p, F.col(mean)), f"customer_regret_bps_h{horizon}": regret_bps(p, F.col(best))})
 
 
-def add_path_outcomes(panel: DataFrame, horizon: int, mean_gap_days: float | None = None) -> DataFrame:
-    """``path_value_bps`` and ``path_regret_bps`` over the next prices (TGT-09).
+def compact_outcomes(panel: DataFrame, horizon: int) -> DataFrame:
+    """(key, date, y, v, r, m): the four labels of one horizon, ``y`` as 0 or 1 (TGT-08)."""
+    own = add_customer_outcomes(add_targets(panel, horizon), horizon)
+    value = (F.try_divide(F.col(f"forward_mean_h{horizon}"), F.col(PRICE)) - 1) * 10_000
+    return own.select(KEY, DATE, F.col(target_column("stay_not_worse", horizon)).cast("int").cast("double").alias("y"), value.alias("v"), F.col(f"customer_regret_bps_h{horizon}").alias("r"), F.col(f"moment_advantage_bps_h{horizon}").alias("m"))
+
+
+def add_path_outcomes(panel: DataFrame, horizon: int, mean_gap_days: float | None = None, by: str | list[str] = KEY, own_horizon: str | None = None) -> DataFrame:
+    """``path_value_bps`` and ``path_regret_bps`` over the next prices of a series ``by`` (TGT-09).
 
     Later prices weigh ``exp(-days since the first of them / mean_gap_days)``, or alike where
-    ``mean_gap_days`` is None.
+    ``mean_gap_days`` is None.  ``own_horizon`` names a column of horizons up to ``horizon``.
     """
     require(horizon >= 1, "horizon must be at least 1")
     require(mean_gap_days is None or 0 < mean_gap_days < float("inf"), "mean_gap_days must be positive and finite")
-    p = F.col(PRICE)
-    cells = F.collect_list(F.when(p.isNotNull(), F.struct(F.col(DATE).alias("d"), p.alias("p")))).over(next_rows(horizon))
-    out = panel.withColumn("_path", F.when((F.size(cells) == horizon) & p.isNotNull(), cells))
+    p, n = F.col(PRICE), F.lit(horizon) if own_horizon is None else F.col(own_horizon)
+    cells = F.slice(F.collect_list(F.struct(F.col(DATE).alias("d"), p.alias("p"))).over(next_rows(horizon, by)), F.lit(1), n)
+    known = p.isNotNull() & (F.size(cells) == n) & ~F.exists(cells, lambda x: x.p.isNull())
+    out = panel.withColumn("_path", F.when(known, cells))
 
     def weight(x: Column) -> Column:
         if mean_gap_days is None:

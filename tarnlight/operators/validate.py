@@ -53,3 +53,14 @@ def validate_panel(df: DataFrame, columns: Iterable[str] = (), key: str = "curre
     bad = {k: v for k, v in frame_violations(df, key, date).first().asDict().items() if v}
     require(not bad, f"the panel breaks its contract: {bad}")
     return df
+
+
+def many_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The inner join on ``keys``; an error, when it runs, if a key that is met has two rows on the right (JOIN-06)."""
+    require_columns(left, keys)
+    require_columns(right, keys)
+    rest = [c for c in right.columns if c not in keys]
+    one = right.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct(*rest) if rest else F.lit(0)).alias("_row"))
+    checked = F.when(F.col("_n") == 1, F.col("_row")).otherwise(F.raise_error(F.lit("a key of the right side has several rows")))
+    joined = left.join(one, keys).withColumn("_row", checked)
+    return joined.select(*left.columns, *[F.col("_row").getField(c).alias(c) for c in rest])

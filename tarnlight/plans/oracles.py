@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnlight.plans.queries import FOLDS, SIGNAL_QUERIES
+from tarnlight.plans.queries import CUTOFFS, FOLDS, REPORTED, SCALE, SHORTLIST, SIGNAL_QUERIES
 from tarnlight.sources.panel import COUNTRY_BY_CORRIDOR, HOLIDAYS
 
 S = "PARTITION BY currency ORDER BY effective_date"
@@ -137,29 +137,48 @@ def worst(source: str, loss: str, by: str, name: str, where: str = "true") -> st
     return f"""(SELECT {by}, avg(x) AS {name} FROM (SELECT {by}, {loss} AS x, row_number() OVER (PARTITION BY {by} ORDER BY {loss} DESC) AS k, count(*) OVER (PARTITION BY {by}) AS n FROM {source} WHERE {loss} IS NOT NULL AND {where}) WHERE k <= greatest(1, ceil(n * (1 - 0.95) - 1e-12)) GROUP BY {by})"""
 
 
-def path(h: int, gap: float | None, source: str) -> str:
+def path(h: int, gap: float | None, source: str, tag: str = "") -> str:
+    """CTEs down to ``paths<tag>``: path outcomes of a source's series."""
     w = "1.0" if gap is None else f"exp(-datediff('day', dl[1], dl[j]) / {gap}::DOUBLE)"
-    return f"""pa AS (SELECT *, list(p) OVER ({S} {after(h)}) AS pl, list(effective_date) OVER ({S} {after(h)}) AS dl FROM {source}),
-pj AS (SELECT *, unnest(range(1, {h} + 1)) AS j FROM pa WHERE len(pl) = {h}),
-pv AS (SELECT currency, effective_date, sum((pl[j] / p - 1) * 10000 * {w}) / sum({w}) AS path_value, max(greatest((p / pl[j] - 1) * 10000, 0) * {w}) AS path_regret FROM pj GROUP BY ALL),
-paths AS (SELECT a.*, path_value, path_regret FROM {source} a LEFT JOIN pv USING (currency, effective_date))"""
+    return f"""pa{tag} AS (SELECT *, list(p) OVER ({S} {after(h)}) AS pl, list(effective_date) OVER ({S} {after(h)}) AS dl FROM {source}),
+pj{tag} AS (SELECT *, unnest(range(1, {h} + 1)) AS j FROM pa{tag} WHERE len(pl) = {h}),
+pv{tag} AS (SELECT currency, effective_date, sum((pl[j] / p - 1) * 10000 * {w}) / sum({w}) AS path_value, max(greatest((p / pl[j] - 1) * 10000, 0) * {w}) AS path_regret FROM pj{tag} GROUP BY ALL),
+paths{tag} AS (SELECT a.*, path_value, path_regret FROM {source} a LEFT JOIN pv{tag} USING (currency, effective_date))"""
 
 
 FOLD = "CASE " + " ".join(f"WHEN effective_date >= DATE '{f.test_start}' AND effective_date < DATE '{f.test_end}' THEN '{f.name}'" for f in FOLDS) + " END"
 
 
+def sliced(names: tuple[str, ...], horizons: tuple[int, ...], source: str, folds=FOLDS, control: bool = False) -> str:
+    """CTEs down to ``own``: eligible rows of each method, fold, corridor and horizon as a series of its own, whose key stands in ``currency``.
+
+    The columns are those of a corridor's labelled rows, with what is sent as ``signal_momentum``.
+    """
+    fold = "CASE " + " ".join(f"WHEN effective_date >= DATE '{f.test_start}' AND effective_date < DATE '{f.test_end}' THEN '{f.name}'" for f in folds) + " END"
+    parts, made = [], []
+    random = """row_number() OVER (PARTITION BY fold, currency ORDER BY md5(concat_ws(':', 'random', 1, fold, currency, effective_date))) <=
+      least(round_even(1.5 * greatest(datediff('day', min(effective_date) OVER c, max(effective_date) OVER c) / 7.0::DOUBLE, 1), 0), count(*) OVER c)"""
+    for h in horizons:
+        parts.append(targets(h).replace("labels", f"labels{h}").replace("outcomes", f"outcomes{h}") % source)
+        parts.append(f"tested{h} AS (SELECT *, {random} AS random_signal FROM (SELECT *, {fold} AS fold FROM outcomes{h}) WHERE fold IS NOT NULL WINDOW c AS (PARTITION BY fold, currency))")
+        rows = " UNION ALL ".join(f"SELECT '{m}' AS method, {m} AS sent, * FROM tested{h} WHERE stay IS NOT NULL" for m in (*names, *(["random_signal"] if control else [])))
+        parts.append(f"sl{h} AS (SELECT concat_ws(':', method, CASE WHEN fold = 'oot' THEN 'oot' ELSE 'wf_oos' END, fold, currency, {h}) AS currency, effective_date, p, stay, adv, reg, bps, coalesce(sent, false) AS signal_momentum FROM ({rows}))")
+        parts.append(path(h, None, f"sl{h}", str(h)))
+        made.append(f"SELECT * FROM paths{h}")
+    return ", ".join(parts) + f", own AS ({' UNION ALL '.join(made)})"
+
+
+#: The parts of a slice's key, as columns.
+PARTS = "split_part(currency, ':', 1) AS method, split_part(currency, ':', 2) AS split, split_part(currency, ':', 3) AS fold, split_part(currency, ':', 4) AS currency, CAST(split_part(currency, ':', 5) AS INTEGER) AS horizon"
+
+
 def slices() -> str:
-    parts = []
-    for h in (1, 5, 10):
-        t = targets(h).replace("labels", f"labels{h}").replace("outcomes", f"outcomes{h}") % "base"
-        parts.append(t)
-    rows = " UNION ALL ".join(
-        f"""SELECT '{m}' AS method, CASE WHEN fold = 'oot' THEN 'oot' ELSE 'wf_oos' END AS split, fold, currency, {LIFT.format(s=m, t='stay')} AS lift, avg(CASE WHEN {m} THEN adv END) AS moment_advantage_bps,
-  avg(CASE WHEN {m} THEN reg END) AS customer_regret_bps, count(*) FILTER (WHERE {m}) AS signal_count, count(*) FILTER (WHERE {m}) / {WEEKS} AS signals_per_week, {h} AS horizon
-  FROM (SELECT *, {FOLD} AS fold FROM outcomes{h}) WHERE fold IS NOT NULL AND stay IS NOT NULL GROUP BY fold, currency"""
-        for h in (1, 5, 10) for m in ("signal_momentum", "signal_level")
-    )
-    return ", ".join(parts) + f", slices AS (SELECT *, lift * exp(moment_advantage_bps / 1000000.0) AS lift_at_risk FROM ({rows}))"
+    """CTEs down to ``slices``: the report's metrics of the two rules."""
+    gaps = f"SELECT currency, datediff('day', lag(effective_date) OVER ({S}), effective_date) AS g FROM own WHERE signal_momentum"
+    return f"""{sliced(REPORTED, (1, 5, 10), 'base')}, {lar_draws(50, 'own')},
+slices AS (SELECT {PARTS}, * EXCLUDE (currency) FROM (SELECT currency, {LIFT.format(s='signal_momentum', t='stay')} AS lift, avg(CASE WHEN signal_momentum THEN adv END) AS moment_advantage_bps, avg(CASE WHEN signal_momentum THEN reg END) AS customer_regret_bps_mean,
+  count(*) FILTER (WHERE signal_momentum) AS signal_count, count(*) FILTER (WHERE signal_momentum) / {WEEKS} AS signals_per_week FROM own GROUP BY currency)
+  LEFT JOIN (SELECT currency, count(*) FILTER (WHERE g <= 3) / count(*) AS cluster_rate FROM ({gaps}) GROUP BY currency) USING (currency) LEFT JOIN (SELECT currency, {LAR} AS lift_at_risk FROM lar) USING (currency))"""
 
 
 def rule_list() -> tuple[str, list[tuple[str, str]]]:
@@ -196,12 +215,11 @@ g3 AS (SELECT g2.*, {', '.join(f'{share("g2.p", f"l{w}", w)} AS pc{w}' for w in
 RULE_CTES, RULES = rule_list()
 
 
-def screening() -> tuple[str, str]:
-    """CTEs down to ``screened`` for the momentum and oversold rules, and its columns."""
-    chosen = [(n, c) for n, c in RULES if n.split("__")[0] in ("momentum", "oversold")]
+def screening() -> str:
+    """CTEs down to ``screened`` for all price rules."""
     t = targets(5).replace("labels", "labs") % "panel"
-    flags = ", ".join(f"coalesce({c}, false) AS \"{n}\"" for n, c in chosen)
-    names = ", ".join(f'"{n}"' for n, _ in chosen)
+    flags = ", ".join(f"coalesce({c}, false) AS \"{n}\"" for n, c in RULES)
+    names = ", ".join(f'"{n}"' for n, _ in RULES)
     return f"""{RULE_CTES}, {t},
 flagged AS (SELECT o.currency, o.effective_date, o.stay, o.bps, {flags} FROM g3 JOIN (SELECT currency, effective_date, stay, bps FROM outcomes) o USING (currency, effective_date) WHERE o.stay IS NOT NULL AND o.bps IS NOT NULL),
 long AS (UNPIVOT flagged ON {names} INTO NAME rule_id VALUE sent),
@@ -209,10 +227,10 @@ seen AS (SELECT *, sent AND coalesce(lag(sent) OVER (PARTITION BY rule_id, curre
 cells AS (SELECT rule_id, currency, count(*) FILTER (WHERE sent) AS n, {LIFT.format(s='sent', t='stay')} AS lift, avg(CASE WHEN sent THEN bps END) AS bps, count(*) FILTER (WHERE sent) / {WEEKS} AS weekly, count(*) FILTER (WHERE next) / nullif(count(*) FILTER (WHERE sent), 0) AS cl FROM seen GROUP BY ALL),
 sums AS (SELECT rule_id, CAST(sum(n) AS BIGINT) AS signal_count, count(*) FILTER (WHERE n > 0) AS corridors_with_signals, avg(lift) FILTER (WHERE n > 0) AS mean_lift, quantile_cont(lift, 0.5) FILTER (WHERE n > 0) AS median_lift, avg(bps) FILTER (WHERE n > 0) AS mean_bps, avg(weekly) AS mean_signals_per_week,
   coalesce(avg(CAST(coalesce(lift > 1, false) AS INTEGER)) FILTER (WHERE n > 0), 0) AS positive_share, avg(cl) FILTER (WHERE n > 0) AS mean_cluster_share FROM cells GROUP BY rule_id),
-screened AS (SELECT *, split_part(rule_id, '__', 1) AS family, coalesce(signal_count >= 50 AND corridors_with_signals >= 4 AND median_lift > 1 AND mean_bps > 0 AND positive_share >= 0.6, false) AS passed FROM sums)""", ""
+screened AS (SELECT *, split_part(rule_id, '__', 1) AS family, coalesce(signal_count >= 50 AND corridors_with_signals >= 4 AND median_lift > 1 AND mean_bps > 0 AND positive_share >= 0.6, false) AS passed FROM sums)"""
 
 
-SCREEN, _ = screening()
+SCREEN = screening()
 
 
 def sends(extra: str) -> str:
@@ -220,6 +238,10 @@ def sends(extra: str) -> str:
     return f"cand AS (SELECT currency, effective_date, coalesce(p < lag(p) OVER ({S}), false) AS c, row_number() OVER ({S}) AS i, {WEEK} AS wk FROM panel){extra}"
 
 
+CALENDAR = """rec AS (SELECT DISTINCT currency, 0::BIGINT AS i, CAST(NULL AS DATE) AS last, CAST(NULL AS DATE) AS lw, 0 AS n, false AS sent FROM cand UNION ALL
+      SELECT currency, i, CASE WHEN ok THEN d ELSE last END, CASE WHEN ok THEN wk ELSE lw END, CASE WHEN ok THEN u + 1 ELSE n END, ok FROM (SELECT *, c AND (last IS NULL OR datediff('day', last, d) > 3) AND u < 2 AS ok FROM (SELECT b.currency, b.i, b.effective_date AS d, b.c, b.wk, r.last, r.lw, r.n, CASE WHEN r.lw = b.wk THEN r.n ELSE 0 END AS u FROM rec r JOIN cand b ON b.currency = r.currency AND b.i = r.i + 1)))"""
+
+
 CLARITY = {"signal_seasonality": 1.0, "signal_better_than_30_day_average": 1.0, "signal_better_than_one_year_ago": 0.95, "signal_less_than_one_year_ago": 0.95, "signal_better_range_held": 0.8, "signal_level": 0.75, "signal_larger_than_usual_latest_improvement": 0.7, "signal_reversal": 0.7, "signal_momentum": 0.65, "signal_most_recent_changes_favourable": 0.65, "signal_most_recent_changes_unfavourable": 0.65}
 DECIDED = f"""
 sc AS (SELECT *, 1 - {share('p', 'l20', 20)} AS score FROM (SELECT *, list(p) OVER ({S} {frame(20)}) AS l20 FROM signals)),
@@ -233,31 +255,56 @@ decided AS (SELECT *, starts_with(meta_reason, 'selected') AS meta_should_send,
 THRESHOLDS = f"""
 sc AS (SELECT *, 1 - {share('p', 'l20', 20)} AS score, {' OR '.join(f'coalesce({n}, false)' for n in NAMES)} AS has_fact FROM (SELECT *, list(p) OVER ({S} {frame(20)}) AS l20 FROM signals)),
 {targets(5) % 'sc'},
-tried AS (SELECT *, score >= th AND has_fact AS sent FROM outcomes, (SELECT unnest([0.2, 0.5, 0.75, 0.9]::DOUBLE[]) AS th) WHERE stay IS NOT NULL AND score IS NOT NULL),
+facts AS (SELECT score FROM outcomes WHERE stay IS NOT NULL AND score IS NOT NULL AND has_fact),
+ths AS (SELECT unnest([0.2, 0.5, 0.75, 0.9]::DOUBLE[]) AS th UNION SELECT quantile_cont(score, 0.9) FROM facts UNION SELECT quantile_cont(score, 0.85) FROM facts UNION SELECT quantile_cont(score, 0.8) FROM facts),
+tried AS (SELECT *, score >= th AND has_fact AS sent FROM outcomes, ths WHERE stay IS NOT NULL AND score IS NOT NULL),
 thr AS (SELECT th AS threshold, count(*) FILTER (WHERE sent) / {WEEKS} AS weekly, coalesce({LIFT.format(s='sent', t='stay')}, 0) AS metric, avg(CASE WHEN sent THEN bps END) AS mean_bps FROM tried GROUP BY th HAVING count(*) FILTER (WHERE sent) > 0)"""
 
-LAR_DRAWS = f"""
-elig AS (SELECT *, {WEEK} AS wk FROM paths WHERE stay IS NOT NULL AND path_value IS NOT NULL AND path_regret IS NOT NULL),
+#: Each (threshold, corridor) of the grid as a series whose key stands in ``currency``; paths run over the corridor.
+MACRO = f"""
+judged AS (SELECT * FROM outcomes WHERE stay IS NOT NULL AND score IS NOT NULL), {path(5, None, 'judged')},
+tried_paths AS (SELECT concat_ws(':', th, currency) AS currency, effective_date, stay, path_value, path_regret, score >= th AND has_fact AS signal_momentum FROM paths, (SELECT unnest([0.2, 0.5, 0.75, 0.9]::DOUBLE[]) AS th))"""
+
+RULE_STREAM = f"""
+cand AS (SELECT currency, effective_date, p, score, meta_reason, meta_selected_signal, meta_selected_effect, meta_selection_score, coalesce(score >= 0.5 AND k IS NOT NULL AND meta_should_send, false) AS c, row_number() OVER ({S}) AS i, {WEEK} AS wk FROM decided JOIN (SELECT currency, effective_date, p FROM panel) USING (currency, effective_date))"""
+
+
+def snapshots() -> str:
+    """The latest row of each corridor on each cutoff day, if it is fresh and sent."""
+    days = ", ".join(f"DATE '{d}'" for d in CUTOFFS)
+    text = "CASE WHEN meta_selected_effect IS NULL THEN '—' ELSE printf('%.2f', abs(meta_selected_effect) * 100) END"
+    return f"""SELECT CAST(day AS VARCHAR) AS as_of, CAST(effective_date AS VARCHAR) AS effective_date, 'RUB->' || currency AS corridor, meta_selected_signal AS indicator, 'down' AS direction, round(abs(meta_selected_effect), 8) AS strength, 'slow' AS speed, 'now_cheap' AS recommended_scenario,
+  currency || ': a good day' AS push_title, currency || ' moved by ' || {text} || '%: ' || replace(replace(meta_selected_signal, 'signal_', ''), '_', ' ') AS push_body, round(score, 8) AS market_score, 0.5::DOUBLE AS market_threshold, round(meta_selected_effect, 8) AS selected_effect, round(meta_selection_score, 8) AS selection_score, meta_reason AS decision_reason
+  FROM (SELECT *, row_number() OVER (PARTITION BY day, currency ORDER BY effective_date DESC) AS latest FROM (SELECT day, cand.*, rec.sent FROM rec JOIN cand USING (currency, i), (SELECT unnest([{days}]) AS day) WHERE effective_date <= day)) WHERE latest = 1 AND sent AND datediff('day', effective_date, day) <= 3"""
+
+
+def lar_draws(draws: int, source: str = "paths") -> str:
+    """CTEs down to ``lar``: what was sent in each series of ``source``, and random draws of as many a week."""
+    return f"""
+elig AS (SELECT *, {WEEK} AS wk FROM {source} WHERE stay IS NOT NULL AND path_value IS NOT NULL AND path_regret IS NOT NULL),
 nw AS (SELECT *, count(*) FILTER (WHERE signal_momentum) OVER (PARTITION BY currency, wk) AS k FROM elig),
-dr AS (SELECT nw.*, draw, row_number() OVER (PARTITION BY currency, draw, wk ORDER BY md5(concat_ws(':', 'lar', draw, currency, effective_date))) AS place FROM nw, (SELECT unnest(range(1, 21)) AS draw) WHERE k > 0),
+dr AS (SELECT nw.*, draw, row_number() OVER (PARTITION BY currency, draw, wk ORDER BY md5(concat_ws(':', 'lar', draw, currency, effective_date))) AS place FROM nw, (SELECT unnest(range(1, {draws + 1})) AS draw) WHERE k > 0),
 pick AS (SELECT * FROM dr WHERE place <= k),
 each AS (SELECT a.currency, a.draw, h, v, w FROM (SELECT currency, draw, avg(CAST(stay AS INTEGER)) AS h, avg(path_value) AS v FROM pick GROUP BY ALL) a JOIN {worst('pick', 'path_regret', 'currency, draw', 'w')} b USING (currency, draw)),
 rnd AS (SELECT currency, avg(h) AS random_hit_rate, avg(v) AS random_value_bps, avg(w) AS random_tail_regret_bps FROM each GROUP BY currency),
-own AS (SELECT currency, avg(CAST(stay AS INTEGER)) AS signal_hit_rate, avg(path_value) AS signal_value_bps FROM elig WHERE signal_momentum GROUP BY currency),
-cnt AS (SELECT currency, count(*) FILTER (WHERE stay IS NOT NULL AND path_value IS NOT NULL) AS eligible_count, count(*) FILTER (WHERE stay IS NOT NULL AND path_value IS NOT NULL AND signal_momentum) AS signal_count, count(*) FILTER (WHERE (stay IS NULL OR path_value IS NULL) AND signal_momentum) AS excluded_signal_count FROM paths GROUP BY currency),
-lar AS (SELECT *, signal_hit_rate / nullif(random_hit_rate, 0) AS lift, (signal_value_bps - random_value_bps) - 2 * (signal_tail_regret_bps - random_tail_regret_bps) AS delta_utility_bps FROM cnt LEFT JOIN own USING (currency) LEFT JOIN {worst('elig', 'path_regret', 'currency', 'signal_tail_regret_bps', 'signal_momentum')} USING (currency) LEFT JOIN rnd USING (currency))"""
+lsent AS (SELECT currency, avg(CAST(stay AS INTEGER)) AS signal_hit_rate, avg(path_value) AS signal_value_bps FROM elig WHERE signal_momentum GROUP BY currency),
+cnt AS (SELECT currency, count(*) FILTER (WHERE stay IS NOT NULL AND path_value IS NOT NULL) AS eligible_count, count(*) FILTER (WHERE stay IS NOT NULL AND path_value IS NOT NULL AND signal_momentum) AS signal_count, count(*) FILTER (WHERE (stay IS NULL OR path_value IS NULL) AND signal_momentum) AS excluded_signal_count FROM {source} GROUP BY currency),
+lar AS (SELECT *, signal_hit_rate / nullif(random_hit_rate, 0) AS lift, (signal_value_bps - random_value_bps) - 2 * (signal_tail_regret_bps - random_tail_regret_bps) AS delta_utility_bps FROM cnt LEFT JOIN lsent USING (currency) LEFT JOIN {worst('elig', 'path_regret', 'currency', 'signal_tail_regret_bps', 'signal_momentum')} USING (currency) LEFT JOIN rnd USING (currency))"""
+
+
+#: Lift-at-risk of a row of ``lar``, at the reports' scale.
+LAR = f"lift * exp(delta_utility_bps / {SCALE!r})"
 
 
-ENSEMBLE = ("level__pct_w20_p10", "momentum__down_streak_2", "oversold__rsi_w5_p30")
-_HELD = {n: f"coalesce({c}, false)" for n, c in RULES if n in ENSEMBLE}
+_HELD = {n: f"coalesce({c}, false)" for n, c in RULES if n in SHORTLIST}
 
 
 def ensemble_rows() -> str:
-    """Counts of each AND, OR and vote of three rules; ORs of strongly correlated pairs are left out."""
-    a, b, c = ENSEMBLE
-    made = [(f"and__{a}__{x}", f'"{a}" AND "{x}"', "true") for x in (b, c)]
-    made += [(f"or__{x}__{y}", f'"{x}" OR "{y}"', f'(SELECT coalesce(abs(corr(CAST("{x}" AS INTEGER), CAST("{y}" AS INTEGER))) < 0.7, true) FROM held)') for x, y in ((a, b), (a, c), (b, c))]
-    made.append(("vote2__top3", " + ".join(f'CAST("{x}" AS INTEGER)' for x in ENSEMBLE) + " >= 2", "true"))
+    """Counts of each AND, OR and vote of the shortlist; ORs of strongly correlated pairs are left out."""
+    level, other = [[n for n in SHORTLIST if n.startswith("level") is kind] for kind in (True, False)]
+    made = [(f"and__{x}__{y}", f'"{x}" AND "{y}"', "true") for x in level for y in other]
+    made += [(f"or__{x}__{y}", f'"{x}" OR "{y}"', f'(SELECT coalesce(abs(corr(CAST("{x}" AS INTEGER), CAST("{y}" AS INTEGER))) < 0.7, true) FROM held)') for i, x in enumerate(SHORTLIST) for y in SHORTLIST[i + 1 :]]
+    made += [(f"vote2__top{k}", " + ".join(f'CAST("{x}" AS INTEGER)' for x in SHORTLIST[:k]) + " >= 2", "true") for k in (3, 5)]
     return " UNION ALL ".join(f"SELECT currency, '{n}' AS candidate, count(*) FILTER (WHERE {x}) AS n FROM held WHERE {keep} GROUP BY currency" for n, x, keep in made)
 
 
@@ -270,17 +317,21 @@ k1 AS (SELECT *, {share('p', 'l60', 60)} AS pc60, {', '.join(f"{change('ctx_' +
 k2 AS (SELECT *, {', '.join(f"{full(f'quantile_cont(rel_{c}, 0.1)', f'rel_{c}', frame(w), w)} AS lim_{c}_{w}" for c in RELATIVE for w in (60, 120))}, {', '.join(f"{full(f'quantile_cont(chg_{n}, {x})', f'chg_{n}', frame(120), 120)} AS lim_{n}_{d}" for n in CTX_NAMES for d, x in (('low', 0.1), ('high', 0.9)))} FROM k1)"""
 
 
-def context_rule_rows() -> str:
-    made = [(f"relative__{c}_w{w}_p10", f"rel_{c} <= lim_{c}_{w}") for c in RELATIVE for w in (60, 120)]
-    made += [(f"context__cheap_ctx_{n}_{d}", f"pc60 <= 0.2 AND chg_{n} {op} lim_{n}_{d}") for n in CTX_NAMES for d, op in (("low", "<="), ("high", ">="))]
-    return " UNION ALL ".join(f"SELECT currency, '{n}' AS rule_id, count(*) FILTER (WHERE {x}) AS n FROM k2 GROUP BY currency" for n, x in made)
+CONTEXT_LIST = [(f"relative__{c}_w{w}_p10", f"rel_{c} <= lim_{c}_{w}") for c in RELATIVE for w in (60, 120)]
+CONTEXT_LIST += [(f"context__cheap_ctx_{n}_{d}", f"pc60 <= 0.2 AND chg_{n} {op} lim_{n}_{d}") for n in CTX_NAMES for d, op in (("low", "<="), ("high", ">="))]
 
 
-LOG_LAR = "CASE WHEN delta_utility_bps / (100.0 / ln(1.3)) > 709.782712893384 THEN 'infinity'::DOUBLE WHEN delta_utility_bps / (100.0 / ln(1.3)) < -744.4400719213812 THEN NULL ELSE round(ln(lift) + delta_utility_bps / (100.0 / ln(1.3)), 6) END AS log_lift_at_risk"
+def held_rows(source: str, listed: list[tuple[str, str]]) -> str:
+    bits = [f"CAST(coalesce({c}, false) AS INTEGER)" for _, c in listed]
+    return f"SELECT currency, effective_date, {' + '.join(bits)} AS n_rules, md5(concat({', '.join(bits)})) AS rules_md5 FROM {source}"
 
 
-def method_metrics() -> str:
-    """All metrics of the momentum rule by corridor, each part a query of its own."""
+def context_rule_counts() -> str:
+    return " UNION ALL ".join(f"SELECT currency, '{n}' AS rule_id, count(*) FILTER (WHERE {x}) AS n FROM k2 GROUP BY currency" for n, x in CONTEXT_LIST)
+
+
+def method_metrics(draws: int) -> str:
+    """All metrics of what is sent in each series of ``own``, each part a query of its own."""
     m = "signal_momentum"
     gaps = f"SELECT currency, datediff('day', lag(effective_date) OVER ({S}), effective_date) AS g FROM own WHERE {m}"
     parts = [
@@ -289,12 +340,16 @@ def method_metrics() -> str:
         q("SELECT currency, CAST(sum(pushes) AS BIGINT) AS signal_count, count(*) AS eligible_weeks, round(avg(pushes), 6) AS pushes_per_week, round(quantile_cont(pushes, 0.5), 6) AS pushes_p50_per_week, round(quantile_cont(pushes, 0.9), 6) AS pushes_p90_per_week, round(avg(CAST(pushes = 0 AS INTEGER)), 6) AS zero_push_week_rate, round(avg(CAST(pushes > 2 AS INTEGER)), 6) AS over_budget_week_rate, round(avg(pushes), 6) AS signals_per_week FROM counts GROUP BY currency", weekly("own", m)),
         f"SELECT currency, round(count(*) FILTER (WHERE g <= 3) / count(*), 6) AS cluster_rate FROM ({gaps}) GROUP BY currency",
         f"SELECT currency, round(count(*) FILTER (WHERE s AND b) / nullif(count(*) FILTER (WHERE s), 0), 6) AS cluster_share FROM (SELECT currency, {m} AS s, coalesce(lag({m}) OVER ({S}), false) AS b FROM own) GROUP BY currency",
-        q(f"SELECT currency, {LOG_LAR}, eligible_count AS lar_eligible_count, signal_count AS lar_signal_count, excluded_signal_count AS lar_excluded_signal_count, " + ", ".join(f"round({c}, 6) AS lar_{c}" for c in ("signal_hit_rate", "signal_value_bps", "signal_tail_regret_bps", "random_hit_rate", "random_value_bps", "random_tail_regret_bps", "lift", "delta_utility_bps")) + " FROM lar", LAR_DRAWS.replace("FROM paths", "FROM own").replace(", own AS (", ", sent_own AS (").replace("\nown AS (", "\nsent_own AS (").replace("JOIN own USING", "JOIN sent_own USING")),
+        q(f"SELECT currency, round({LAR}, 6) AS lift_at_risk, eligible_count AS lar_eligible_count, signal_count AS lar_signal_count, excluded_signal_count AS lar_excluded_signal_count, " + ", ".join(f"round({c}, 6) AS lar_{c}" for c in ("signal_hit_rate", "signal_value_bps", "signal_tail_regret_bps", "random_hit_rate", "random_value_bps", "random_tail_regret_bps", "lift", "delta_utility_bps")) + " FROM lar", lar_draws(draws, "own")),
     ]
     joins = " ".join(f"LEFT JOIN ({x}) p{i} USING (currency)" for i, x in enumerate(parts))
     hit = f"(SELECT currency, avg(h) AS fm FROM (SELECT currency, draw, avg(CAST(stay AS INTEGER)) AS h FROM (SELECT *, row_number() OVER (PARTITION BY currency, draw ORDER BY md5(concat_ws(':', 'hit', draw, currency, effective_date))) AS place FROM (SELECT *, count(*) FILTER (WHERE {m}) OVER (PARTITION BY currency) AS k FROM own), (SELECT unnest(range(1, 51)) AS draw)) WHERE place <= k GROUP BY ALL) GROUP BY currency)"
-    first = f"(SELECT currency, count(*) AS eligible_days, count(*) FILTER (WHERE stay) AS target_positives, avg(CASE WHEN {m} THEN CAST(stay AS INTEGER) END) AS shr, round(avg(CAST(stay AS INTEGER)), 6) AS random_hit_rate, round({LIFT.format(s=m, t='stay')}, 6) AS lift, round(avg(CASE WHEN {m} THEN bps END), 6) AS bps_forward FROM own GROUP BY currency)"
-    return f"SELECT f.* EXCLUDE (shr), round(shr, 6) AS signal_hit_rate, {', '.join(f'p{i}.* EXCLUDE (currency)' for i in range(len(parts)))}, round(fm, 6) AS freq_matched_hit_rate, round(shr / nullif(fm, 0), 6) AS lift_freq_matched, 5 AS horizon FROM {first} f {joins} LEFT JOIN {hit} h USING (currency)"
+    first = f"(SELECT currency, count(*) AS eligible_days, count(*) FILTER (WHERE stay) AS target_positives, avg(CASE WHEN {m} THEN CAST(stay AS INTEGER) END) AS shr, count(*) FILTER (WHERE {m}) AS ns, round(avg(CAST(stay AS INTEGER)), 6) AS random_hit_rate, round({LIFT.format(s=m, t='stay')}, 6) AS lift, round(avg(CASE WHEN {m} THEN bps END), 6) AS bps_forward FROM own GROUP BY currency)"
+    return f"SELECT f.* EXCLUDE (shr, ns), round(shr, 6) AS signal_hit_rate, {', '.join(f'p{i}.* EXCLUDE (currency)' for i in range(len(parts)))}, round(fm, 6) AS freq_matched_hit_rate, CASE WHEN ns > 0 THEN round(shr / nullif(fm, 0), 6) END AS lift_freq_matched FROM {first} f {joins} LEFT JOIN {hit} h USING (currency)"
+
+
+def oot_columns(horizons: tuple[int, ...]) -> str:
+    return ", ".join(f"round(avg(lift) FILTER (WHERE horizon = {h}), 6) AS lift_h{h}, round(avg(lift_at_risk) FILTER (WHERE horizon = {h}), 6) AS lar_h{h}, count(lift_at_risk) FILTER (WHERE horizon = {h}) AS corridors_with_lar_h{h}" for h in horizons)
 
 
 def rounding(columns: str, digits: int = 8) -> str:
@@ -354,16 +409,19 @@ ORACLE_SQL: dict[str, str] = {
     "useful_signals": q("SELECT currency, round(sum(pushes) / count(*), 8) AS useful_signals_per_week, round(sum(pushes) / count(*) * 100, 8) AS useful_signals_per_100_weeks FROM counts GROUP BY currency", *B, T5, "good AS (SELECT currency, effective_date, stay AND signal_momentum AS u FROM outcomes WHERE stay IS NOT NULL)", weekly("good", "u")),
     "random_signal": q(f"SELECT {ID}, row_number() OVER (PARTITION BY currency ORDER BY md5(concat_ws(':', 'random', 1, currency, effective_date))) <= least(round_even(1.5 * greatest(datediff('day', min(effective_date) OVER c, max(effective_date) OVER c) / 7.0::DOUBLE, 1), 0), count(*) OVER c) AS random_signal FROM panel WINDOW c AS (PARTITION BY currency)", PANEL),
     "matched_hit_rate": q("""SELECT currency, round(avg(h), 8) AS freq_matched_hit_rate FROM (SELECT currency, draw, avg(CAST(stay AS INTEGER)) AS h FROM (SELECT *, row_number() OVER (PARTITION BY currency, draw ORDER BY md5(concat_ws(':', 'hit', draw, currency, effective_date))) AS place FROM
-      (SELECT *, count(*) FILTER (WHERE signal_momentum) OVER (PARTITION BY currency) AS k FROM outcomes WHERE stay IS NOT NULL), (SELECT unnest(range(1, 21)) AS draw)) WHERE place <= k GROUP BY ALL) GROUP BY currency""", *B, T5),
-    "matched_draws": q(f"SELECT currency, effective_date, CAST(draw AS INTEGER) AS draw FROM (SELECT *, row_number() OVER (PARTITION BY currency, draw, wk ORDER BY md5(concat_ws(':', 'lar', draw, currency, effective_date))) AS place FROM (SELECT *, count(*) FILTER (WHERE signal_momentum) OVER (PARTITION BY currency, wk) AS k FROM (SELECT *, {WEEK} AS wk FROM base)), (SELECT unnest(range(1, 6)) AS draw)) WHERE place <= k", *B),
-    "lift_at_risk": q("SELECT currency, eligible_count, signal_count, excluded_signal_count, " + rounding("signal_hit_rate, signal_value_bps, signal_tail_regret_bps, random_hit_rate, random_value_bps, random_tail_regret_bps, lift, delta_utility_bps", 6) + ", " + LOG_LAR + " FROM lar", *B, T5, path(5, None, "outcomes"), LAR_DRAWS),
-    "method_metrics": q(method_metrics(), *B, T5, path(5, None, "outcomes"), "own AS (SELECT * FROM paths WHERE stay IS NOT NULL)"),
+      (SELECT *, count(*) FILTER (WHERE signal_momentum) OVER (PARTITION BY currency) AS k FROM outcomes WHERE stay IS NOT NULL), (SELECT unnest(range(1, 51)) AS draw)) WHERE place <= k GROUP BY ALL) GROUP BY currency""", *B, T5),
+    "matched_draws": q(f"SELECT currency, effective_date, CAST(draw AS INTEGER) AS draw FROM (SELECT *, row_number() OVER (PARTITION BY currency, draw, wk ORDER BY md5(concat_ws(':', 'lar', draw, currency, effective_date))) AS place FROM (SELECT *, count(*) FILTER (WHERE signal_momentum) OVER (PARTITION BY currency, wk) AS k FROM (SELECT *, {WEEK} AS wk FROM base)), (SELECT unnest(range(1, 51)) AS draw)) WHERE place <= k", *B),
+    **{name: q("SELECT currency, eligible_count, signal_count, excluded_signal_count, " + rounding("signal_hit_rate, signal_value_bps, signal_tail_regret_bps, random_hit_rate, random_value_bps, random_tail_regret_bps, lift, delta_utility_bps", 7) + f", round({LAR}, 7) AS lift_at_risk FROM lar", *B, T5, path(5, gap, "outcomes"), lar_draws(200)) for name, gap in (("lift_at_risk", None), ("lift_at_risk_discounted", 2.0))},
+    "method_metrics": q(f"SELECT *, 5 AS horizon FROM ({method_metrics(200)})", *B, T5, path(5, None, "outcomes"), "own AS (SELECT * FROM paths WHERE stay IS NOT NULL)"),
+    "rule_backtest": q(f"SELECT {PARTS}, 'RUB->' || split_part(currency, ':', 4) AS corridor, * EXCLUDE (currency) FROM ({method_metrics(50)})", *R, sliced(NAMES, (5,), "signals", control=True)),
     "baseline_lift": q(" UNION ALL ".join(f"SELECT * FROM ({lift_rows(f'outcomes{h}', 'local_min', NAMES[:4], f', {h} AS horizon')})" for h in (1, 3, 5)), *B, *[(targets(h).replace("labels", f"labels{h}").replace("outcomes", f"outcomes{h}")) % "base" for h in (1, 3, 5)]),
-    "slices": q("SELECT method, split, fold, currency, " + rounding("lift, moment_advantage_bps, customer_regret_bps", 6) + ", signal_count, round(signals_per_week, 6) AS signals_per_week, horizon, round(lift_at_risk, 6) AS lift_at_risk FROM slices", *B, slices()),
-    "stability": q(" UNION ALL ".join(f"SELECT '{m}' AS metric, count({m}) AS slice_count, round({w}({m}), 6) AS worst, round(quantile_cont({m}, 0.5), 6) AS median, round({b}({m}), 6) AS best FROM slices" for m, w, b in (("lift", "min", "max"), ("moment_advantage_bps", "min", "max"), ("customer_regret_bps", "max", "min"))), *B, slices()),
-    "oot_summary": q("SELECT method, " + ", ".join(f"round(avg(lift) FILTER (WHERE horizon = {h}), 6) AS lift_h{h}, round(avg(lift_at_risk) FILTER (WHERE horizon = {h}), 6) AS lar_h{h}, count(lift_at_risk) FILTER (WHERE horizon = {h}) AS corridors_with_lar_h{h}" for h in (1, 5, 10)) + ", round(avg(signals_per_week) FILTER (WHERE horizon = 5), 6) AS signals_per_week FROM slices WHERE split = 'oot' GROUP BY method", *B, slices()),
-    "method_summary": q("""SELECT a.method, round(lm, 6) AS oos_lift_mean, round(lw, 6) AS oos_lift_worst, round(ls, 6) AS oos_lift_13_share, round(la, 6) AS oos_lar_mean, round(spw, 6) AS signals_per_week, vs AS valid_slices, round(ol, 6) AS oot_lift, round(oa, 6) AS oot_lar,
-      CASE WHEN lm >= 1.3 AND val > 0 AND spw BETWEEN 1 AND 2 THEN 'PASS' ELSE 'REVIEW' END AS status FROM (SELECT method, avg(lift) AS lm, min(lift) AS lw, avg(CAST(lift >= 1.3 AS INTEGER)) AS ls, avg(lift_at_risk) FILTER (WHERE lift IS NOT NULL) AS la, avg(moment_advantage_bps) FILTER (WHERE lift IS NOT NULL) AS val, avg(signals_per_week) AS spw, count(lift) AS vs FROM slices WHERE horizon = 5 AND split <> 'oot' GROUP BY method) a
+    "slices": q("SELECT method, split, fold, currency, horizon, signal_count, " + rounding("lift, moment_advantage_bps, customer_regret_bps_mean, signals_per_week, cluster_rate, lift_at_risk", 6) + " FROM slices", *B, slices()),
+    "stability": q(" UNION ALL ".join(f"SELECT '{m}' AS metric, count({m}) AS slice_count, round({w}({m}), 6) AS worst, round(quantile_cont({m}, 0.5), 6) AS median, round({b}({m}), 6) AS best FROM slices" for m, w, b in (("lift", "min", "max"), ("lift_at_risk", "min", "max"), ("moment_advantage_bps", "min", "max"), ("customer_regret_bps_mean", "max", "min"))), *B, slices()),
+    "oot_summary": q("SELECT method, " + oot_columns((1, 5, 10)) + ", round(avg(signals_per_week) FILTER (WHERE horizon = 5), 6) AS signals_per_week, round(avg(cluster_rate) FILTER (WHERE horizon = 5), 6) AS cluster_rate FROM slices WHERE split = 'oot' GROUP BY method", *B, slices()),
+    "oot_ranking": q("SELECT CAST(row_number() OVER (ORDER BY corridors_with_lar_h5 DESC NULLS LAST, l5 DESC NULLS LAST, corridors_with_lar_h10 DESC NULLS LAST, l10 DESC NULLS LAST, method) AS INTEGER) AS place, method, corridors_with_lar_h5, corridors_with_lar_h10 FROM (SELECT method, " + ", ".join(f"avg(lf) FILTER (WHERE horizon = {h}) AS l{h}, count(lr) FILTER (WHERE horizon = {h}) AS corridors_with_lar_h{h}" for h in (5, 10)) + f" FROM (SELECT {PARTS}, lf, lr FROM (SELECT currency, {LIFT.format(s='signal_momentum', t='stay')} AS lf FROM own GROUP BY currency) LEFT JOIN (SELECT currency, {LAR} AS lr FROM lar) USING (currency)) GROUP BY method)", *R, sliced(NAMES, (5, 10), "signals", FOLDS[-1:], True), lar_draws(50, "own")),
+    "with_diagnostics": q("SELECT a.method, a.fold, a.currency, a.horizon, round(a.lift, 6) AS lift, a.signal_count, b.signal_count * 2 AS signal_count_diag, b.lift > 1 AS better FROM slices a LEFT JOIN slices b ON a.method = b.method AND a.fold = b.fold AND a.currency = b.currency AND a.horizon = b.horizon AND b.signal_count > 20", *B, slices()),
+    "method_summary": q("""SELECT a.method, round(lm, 6) AS oos_lift_mean, round(lw, 6) AS oos_lift_worst, round(ls, 6) AS oos_lift_13_share, round(la, 6) AS oos_lar_mean, round(spw, 6) AS signals_per_week, round(cr, 6) AS cluster_rate, vs AS valid_slices, round(ol, 6) AS oot_lift, round(oa, 6) AS oot_lar,
+      CASE WHEN lm >= 1.3 AND val > 0 AND spw BETWEEN 1 AND 2 THEN 'PASS' ELSE 'REVIEW' END AS status FROM (SELECT method, avg(lift) AS lm, min(lift) AS lw, avg(CAST(lift >= 1.3 AS INTEGER)) AS ls, avg(lift_at_risk) FILTER (WHERE lift IS NOT NULL) AS la, avg(moment_advantage_bps) FILTER (WHERE lift IS NOT NULL) AS val, avg(signals_per_week) AS spw, avg(cluster_rate) AS cr, count(lift) AS vs FROM slices WHERE horizon = 5 AND split <> 'oot' GROUP BY method) a
       LEFT JOIN (SELECT method, avg(lift) AS ol, avg(lift_at_risk) AS oa FROM slices WHERE horizon = 5 AND split = 'oot' GROUP BY method) b USING (method)""", *B, slices()),
     "gate_shares": q("SELECT method, split, round(avg(CAST(coalesce(lift >= 1.3, false) AS INTEGER)) * 100, 6) AS lift_ok, round(avg(CAST(coalesce(moment_advantage_bps > 0, false) AS INTEGER)) * 100, 6) AS value_ok, round(avg(CAST(coalesce(signals_per_week BETWEEN 1 AND 2, false) AS INTEGER)) * 100, 6) AS frequency_ok FROM slices GROUP BY ALL", *B, slices()),
     "heatmap": q("SELECT currency, " + ", ".join(f"round(avg(lift) FILTER (WHERE horizon = {h}), 6) AS lift_h{h}" for h in (1, 5, 10)) + " FROM slices GROUP BY currency", *B, slices()),
@@ -377,12 +435,30 @@ ORACLE_SQL: dict[str, str] = {
       (SELECT a.fold, CASE WHEN a.signal_count = 0 THEN 'unusable' WHEN a.signals_per_week < 0.5 THEN 'insufficient_frequency' WHEN a.lift - b.lift > 0 AND a.moment_advantage_bps - b.moment_advantage_bps >= 0 THEN 'adopt' ELSE 'reject' END AS dec FROM slices a JOIN slices b ON a.fold = b.fold AND a.currency = b.currency AND a.horizon = 5 AND b.horizon = 5 AND a.method = 'signal_level' AND b.method = 'signal_momentum') GROUP BY fold""", *B, slices()),
     "rule_counts": q("SELECT currency, rule_id, n FROM (UNPIVOT cells ON " + ", ".join(f'"{n}"' for n, _ in RULES) + " INTO NAME rule_id VALUE n)", PANEL, RULE_CTES, "cells AS (SELECT currency, " + ", ".join(f'count(*) FILTER (WHERE {c}) AS "{n}"' for n, c in RULES) + " FROM g3 GROUP BY currency)", recursive=True),
     "ensembles": q(ensemble_rows(), PANEL, RULE_CTES, "held AS (SELECT currency, " + ", ".join(f'{c} AS "{n}"' for n, c in _HELD.items()) + " FROM g3)", recursive=True),
-    "context_rule_counts": q(context_rule_rows(), PANEL, CONTEXT, CTX, FEATURES, EXTERNAL, EXT, CONTEXT_RULES),
+    "rule_rows": q(held_rows("g3", RULES), PANEL, RULE_CTES, recursive=True),
+    "context_rule_counts": q(context_rule_counts(), PANEL, CONTEXT, CTX, FEATURES, EXTERNAL, EXT, CONTEXT_RULES),
+    "context_rule_rows": q(held_rows("k2", CONTEXT_LIST), PANEL, CONTEXT, CTX, FEATURES, EXTERNAL, EXT, CONTEXT_RULES),
+    "discovery_effect": q(f"SELECT round(avg(l), 6) AS lift_point, round(avg(b), 6) AS bps_point FROM (SELECT {LIFT.format(s='signal_momentum', t='stay')} AS l, avg(CASE WHEN signal_momentum THEN bps END) AS b, count(*) FILTER (WHERE signal_momentum) AS n, avg(CAST(stay AS INTEGER)) AS pr FROM outcomes WHERE stay IS NOT NULL GROUP BY currency) WHERE n > 0 AND pr > 0", *B, T5),
+    "compact_outcomes": q("SELECT currency, effective_date, CAST(CAST(stay AS INTEGER) AS DOUBLE) AS y, round(bps, 6) AS v, round(reg, 6) AS r, round(adv, 6) AS m FROM outcomes", PANEL, targets(5) % "panel"),
+    "fold_calendar": q("SELECT 'wf_' || y AS fold, 'wf_oos' AS split, make_date(y - 1, 1, 1) AS train_end, make_date(y - 1, 1, 1) AS val_start, make_date(y, 1, 1) AS val_end, make_date(y, 1, 1) AS test_start, least(make_date(y + 1, 1, 1), DATE '2000-09-01') AS test_end FROM (SELECT CAST(unnest(range(1996, 2001)) AS INTEGER) AS y), (SELECT min(effective_date) AS a FROM panel) WHERE make_date(y - 1, 1, 1) > a + INTERVAL 6 MONTH UNION ALL SELECT 'oot', 'oot', DATE '1999-09-01', DATE '1999-09-01', DATE '2000-09-01', DATE '2000-09-01', CAST(max(effective_date) + 1 AS DATE) FROM panel HAVING max(effective_date) >= DATE '2000-09-01'", PANEL),
+    "candidates": "SELECT * FROM (VALUES ('random', 'random', ''), " + ", ".join(f"('{n}', 'rule', '')" for n in NAMES) + ", ('logreg_AB', 'model', 'AB'), ('logreg_ABC', 'model', 'ABC')) t(method, kind, groups)",
+    "merged_segments": "SELECT c_mktsegment, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment",
+    "feature_frame": q(f"SELECT currency, effective_date, {', '.join(NAMES[:4])}, " + rounding("down_streak, price_percentile, days_since_min, rebound_pct, ret_1, ret_3, ret_5, ret_10, ret_20, vol_20", 6) + ", days_gap AS days_to_holiday, round(slope_20, 3) AS slope_20, CAST(month(effective_date) AS DOUBLE) AS month, CAST(isodow(effective_date) - 1 AS DOUBLE) AS weekday, ext.* EXCLUDE (effective_date) FROM base JOIN (SELECT * EXCLUDE (p, r, cents, r_regionkey) FROM f2) f USING (currency, effective_date) JOIN ext USING (effective_date)", *B, FEATURES, EXTERNAL, EXT,
+      f"e2 AS (SELECT *, {share('value', 'l90', 90)} AS percentile, {full('stddev_samp(ret_1)', 'ret_1', frame(20), 20, SE)} AS vol_20 FROM e1), ext AS (SELECT effective_date, " + ", ".join(f"round(max(CASE WHEN series = '{n}' THEN {c} END), 6) AS ext_{n}_{c}" for n in CTX_NAMES for c in ("ret_1", "ret_5", "percentile", "vol_20", "staleness_days")) + " FROM e2 GROUP BY effective_date)"),
+    "xml_rates": q("SELECT currency, effective_date, CAST(power(10, r_regionkey % 3) AS INTEGER) AS nominal, cents * CAST(power(10, r_regionkey % 3) AS BIGINT) / 100.0::DOUBLE AS value_rub, round(p, 6) AS rub_per_unit FROM panel", PANEL),
+    "fetched_rates": "SELECT r_name AS currency, CAST(DATE '2000-01-01' + CAST(k AS INTEGER) AS DATE) AS effective_date, 'R' || r_regionkey AS cbr_id, CAST(power(10, r_regionkey % 3) AS INTEGER) AS nominal, ((k * 7919 + r_regionkey * 31) % 100000 + 1) / 100.0::DOUBLE AS value_rub, round(((k * 7919 + r_regionkey * 31) % 100000 + 1) / 100.0::DOUBLE / power(10, r_regionkey % 3), 6) AS rub_per_unit FROM region, (SELECT unnest(range(366)) AS k)",
+    "csv_rates": q("SELECT currency, effective_date, effective_date AS available_at, CAST(power(10, r_regionkey % 3) AS INTEGER) AS nominal, cents * CAST(power(10, r_regionkey % 3) AS BIGINT) / 100.0::DOUBLE AS value_rub, p AS rub_per_unit, true AS is_fresh FROM panel", PANEL),
+    "public_csv": q("SELECT effective_date AS event_date, effective_date + 3 AS available_at, 'public' AS source, 'usd' AS series_id, CAST(cents AS DOUBLE) AS value FROM context WHERE currency = 'USD' AND cents % 7 <> 0", CONTEXT),
+    "csv_external": q("SELECT series_id, event_date, available_at, value FROM external", EXTERNAL),
+    "file_digest": "SELECT CAST(strlen(t) AS BIGINT) AS bytes, sha256(t) AS sha256 FROM (SELECT 'r_regionkey,r_name' || chr(10) || string_agg(r_regionkey || ',' || r_name || chr(10), '' ORDER BY r_regionkey) AS t FROM region)",
+    "report_table": q("SELECT CAST(row_number() OVER (ORDER BY o, text) - 1 AS INTEGER) AS line, text FROM (SELECT 0 AS o, '| currency | n | high | low |' AS text UNION ALL SELECT 1, '| --- | --- | --- | --- |' UNION ALL SELECT 2, '| ' || currency || ' | ' || count(*) || ' | ' || printf('%.3f', max(cents * CAST(power(10, r_regionkey % 3) AS BIGINT) / 100.0::DOUBLE)) || ' | — |' FROM panel GROUP BY currency)", PANEL),
+    "resumed": q("SELECT currency, effective_date, cents FROM panel", PANEL),
     "rule_screen": q("SELECT rule_id, signal_count, corridors_with_signals, " + rounding("mean_lift, median_lift, mean_bps, mean_signals_per_week, positive_share, mean_cluster_share", 6) + ", family, passed FROM screened", PANEL, SCREEN, recursive=True),
     "rule_shortlist": q("""SELECT rule_id, family, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (ORDER BY f DESC, l DESC, b DESC, z DESC, rule_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY f DESC, l DESC, b DESC, z DESC, rule_id) AS kf FROM
       (SELECT *, CAST(coalesce(mean_signals_per_week BETWEEN 0.8 AND 2.5 AND mean_bps > 0, false) AS INTEGER) AS f, coalesce(median_lift, -1) AS l, coalesce(mean_bps, -1e9) AS b, -abs(mean_signals_per_week - 1.5) AS z FROM screened WHERE passed OR NOT (SELECT bool_or(passed) FROM screened))) WHERE kf <= 5) WHERE place <= 20""", PANEL, SCREEN, recursive=True),
-    "policy_calendar": q("SELECT currency, effective_date, sent AS policy_signal FROM rec JOIN cand USING (currency, i)", PANEL, sends(""), """rec AS (SELECT DISTINCT currency, 0::BIGINT AS i, CAST(NULL AS DATE) AS last, CAST(NULL AS DATE) AS lw, 0 AS n, false AS sent FROM cand UNION ALL
-      SELECT currency, i, CASE WHEN ok THEN d ELSE last END, CASE WHEN ok THEN wk ELSE lw END, CASE WHEN ok THEN u + 1 ELSE n END, ok FROM (SELECT *, c AND (last IS NULL OR datediff('day', last, d) > 3) AND u < 2 AS ok FROM (SELECT b.currency, b.i, b.effective_date AS d, b.c, b.wk, r.last, r.lw, r.n, CASE WHEN r.lw = b.wk THEN r.n ELSE 0 END AS u FROM rec r JOIN cand b ON b.currency = r.currency AND b.i = r.i + 1)))""", recursive=True),
+    "policy_calendar": q("SELECT currency, effective_date, sent AS policy_signal FROM rec JOIN cand USING (currency, i)", PANEL, sends(""), CALENDAR, recursive=True),
+    "rule_policy_stream": q("SELECT currency, effective_date, meta_reason, sent AS policy_signal FROM rec JOIN cand USING (currency, i)", *R, DECIDED, RULE_STREAM, CALENDAR, recursive=True),
+    "rule_snapshots": q(snapshots(), *R, DECIDED, RULE_STREAM, CALENDAR, recursive=True),
     "policy_prints": q("SELECT currency, effective_date, sent AS policy_signal FROM rec JOIN cand USING (currency, i)", PANEL, sends(""), """rec AS (SELECT DISTINCT currency, 0::BIGINT AS i, CAST(NULL AS BIGINT) AS lp, CAST(NULL AS DATE) AS d1, CAST(NULL AS DATE) AS d2, false AS sent FROM cand UNION ALL
       SELECT currency, i, CASE WHEN ok THEN i ELSE lp END, CASE WHEN ok THEN d ELSE d1 END, CASE WHEN ok THEN d1 ELSE d2 END, ok FROM (SELECT b.currency, b.i, b.effective_date AS d, r.lp, r.d1, r.d2, b.c AND (r.lp IS NULL OR b.i - r.lp > 1) AND (r.d2 IS NULL OR r.d2 < b.effective_date - 6) AS ok FROM rec r JOIN cand b ON b.currency = r.currency AND b.i = r.i + 1))""", recursive=True),
     "meta_decisions": q(f"SELECT {ID}, meta_should_send, meta_selected_signal, meta_reason, round(meta_selected_effect, 8) AS meta_selected_effect, round(meta_selection_score, 8) AS meta_selection_score, coalesce(active, '') AS active, CASE WHEN meta_reason IN ('invalid_market_score', 'below_market_threshold', 'no_active_signal') THEN 0 ELSE ns END AS n_scores FROM decided", *R, DECIDED),
@@ -391,6 +467,7 @@ ORACLE_SQL: dict[str, str] = {
       FROM (SELECT *, CASE WHEN price_percentile <= 0.3 THEN CASE WHEN signal_level THEN 'level' WHEN signal_momentum THEN 'momentum' WHEN signal_seasonality THEN 'seasonality' END END AS fact FROM base JOIN (SELECT currency, effective_date, price_percentile, down_streak FROM f2) USING (currency, effective_date))""", *B, FEATURES),
     "split_sizes": q(" UNION ALL ".join(f"SELECT '{f.name}' AS fold, '{part}' AS part, currency, count(*) AS n, min(effective_date) AS first, max(effective_date) AS last FROM (SELECT *, row_number() OVER (PARTITION BY currency ORDER BY effective_date DESC) AS b FROM panel WHERE {cond}) WHERE b > {h} GROUP BY currency" for f in FOLDS for part, cond, h in (("train", f"effective_date < DATE '{f.train_end}'", 5), ("validation", f"effective_date >= DATE '{f.val_start}' AND effective_date < DATE '{f.val_end}'", 5), ("test", f"effective_date >= DATE '{f.test_start}' AND effective_date < DATE '{f.test_end}'", 0))), PANEL),
     "fold_assignment": q(f"SELECT fold, CASE WHEN fold = 'oot' THEN 'oot' ELSE 'wf_oos' END AS split, currency, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM (SELECT *, {FOLD} AS fold FROM panel) WHERE fold IS NOT NULL GROUP BY ALL", PANEL),
+    "threshold_macro_lar": q(f"SELECT threshold, round(weekly, 6) AS weekly, round(lr, 6) AS metric, round(mean_bps, 6) AS mean_bps FROM thr JOIN (SELECT CAST(split_part(currency, ':', 1) AS DOUBLE) AS threshold, avg({LAR}) AS lr FROM lar WHERE lift IS NOT NULL AND delta_utility_bps IS NOT NULL GROUP BY 1) USING (threshold)", *R, THRESHOLDS, MACRO, lar_draws(50, "tried_paths")),
     "threshold_scores": q("SELECT threshold, " + rounding("weekly, metric, mean_bps", 6) + " FROM thr", *R, THRESHOLDS),
     "threshold_choice": q("SELECT max(threshold) AS threshold FROM (SELECT threshold FROM thr WHERE mean_bps > 0 ORDER BY weekly <= 2.5 DESC, metric * least(weekly, 1) DESC, mean_bps DESC, threshold LIMIT 1)", *R, THRESHOLDS),
     "upsert_journal": "WITH o AS (SELECT o_orderkey, o_orderstatus, CAST(year(o_orderdate) AS INTEGER) AS y FROM orders) SELECT * FROM o WHERE y < 2000 AND o_orderkey % 10 <> 0 UNION ALL SELECT o_orderkey, 'X', y FROM o WHERE o_orderkey % 10 = 0",

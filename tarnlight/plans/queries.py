@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlight.functions.frames import DATE, KEY, PRICE, full, last_rows, rank_share
-from tarnlight.functions.scalar import corridor, cross_rate, method_label, series_name
+from tarnlight.functions.scalar import LAR_SCALE_BPS, corridor, cross_rate, method_label, series_name
 from tarnlight.operators import asof, backtest, decision, features, metrics, models, policy, research, rules, search, signals, splits, targets, validate
 from tarnlight.operators.signals import SIGNALS, effect_column
+from tarnlight.session import scratch_folder
 from tarnlight.sources import panel, sinks
-from tarnlight.sources.readers import text_library
+from tarnlight.sources.readers import fetch_snapshot, from_public_context, load_external, load_public_context, load_rates, parse_rate_xml, public_context_csv, text_library
 
 Query = Callable[[SparkSession, str], DataFrame]
 ID = [KEY, DATE]
@@ -205,61 +208,71 @@ def random_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matched_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.matched_hit_rate(_labelled(spark, sf_dir), "target_stay_not_worse_h5", "signal_momentum", [KEY], draws=20))
+    return rounded(metrics.matched_hit_rate(_labelled(spark, sf_dir), "target_stay_not_worse_h5", "signal_momentum", [KEY], draws=50))
 
 
 def matched_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.matched_draws(with_baseline(spark, sf_dir).select(*ID, "signal_momentum"), "signal_momentum", [KEY], draws=5).select(*ID, "draw")
+    return metrics.matched_draws(with_baseline(spark, sf_dir).select(*ID, "signal_momentum"), "signal_momentum", [KEY], draws=50).select(*ID, "draw")
 
 
 def lift_at_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = targets.add_path_outcomes(targets.add_targets(with_baseline(spark, sf_dir), 5), 5)
-    out = metrics.path_lift_at_risk(own, "target_stay_not_worse_h5", "signal_momentum", [KEY], draws=20)
-    # The test tables' prices jump by orders of magnitude; scores compare as logarithms.
-    return rounded(out.withColumn("log_lift_at_risk", F.ln("lift_at_risk")).drop("lift_at_risk"), 6)
+    return rounded(metrics.path_lift_at_risk(own, "target_stay_not_worse_h5", "signal_momentum", [KEY], draws=200, scale=SCALE), 7)
 
 
 def method_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = targets.add_path_outcomes(_labelled(spark, sf_dir), 5)
-    out = metrics.evaluate_method(own, "target_stay_not_worse_h5", "signal_momentum", 5, [KEY], draws=20)
-    return rounded(out.withColumn("log_lift_at_risk", F.ln("lift_at_risk")).drop("lift_at_risk"), 6)
+    return rounded(metrics.evaluate_method(own, "target_stay_not_worse_h5", "signal_momentum", 5, [KEY], draws=200, scale=SCALE), 6)
 
 
 def baseline_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(backtest.baseline(with_baseline(spark, sf_dir), (1, 3, 5)))
 
 
+#: Prices of the test tables jump by a factor of hundreds from day to day, so that scores of the usual scale leave
+#: the range of doubles; reports over them use a scale that is 10,000 times as long.
+SCALE = LAR_SCALE_BPS * 10_000
+REPORTED = ("signal_momentum", "signal_level")
+
+
+def lift_at_risk_discounted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = targets.add_path_outcomes(targets.add_targets(with_baseline(spark, sf_dir), 5), 5, 2.0)
+    return rounded(metrics.path_lift_at_risk(own, "target_stay_not_worse_h5", "signal_momentum", [KEY], draws=200, scale=SCALE), 7)
+
+
 def slice_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lift, value, regret and frequency of two rules by fold, corridor and horizon: input of the report queries."""
-    out = None
-    own = with_baseline(spark, sf_dir)
-    for h in (1, 5, 10):
-        frame = splits.assign_folds(targets.add_customer_outcomes(targets.add_targets(own, h), h), FOLDS)
-        long = frame.filter(F.col(f"target_stay_not_worse_h{h}").isNotNull()).unpivot([*ID, "fold", "split", f"target_stay_not_worse_h{h}", f"moment_advantage_bps_h{h}", f"customer_regret_bps_h{h}"], ["signal_momentum", "signal_level"], "method", "sent")
-        t, s = F.col(f"target_stay_not_worse_h{h}"), F.col("sent")
-        weeks = F.datediff(F.max(metrics.week()), F.min(metrics.week())) / 7 + 1
-        one = long.groupBy("method", "split", "fold", KEY).agg(
-            metrics.lift(t, s).alias("lift"), F.avg(F.when(s, F.col(f"moment_advantage_bps_h{h}"))).alias("moment_advantage_bps"), F.avg(F.when(s, F.col(f"customer_regret_bps_h{h}"))).alias("customer_regret_bps"),
-            F.count_if(F.coalesce(s, F.lit(False))).alias("signal_count"), (F.count_if(F.coalesce(s, F.lit(False))) / weeks).alias("signals_per_week"),
-        ).withColumns({"horizon": F.lit(h), "lift_at_risk": F.col("lift") * F.exp(F.col("moment_advantage_bps") / F.lit(1_000_000.0)), "cluster_rate": F.lit(None).cast("double")})
-        out = one if out is None else out.unionByName(one)
-    return out
+    """All metrics of two rules by fold, corridor and horizon: input of the report queries."""
+    frame = backtest.prepare(with_baseline(spark, sf_dir), (1, 5, 10))
+    out = backtest.evaluate_rules(frame, FOLDS, (1, 5, 10), signals=REPORTED, draws=50, control=False, scale=SCALE)
+    return out.select("method", "split", "fold", KEY, "horizon", "lift", "moment_advantage_bps", "customer_regret_bps_mean", "signal_count", "signals_per_week", "cluster_rate", "lift_at_risk")
 
 
 def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(slice_metrics(spark, sf_dir).drop("cluster_rate"), 6)
+    return rounded(slice_metrics(spark, sf_dir), 6)
 
 
 def stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.stability(slice_metrics(spark, sf_dir), ["lift", "moment_advantage_bps", "customer_regret_bps"], ("customer_regret_bps",)), 6)
+    return rounded(metrics.stability(slice_metrics(spark, sf_dir), ["lift", "lift_at_risk", "moment_advantage_bps", "customer_regret_bps_mean"], ("customer_regret_bps_mean",)), 6)
 
 
 def oot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(research.oot_summary(slice_metrics(spark, sf_dir)).drop("cluster_rate"), 6)
+    return rounded(research.oot_summary(slice_metrics(spark, sf_dir)), 6)
+
+
+def oot_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = backtest.prepare(with_signals(spark, sf_dir), (5, 10))
+    found = backtest.evaluate_rules(own, FOLDS[-1:], (5, 10), draws=50, scale=SCALE)
+    return research.oot_ranking(research.oot_summary(found, (5, 10))).select("place", "method", "corridors_with_lar_h5", "corridors_with_lar_h10")
 
 
 def method_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(research.method_summary(slice_metrics(spark, sf_dir)).drop("cluster_rate"), 6)
+    return rounded(research.method_summary(slice_metrics(spark, sf_dir)), 6)
+
+
+def with_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = slice_metrics(spark, sf_dir).select("method", "fold", KEY, "horizon", "lift", "signal_count")
+    diagnostics = own.filter("signal_count > 20").select("method", "fold", KEY, "horizon", (F.col("signal_count") * 2).alias("signal_count"), (F.col("lift") > 1).alias("better"))
+    return rounded(research.with_diagnostics(own, diagnostics, ["method", "fold", KEY, "horizon"]), 6)
 
 
 def gate_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,24 +315,43 @@ def research_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- rules, search, policy -----------------------------------------------------------
 
 
+def _held_rows(frame: DataFrame, names: list[str]) -> DataFrame:
+    """(key, date, n_rules, rules_md5): how many rules hold on each row, and a digest of which."""
+    return frame.select(*ID, reduce(add, [F.col(n).cast("int") for n in names]).alias("n_rules"), F.md5(F.concat(*[F.col(n).cast("int").cast("string") for n in names])).alias("rules_md5"))
+
+
+def rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of all price rules hold, row by row."""
+    frame, catalog = rules.add_rules(rates(spark, sf_dir).select(*ID, PRICE))
+    return _held_rows(frame, [r.rule_id for r in catalog])
+
+
 def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each rule of the price catalog holds in each corridor."""
     frame, catalog = rules.add_rules(rates(spark, sf_dir).select(*ID, PRICE))
     return frame.select(KEY, *[r.rule_id for r in catalog]).groupBy(KEY).agg(*[F.count_if(r.rule_id).alias(r.rule_id) for r in catalog]).unpivot([KEY], [r.rule_id for r in catalog], "rule_id", "n")
 
 
-def context_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _context_rules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     own = features.add_context(features.add_series_features(rates(spark, sf_dir)), panel.context(spark, sf_dir))
     own = asof.causal_context(own, panel.public_context(panel.external(spark, sf_dir)))
     ctx = [c for c in own.columns if c.startswith("ctx_")]
-    frame, catalog = rules.add_rules(own.select(*ID, PRICE, "ret_1", "usd_ret_1", "eur_ret_1", "cny_ret_1", "residual_usd_1", *ctx))
-    names = [r.rule_id for r in catalog if r.family in ("relative", "context")]
+    frame, catalog = rules.add_rules(own.select(*ID, PRICE, "ret_1", "usd_ret_1", "eur_ret_1", "cny_ret_1", "residual_usd_1", *ctx), ("relative", "context"))
+    return frame, [r.rule_id for r in catalog]
+
+
+def context_rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _held_rows(*_context_rules(spark, sf_dir))
+
+
+def context_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame, names = _context_rules(spark, sf_dir)
     return frame.groupBy(KEY).agg(*[F.count_if(n).alias(n) for n in names]).unpivot([KEY], names, "rule_id", "n")
 
 
 def _screening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame, catalog = rules.add_rules(targets.add_targets(rates(spark, sf_dir), 5))
-    return search.screen(frame, [r for r in catalog if r.family in ("momentum", "oversold")], "target_stay_not_worse_h5", 5)
+    frame, catalog = rules.add_rules(targets.add_targets(rates(spark, sf_dir).select(*ID, PRICE), 5))
+    return search.screen(frame, catalog, "target_stay_not_worse_h5", 5)
 
 
 def rule_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,14 +362,24 @@ def rule_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.shortlist(_screening(spark, sf_dir))
 
 
+#: One rule of each family and a second level rule: every kind of ensemble is made of them.
+SHORTLIST = ("level__pct_w20_p10", "momentum__down_streak_2", "oversold__rsi_w5_p30", "level__near_min_w60_bp50", "confirmation__stabilize_h3", "regime__cheap_normal")
+
+
 def ensembles(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame, catalog = rules.add_rules(rates(spark, sf_dir).select(*ID, PRICE))
-    short = ["level__pct_w20_p10", "momentum__down_streak_2", "oversold__rsi_w5_p30"]
-    out, names = rules.combine(frame, short, {r.rule_id: r.family for r in catalog}, rules.correlations(frame, short))
-    made = [n for n in names if n not in short]
+    names = list(SHORTLIST)
+    out, candidates = rules.combine(frame, names, {r.rule_id: r.family for r in catalog}, rules.correlations(frame, names))
+    made = [n for n in candidates if n not in names]
     return out.groupBy(KEY).agg(*[F.count_if(n).alias(n) for n in made]).unpivot([KEY], made, "candidate", "n")
 
 
+def discovery_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _labelled(spark, sf_dir).filter("target_stay_not_worse_h5 IS NOT NULL")
+    bps = (F.col("forward_mean_h5") / F.col(PRICE) - 1) * 10_000
+    return rounded(search.discovery_effect(own.select(*ID, F.col("target_stay_not_worse_h5").alias("target"), bps.alias("bps"), F.coalesce("signal_momentum", F.lit(False)).alias("sent"))), 6)
+
+
 def policy_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = signals.add_baseline(rates(spark, sf_dir).select(*ID, PRICE), momentum_days=1)
     return policy.calendar_policy(own, "signal_momentum", 3, 2).select(*ID, "policy_signal")
@@ -349,9 +391,10 @@ def policy_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def indicator_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen stream of every fold, on its test rows."""
     own = targets.add_targets(rates(spark, sf_dir).select(*ID, PRICE), 5)
-    found = search.indicator_search(own, FOLDS[-1:], "target_stay_not_worse_h5", 5, cooldowns=(1, 3))
-    return found[0].test.withColumns({"rule_id": F.lit(found[0].rule_id)})
+    found = search.indicator_search(own, FOLDS, "target_stay_not_worse_h5", 5)
+    return reduce(DataFrame.unionByName, [f.test.withColumns({"rule_id": F.lit(f.rule_id)}) for f in found])
 
 
 # --- decisions ---------------------------------------------------------------------
@@ -396,14 +439,32 @@ def fold_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_folds(rates(spark, sf_dir), FOLDS).groupBy("fold", "split", KEY).agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
 
 
+def fold_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The yearly folds over the span of the panel, by rule."""
+    first, last = rates(spark, sf_dir).agg(F.min(DATE), F.max(DATE)).first()
+    return splits.fold_table(spark, splits.walk_forward_folds(first, last, 1996, dt.date(2000, 9, 1), dt.date(1999, 9, 1)))
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.add_has_fact(targets.add_targets(_scored(spark, sf_dir), 5)).withColumn("score", F.col("market_score")).filter("target_stay_not_worse_h5 IS NOT NULL AND score IS NOT NULL")
+
+
+THRESHOLDS, QUANTILES = [0.2, 0.5, 0.75, 0.9], [0.10, 0.15, 0.20]
+
+
 def threshold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = signals.add_has_fact(targets.add_targets(_scored(spark, sf_dir), 5)).withColumn("score", F.col("market_score")).filter("target_stay_not_worse_h5 IS NOT NULL AND score IS NOT NULL")
-    return rounded(models.score_thresholds(own, [0.2, 0.5, 0.75, 0.9], "target_stay_not_worse_h5", 5), 6)
+    own = _judged(spark, sf_dir)
+    return rounded(models.score_thresholds(own, models.threshold_candidates(own, THRESHOLDS, QUANTILES), "target_stay_not_worse_h5", 5), 6)
 
 
 def threshold_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = signals.add_has_fact(targets.add_targets(_scored(spark, sf_dir), 5)).withColumn("score", F.col("market_score")).filter("target_stay_not_worse_h5 IS NOT NULL AND score IS NOT NULL")
-    return models.best_threshold(models.score_thresholds(own, [0.2, 0.5, 0.75, 0.9], "target_stay_not_worse_h5", 5))
+    own = _judged(spark, sf_dir)
+    return models.best_threshold(models.score_thresholds(own, models.threshold_candidates(own, THRESHOLDS, QUANTILES), "target_stay_not_worse_h5", 5))
+
+
+def threshold_macro_lar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = targets.add_path_outcomes(_judged(spark, sf_dir), 5)
+    return rounded(models.score_thresholds(own, THRESHOLDS, "target_stay_not_worse_h5", 5, metric="lar", draws=50, scale=SCALE), 6)
 
 
 def _model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -414,31 +475,164 @@ def _model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 MODEL_COLUMNS = ["price_percentile", "days_since_min", "rebound_pct", "ret_1", "ret_5", "vol_20"]
 
 
-def _predictions(spark: SparkSession, sf_dir: str, kind: str, iterations: int) -> DataFrame:
-    out, _ = backtest.walk_forward_predictions(_model_frame(spark, sf_dir), FOLDS[-1:], MODEL_COLUMNS, "target_stay_not_worse_h5", 5, kind, iterations=iterations)
+def _predictions(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    out, _ = backtest.walk_forward_predictions(_model_frame(spark, sf_dir), FOLDS, MODEL_COLUMNS, "target_stay_not_worse_h5", 5, kind)
     return out
 
 
 def logreg_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _predictions(spark, sf_dir, "logreg", 50).select(*ID, "fold", "score", "threshold", "model_signal")
+    return _predictions(spark, sf_dir, "logreg").select(*ID, "fold", "score", "threshold", "model_signal")
 
 
 def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _predictions(spark, sf_dir, "gbt", 10).select(*ID, "fold", "score", "threshold", "model_signal")
+    return _predictions(spark, sf_dir, "gbt").select(*ID, "fold", "score", "threshold", "model_signal")
 
 
 def policy_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backtest.meta_policy(_predictions(spark, sf_dir, "logreg", 50)).select(*ID, "score", "meta_reason", "policy_signal")
+    return backtest.meta_policy(_predictions(spark, sf_dir, "logreg")).select(*ID, "fold", "score", "meta_reason", "policy_signal")
+
+
+def model_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Worst, median and best slice of the logistic model's final stream, over all folds and corridors."""
+    frame = signals.add_has_fact(backtest.prepare(features.add_series_features(with_signals(spark, sf_dir)), (5,)))
+    found = backtest.evaluate_models(frame, FOLDS, MODEL_COLUMNS, 5, draws=50, scale=SCALE)
+    return metrics.stability(found, ["lift", "lift_at_risk", "moment_advantage_bps", "signals_per_week"])
+
+
+def _rule_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The final stream of a score without a model."""
+    own = signals.add_has_fact(_scored(spark, sf_dir)).withColumns({"score": F.col("market_score"), "threshold": F.lit(0.5)})
+    return backtest.meta_policy(own.withColumn("model_signal", (F.col("score") >= F.col("threshold")) & F.col("has_fact")))
+
+
+def rule_policy_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rule_stream(spark, sf_dir).select(*ID, "meta_reason", "policy_signal")
+
+
+#: Cutoff days of the snapshot queries.
+CUTOFFS = [dt.date(2000, 3, 1) + dt.timedelta(60 * k) for k in range(3)]
+
+
+def rule_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What would be sent on each of some cutoff days, by a score without a model."""
+    texts = text_library(spark, TEMPLATES, required=set(SIGNALS))
+    parts = []
+    for day in CUTOFFS:
+        # Sends depend on those before them, so each cutoff's stream is made of what was known then.
+        known = _scored(spark, sf_dir).filter(F.col("available_at") <= F.lit(day))
+        own = signals.add_has_fact(known).withColumns({"score": F.col("market_score"), "threshold": F.lit(0.5)})
+        stream = backtest.meta_policy(own.withColumn("model_signal", (F.col("score") >= F.col("threshold")) & F.col("has_fact")))
+        parts.append(backtest.snapshot_output(stream, texts, day))
+    out = reduce(DataFrame.unionByName, parts)
+    return rounded(out.select("as_of", "effective_date", "corridor", "indicator", "direction", "strength", "speed", "recommended_scenario", "push_title", "push_body", "market_score", "market_threshold", "selected_effect", "selection_score", "decision_reason"))
 
 
 def snapshot_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = text_library(spark, TEMPLATES, required=set(SIGNALS))
-    return backtest.signal_snapshot(_model_frame(spark, sf_dir), texts, dt.date(2000, 6, 30), MODEL_COLUMNS, "target_stay_not_worse_h5", 5, allowed=SIGNALS, iterations=50)
+    choice = backtest.ThresholdChoice(grid=(0.3, 0.4, 0.5))
+    return backtest.signal_snapshot(_model_frame(spark, sf_dir), texts, SNAPSHOT_DAY, MODEL_COLUMNS, "target_stay_not_worse_h5", 5, allowed=SIGNALS, choice=choice)
+
+
+#: A cutoff day on which something is sent in the test tables.
+SNAPSHOT_DAY = dt.date(2000, 7, 10)
 
 
 def rule_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics of every rule and the random control, by fold and corridor."""
     frame = backtest.prepare(with_signals(spark, sf_dir), (5,))
-    return rounded(backtest.evaluate_rules(frame, FOLDS[-1:], 5, draws=10), 6)
+    return rounded(backtest.evaluate_rules(frame, FOLDS, (5,), draws=50, scale=SCALE), 6)
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry of methods."""
+    return spark.createDataFrame([(m.method_id, m.kind, "".join(m.groups)) for m in backtest.methods((("A", "B"), ("A", "B", "C")))], "method string, kind string, groups string")
+
+
+# --- sources and sinks -----------------------------------------------------------------
+
+
+def compact_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(targets.compact_outcomes(rates(spark, sf_dir), 5), 6)
+
+
+def feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups A, B, C, E and F of the assembled frame, by the names that their selection gives."""
+    own = rates(spark, sf_dir).select(*ID, PRICE, "recipient_per_rub", "available_at")
+    frame = features.add_features(own, None, panel.external(spark, sf_dir), panel.holidays(spark, FIRST_YEAR, LAST_YEAR), panel.country_of(F.col(KEY)))
+    out = frame.select(*ID, *features.columns_for_groups(["A", "B", "C", "E", "F", "A"], frame))
+    return rounded(rounded(out.withColumn("slope_20", F.round("slope_20", 3)), 6), 6)
+
+
+def merged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = panel.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), "o_orderkey")
+    customers = panel.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), "c_mktsegment")
+    return validate.many_to_one(orders, customers, ["custkey"]).groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+def xml_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel written as rate records in XML, by corridor, and parsed again."""
+    own, folder = rates(spark, sf_dir), scratch_folder(spark, "xml")
+    value = F.replace(F.col("value_rub").cast("decimal(20,2)").cast("string"), F.lit("."), F.lit(","))
+    records = own.select(F.replace(F.col(KEY), F.lit(" "), F.lit("_")).alias("name"), F.date_format(DATE, "dd.MM.yyyy").alias("_Date"), F.lit("R1").alias("_Id"), F.col("nominal").alias("Nominal"), value.alias("Value"))
+    records.write.partitionBy("name").format("xml").option("rootTag", "ValCurs").option("rowTag", "Record").save(folder)
+    parts = [parse_rate_xml(spark, f"{folder}/name={c.replace(' ', '_')}", c, "R1") for c in sorted(panel.COUNTRY_BY_CORRIDOR)]
+    return reduce(DataFrame.unionByName, parts).select(*ID, "nominal", "value_rub", F.round("rub_per_unit", 6).alias("rub_per_unit"))
+
+
+def _made_xml(cbr_id: str) -> str:
+    """A year of made-up prices of one series."""
+    number = int(cbr_id[1:])
+    days = ((dt.date(2000, 1, 1) + dt.timedelta(k), (k * 7919 + number * 31) % 100_000 + 1) for k in range(366))
+    return "<ValCurs>" + "".join(f'<Record Date="{d:%d.%m.%Y}" Id="{cbr_id}"><Nominal>{10 ** (number % 3)}</Nominal><Value>{v // 100},{v % 100:02d}</Value></Record>' for d, v in days) + "</ValCurs>"
+
+
+def fetched_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot fetched series by series in tasks, here from a stand-in for the network."""
+    regions = panel.table(spark, sf_dir, "region").select("r_name", "r_regionkey").collect()
+    out = fetch_snapshot(spark, _made_xml, {r["r_name"]: f"R{r['r_regionkey']}" for r in regions}, scratch_folder(spark, "rates"))
+    return out.select(*ID, "cbr_id", "nominal", "value_rub", F.round("rub_per_unit", 6).alias("rub_per_unit"))
+
+
+def csv_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_folder(spark, "csv")
+    sinks.write_table(rates(spark, sf_dir).select(*ID, "available_at", "nominal", "value_rub", "rub_per_unit", "is_fresh"), folder, "csv")
+    return load_rates(spark, folder).select(*ID, "available_at", "nominal", "value_rub", "rub_per_unit", "is_fresh")
+
+
+def public_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dated CSV with cells that don't parse, as public context, written and loaded again, and as external series."""
+    folder, again = scratch_folder(spark, "public"), scratch_folder(spark, "context")
+    bad = F.when(F.col("cents") % 7 == 0, "n/a").otherwise(F.col("cents").cast("string"))
+    sinks.write_table(panel.context(spark, sf_dir).filter("currency = 'USD'").select(F.col(DATE).cast("string").alias("day"), bad.alias("level")), folder, "csv")
+    sinks.write_table(public_context_csv(spark, folder, "day", "level", "usd", "lineitem", 3), again, "csv")
+    return from_public_context(load_public_context(spark, again), "public").select("event_date", "available_at", "source", "series_id", "value")
+
+
+def csv_external(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_folder(spark, "external")
+    sinks.write_table(panel.external(spark, sf_dir), folder, "csv")
+    return load_external(spark, folder).select("series_id", "event_date", "available_at", "value")
+
+
+def file_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and digest of a written file, as a manifest lists them."""
+    folder = scratch_folder(spark, "regions")
+    sinks.write_table(panel.table(spark, sf_dir, "region").select("r_regionkey", "r_name").coalesce(1).sortWithinPartitions("r_regionkey"), folder, "csv")
+    return sinks.file_digests(spark, folder).filter("file LIKE 'part-%'").select("bytes", "sha256")
+
+
+def report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a report table."""
+    own = rates(spark, sf_dir).groupBy(KEY).agg(F.count("*").alias("n"), F.max("value_rub").alias("high")).orderBy(KEY)
+    lines = sinks.markdown(own.withColumn("low", F.lit(None).cast("double"))).splitlines()
+    return spark.createDataFrame(list(enumerate(lines)), "line int, text string")
+
+
+def resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A partial result that is computed once and then read."""
+    folder = scratch_folder(spark, "resume")
+    sinks.resume(rates(spark, sf_dir).select(*ID, "cents"), folder, "panel, version 1")
+    return sinks.resume(rates(spark, sf_dir).select(*ID, F.lit(None).cast("long").alias("cents")), folder, "panel, version 1")
 
 
 def upsert_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -467,8 +661,6 @@ def ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rules.with_ema(rates(spark, sf_dir).select(*ID, PRICE), (10, 60)).drop(PRICE), 4)
 
 
-
-
 SIGNAL_QUERIES = {
     "sig_momentum": "signal_momentum", "sig_level": "signal_level", "sig_reversal": "signal_reversal", "sig_seasonality": "signal_seasonality",
     "sig_year_up": "signal_better_than_one_year_ago", "sig_year_down": "signal_less_than_one_year_ago", "sig_range_held": "signal_better_range_held",
@@ -491,8 +683,10 @@ QUERIES: dict[str, Query] = {
         days_to_holiday, annual_reference, context_features, synthetic_cross, external_features, causal_context, cross_rates, text_scalars, rolling_quantile, ema,
         lift_by_indicator, tail_regret, customer_metrics, weekly_counts, frequency_summary, cluster_rate, useful_signals, random_signal, matched_hit_rate, matched_draws, lift_at_risk, method_metrics, baseline_lift,
         slices, stability, oot_summary, method_summary, gate_shares, heatmap, median_ranking, experiment_summary, market_components, paired_effect, research_decisions,
-        rule_counts, context_rule_counts, rule_screen, rule_shortlist, ensembles, policy_calendar, policy_prints, indicator_search,
-        meta_decisions, explanations, push_messages, split_sizes, fold_assignment, threshold_scores, threshold_choice, logreg_scores, gbt_scores, policy_stream, snapshot_signals, rule_backtest,
+        lift_at_risk_discounted, oot_ranking, with_diagnostics, compact_outcomes, feature_frame, fold_calendar, threshold_macro_lar, candidates, merged_segments, discovery_effect,
+        xml_rates, fetched_rates, csv_rates, public_csv, csv_external, file_digest, report_table, resumed,
+        rule_rows, rule_counts, context_rule_rows, context_rule_counts, rule_screen, rule_shortlist, ensembles, policy_calendar, policy_prints, indicator_search,
+        meta_decisions, explanations, push_messages, split_sizes, fold_assignment, threshold_scores, threshold_choice, logreg_scores, gbt_scores, policy_stream, rule_policy_stream, model_stability, snapshot_signals, rule_snapshots, rule_backtest,
         upsert_journal, append_journal, new_dates,
     )},
 }

@@ -10,9 +10,13 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from urllib.request import urlopen
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tarnlight.functions.scalar import reciprocal
@@ -20,48 +24,70 @@ from tarnlight.operators.validate import require, require_columns, validate_exte
 from tarnlight.sources.panel import CONTEXT, EXTERNAL, RATES
 
 
-def parse_rate_xml(spark: SparkSession, path: str, currency: str, cbr_id: str) -> DataFrame:
-    """``Record`` elements as rate rows: decimal commas, ``dd.MM.yyyy`` dates, prices per one unit (SRC-01).
+RECORD = "_Date string, _Id string, Nominal string, Value string"
 
-    A malformed record or a file without records is an error.
-    """
-    raw = spark.read.format("xml").option("rowTag", "Record").schema("_Date string, _Id string, Nominal string, Value string").load(path)
 
-    def number(column: str):
+def _rate_rows(raw: DataFrame, currency: Column, cbr_id: Column) -> DataFrame:
+    """Rate rows of raw records; a malformed one is an error."""
+
+    def number(column: str) -> Column:
         return F.expr(f"try_cast(replace(replace(`{column}`, ' ', ''), ',', '.') as double)")
 
     nominal, value = number("Nominal"), number("Value")
-    out = raw.select(F.expr("to_date(_Date, 'dd.MM.yyyy')").alias("effective_date"), nominal.cast("int").alias("nominal"), value.alias("value_rub"))
+    out = raw.select(F.expr("try_to_date(_Date, 'dd.MM.yyyy')").alias("effective_date"), currency.alias("currency"), cbr_id.alias("cbr_id"), nominal.cast("int").alias("nominal"), value.alias("value_rub"))
     bad = F.col("effective_date").isNull() | F.col("nominal").isNull() | (F.col("nominal") <= 0) | F.col("value_rub").isNull()
     out = out.withColumn("value_rub", F.when(bad, F.raise_error(F.lit("malformed rate record")).cast("double")).otherwise(F.col("value_rub")))
-    require(not out.isEmpty(), f"no records in {path}")
     price = F.col("value_rub") / F.col("nominal")
-    return out.select("effective_date", F.col("effective_date").alias("available_at"), F.lit(currency).alias("currency"), F.lit(cbr_id).alias("cbr_id"), "nominal", "value_rub", price.alias("rub_per_unit"), reciprocal(price).alias("recipient_per_rub"), F.lit(True).alias("is_fresh"))
+    return out.select("effective_date", F.col("effective_date").alias("available_at"), "currency", "cbr_id", "nominal", "value_rub", price.alias("rub_per_unit"), reciprocal(price).alias("recipient_per_rub"), F.lit(True).alias("is_fresh"))
 
 
-def fetch_snapshot(spark: SparkSession, fetch: Callable[[str], str], series: dict[str, str], folder: str, target: str, force: bool = False) -> DataFrame:
-    """Downloads each series' XML once and writes the union as a table; a present table is kept unless forced (SRC-02)."""
+def parse_rate_xml(spark: SparkSession, path: str, currency: str, cbr_id: str) -> DataFrame:
+    """``Record`` elements as rate rows: decimal commas, ``dd.MM.yyyy`` dates, prices per one unit (SRC-01).
+
+    A malformed record or a file without records is an error.
+    """
+    raw = spark.read.format("xml").option("rowTag", "Record").schema(RECORD).load(path)
+    require(not raw.isEmpty(), f"no records in {path}")
+    return _rate_rows(raw, F.lit(currency), F.lit(cbr_id))
+
+
+def fetch_rates(spark: SparkSession, fetch: Callable[[str], str], series: dict[str, str]) -> DataFrame:
+    """Rate rows of each series' XML, fetched in tasks, one series each; a text without records is an error."""
+    require(bool(series), "no series to fetch")
+    names = spark.createDataFrame(sorted(series.items()), "currency string, cbr_id string").repartition(len(series), "currency")
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for currency, cbr_id in zip(*[c.to_pylist() for c in batch.columns]):
+                yield pa.RecordBatch.from_arrays([pa.array([currency]), pa.array([cbr_id]), pa.array([fetch(cbr_id)])], names=["currency", "cbr_id", "text"])
+
+    texts = names.mapInArrow(run, "currency string, cbr_id string, text string")
+    records = F.from_xml("text", f"Record array<struct<{RECORD.replace(' string', ': string')}>>").getField("Record")
+    some = F.when(F.coalesce(F.size(records), F.lit(0)) > 0, records).otherwise(F.raise_error(F.concat(F.lit("no records of "), "currency")).cast(f"array<struct<{RECORD.replace(' string', ': string')}>>"))
+    rows = texts.select("currency", "cbr_id", F.explode(some).alias("r"))
+    return _rate_rows(rows.select("currency", "cbr_id", "r.*"), F.col("currency"), F.col("cbr_id"))
+
+
+def fetch_snapshot(spark: SparkSession, fetch: Callable[[str], str], series: dict[str, str], target: str, force: bool = False) -> DataFrame:
+    """All series' rates, fetched once and written as a table; a present table is kept unless forced (SRC-02)."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(target)
     present = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
     if not present or force:
-        Path(folder).mkdir(parents=True, exist_ok=True)
-        out = None
-        for currency, cbr_id in sorted(series.items()):
-            file = Path(folder, f"{currency}.xml")
-            file.write_text(fetch(cbr_id), encoding="utf-8")
-            one = parse_rate_xml(spark, str(file), currency, cbr_id)
-            out = one if out is None else out.unionByName(one)
-        require(out is not None, "no series to fetch")
-        out.withColumns({"source": F.lit("fetched"), "fetched_at": F.current_timestamp()}).write.mode("overwrite").parquet(target)
+        fetch_rates(spark, fetch, series).withColumns({"source": F.lit("fetched"), "fetched_at": F.current_timestamp()}).write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
 
 
 def load_rates(spark: SparkSession, path: str) -> DataFrame:
-    """A rate CSV with the canonical schema (SRC-03)."""
+    """A rate CSV with the canonical schema, columns by name (SRC-03); malformed rows fail when they are read."""
     try:
-        return spark.read.schema(RATES).option("header", True).option("mode", "FAILFAST").csv(path)
-    except Exception as error:
-        raise FileNotFoundError(f"rates not found at {path}: fetch them first") from error
+        found = spark.read.option("header", True).csv(path).columns
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(f"rates not found at {path}: fetch them first") from error
+        raise
+    kinds = {f.name: f for f in RATES}
+    schema = T.StructType([kinds.get(c, T.StructField(c, T.StringType())) for c in found])
+    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
 
 
 def public_context_csv(spark: SparkSession, path: str, date: str, value: str, name: str, source: str, lag_days: int = 0) -> DataFrame:
@@ -76,8 +102,9 @@ def public_context_csv(spark: SparkSession, path: str, date: str, value: str, na
 class PagedJson(DataSource):
     """``spark.read.format("paged_json").option("base", ..)``: JSON pages read until an empty one (SRC-05).
 
-    ``base`` is a folder (or a prefix that ``opener`` in a subclass understands) of files
-    ``<start>.json``, each a list of objects with a date and a value.
+    ``base`` is an HTTP address, asked with ``?start=<n>``, or a folder that all executors mount, of
+    files ``<n>.json``; n grows by ``page``.  A page is a list of objects with ``date`` and ``value``.
+    Each of ``readers`` tasks reads every such page in turn, until it meets an empty one.
     """
 
     @classmethod
@@ -93,21 +120,24 @@ class PagedJson(DataSource):
 
 class _PagedReader(DataSourceReader):
     def __init__(self, options):
-        self.base, self.page = options["base"], int(options.get("page", "100"))
+        self.base, self.page, self.readers = options["base"].rstrip("/"), int(options.get("page", "100")), int(options.get("readers", "1"))
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]  # where a page ends is known only when it is read
+        return [InputPartition(k) for k in range(self.readers)]
+
+    def _rows(self, start: int) -> list[dict]:
+        if self.base.startswith(("http://", "https://")):
+            with urlopen(f"{self.base}?start={start}", timeout=60) as answer:
+                return json.load(answer)
+        file = Path(self.base, f"{start}.json")
+        return json.loads(file.read_text(encoding="utf-8")) if file.exists() else []
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        start = 0
-        while True:
-            file = Path(self.base, f"{start}.json")
-            rows = json.loads(file.read_text(encoding="utf-8")) if file.exists() else []
-            if not rows:
-                return
+        start = partition.value * self.page
+        while rows := self._rows(start):
             for r in rows:
                 yield r["date"], float(r["value"])
-            start += self.page
+            start += self.readers * self.page
 
 
 def load_public_context(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ import hashlib
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,10 +26,19 @@ def upsert(journal: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return kept.unionByName(rows, allowMissingColumns=True)
 
 
-def manifest(df: DataFrame, path: str, **facts) -> dict:
-    """Row count, columns and an order-free checksum of a frame, written as JSON beside it (SNK-04)."""
-    row = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-    out = {**facts, "rows": row["n"], "columns": df.columns, "sha256": hashlib.sha256(f"{row['n']}:{row['h']}".encode()).hexdigest()}
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(file, bytes, sha256) of each data file of a written table: the digest is of the file's content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def manifest(df: DataFrame, table: str, path: str, **facts) -> dict:
+    """Row count, columns and the SHA-256 of each file of ``table``, from which ``df`` is read, written as JSON to ``path`` (SNK-04).
+
+    The manifest is small, written by the driver; the digests are made in tasks.
+    """
+    files = [r.asDict() for r in file_digests(df.sparkSession, table).orderBy("file").collect()]
+    out = {**facts, "rows": df.count(), "columns": df.columns, "files": files}
     Path(path).write_text(json.dumps(out, indent=2, sort_keys=True, default=str) + "\n", encoding="utf-8")
     return out
 

@@ -1,4 +1,4 @@
-"""The calendar policy over a stream of candidates: state for each series, late rows bounded by a watermark.
+"""The calendar policy over a stream of candidates: a few numbers of state for each series, kept without a time limit.
 
 An extension beyond batch evaluation; the batch fold of :mod:`tarnlight.operators.policy` is the reference for results.
 """

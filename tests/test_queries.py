@@ -43,10 +43,11 @@ def test_query_matches_sql(spark, sql, sf_dir, name):
     assert rows(df.columns, df.collect()) == rows(names, cursor.fetchall())
 
 
-@pytest.mark.parametrize("name", ["indicator_search", "logreg_scores", "snapshot_signals", "rule_backtest"])
-def test_other_queries_run(spark, sf_dir, name):
-    out = QUERIES[name](spark, sf_dir)
-    assert out.columns and (out.count() > 0 or name == "snapshot_signals")
+@pytest.mark.parametrize("name", ["logreg_scores", "snapshot_signals"])
+def test_model_queries_run(spark, name):
+    """At the scale at which the cutoff day has something to send."""
+    out = QUERIES[name](spark, "/root/testdata/sf0.01").collect()
+    assert out and all(0 <= (r["market_score"] if name == "snapshot_signals" else r["score"]) <= 1 for r in out)
 
 
 def test_contract():

@@ -1,4 +1,8 @@
 import datetime as dt
+import hashlib
+import json
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +10,7 @@ from pyspark.sql import functions as F
 from helpers import column, days, panel
 from tarnlight.functions.scalar import cross_rate, message, series_name
 from tarnlight.operators import asof, splits, validate
+from tarnlight.operators.validate import many_to_one
 from tarnlight.sources import readers, sinks
 
 
@@ -64,22 +69,59 @@ def test_rate_xml(spark, tmp_path):
 
 
 def test_snapshot_is_fetched_once(spark, tmp_path):
-    calls = []
+    calls = spark.sparkContext.accumulator(0)
 
     def fetch(cbr_id):
-        calls.append(cbr_id)
-        return f'<ValCurs><Record Date="02.01.2024" Id="{cbr_id}"><Nominal>1</Nominal><Value>2,5</Value></Record></ValCurs>'
+        calls.add(1)
+        return f'<ValCurs><Record Date="02.01.2024" Id="{cbr_id}"><Nominal>1</Nominal><Value>2,5</Value></Record><Record Date="03.01.2024" Id="{cbr_id}"><Nominal>1</Nominal><Value>2,6</Value></Record></ValCurs>'
 
     for _ in range(2):
-        df = readers.fetch_snapshot(spark, fetch, {"A": "R1", "B": "R2"}, str(tmp_path / "xml"), str(tmp_path / "rates"))
-    assert df.count() == 2 and calls == ["R1", "R2"]
+        df = readers.fetch_snapshot(spark, fetch, {"A": "R1", "B": "R2"}, str(tmp_path / "rates"))
+    assert df.count() == 4 and calls.value == 2 and {(r["currency"], r["cbr_id"]) for r in df.collect()} == {("A", "R1"), ("B", "R2")}
+    with pytest.raises(Exception, match="no records of A"):
+        readers.fetch_rates(spark, lambda _: "<ValCurs></ValCurs>", {"A": "R1"}).collect()
 
 
 def test_paged_source(spark, tmp_path):
-    (tmp_path / "0.json").write_text('[{"date": "2024-01-01", "value": 1}]')
-    (tmp_path / "100.json").write_text('[{"date": "2024-01-02", "value": 2}]')
+    pages = {0: [1, 2], 100: [3], 200: [4], 300: []}
+    for start, values in pages.items():
+        (tmp_path / f"{start}.json").write_text(json.dumps([{"date": f"2024-01-0{v}", "value": v} for v in values]))
     spark.dataSource.register(readers.PagedJson)
-    assert spark.read.format("paged_json").option("base", str(tmp_path)).load().count() == 2
+
+    class Pages(BaseHTTPRequestHandler):
+        def do_GET(self):
+            body = (tmp_path / f"{self.path.split('start=')[1]}.json").read_bytes()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        for base, tasks in ((str(tmp_path), 1), (f"http://127.0.0.1:{server.server_port}/pages", 1), (str(tmp_path), 2)):
+            df = spark.read.format("paged_json").option("base", base).option("readers", tasks).load()
+            assert sorted(r["value"] for r in df.collect()) == [1, 2, 3, 4] and df.rdd.getNumPartitions() == tasks
+    finally:
+        server.shutdown()
+
+
+def test_rates_csv(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("currency,effective_date,rub_per_unit,is_fresh\nA,2024-01-02,8.25,true\n")
+    r = readers.load_rates(spark, str(tmp_path / "r.csv")).first()
+    assert (r["currency"], r["effective_date"], r["rub_per_unit"], r["is_fresh"]) == ("A", dt.date(2024, 1, 2), 8.25, True)
+    with pytest.raises(FileNotFoundError, match="fetch them first"):
+        readers.load_rates(spark, str(tmp_path / "none.csv"))
+
+
+def test_many_to_one(spark):
+    left = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (None, "e")], "k int, v string")
+    right = spark.createDataFrame([(1, "x"), (2, "y"), (4, "z"), (4, "z")], "k int, w string")
+    assert sorted(map(tuple, many_to_one(left, right, ["k"]).collect())) == [(1, "a", "x"), (1, "b", "x"), (2, "c", "y")]
+    with pytest.raises(Exception, match="several rows"):
+        many_to_one(left, right.withColumn("k", F.least("k", F.lit(3))), ["k"]).collect()
 
 
 def test_public_context_csv(spark, tmp_path):
@@ -111,8 +153,16 @@ def test_upsert_and_markdown(spark, tmp_path):
     out = sinks.upsert(old, new, ["k"])
     assert sorted((r["k"], r["v"], r["w"]) for r in out.collect()) == [(1, "a", None), (2, "c", 1.5)]
     assert sinks.markdown(out.orderBy("k")).splitlines()[-1] == "| 2 | c | 1.500 |"
-    a, b = sinks.manifest(out, str(tmp_path / "m.json")), sinks.manifest(out.orderBy("v"), str(tmp_path / "m.json"))
-    assert a["sha256"] == b["sha256"] and a["rows"] == 2
+
+
+def test_manifest_digests_the_files(spark, tmp_path):
+    table = str(tmp_path / "table")
+    sinks.write_table(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string").coalesce(1), table, "csv")
+    df = spark.read.option("header", True).csv(table)
+    found = sinks.manifest(df, table, str(tmp_path / "m.json"), url="u")
+    file = next(tmp_path.glob("table/part-*.csv"))
+    listed = {f["file"]: f["sha256"] for f in json.loads((tmp_path / "m.json").read_text())["files"]}
+    assert listed[file.name] == hashlib.sha256(file.read_bytes()).hexdigest() and found["rows"] == 2 and found["columns"] == ["k", "v"]
 
 
 def test_stream_policy_matches_batch(spark, tmp_path):
