@@ -496,16 +496,33 @@ def test_media_are_found_corrected_and_carved(spark):
     assert sorted(bytes(r["carved"]) for r in media.carve(out).collect()) == sorted([GIF, JPEG])
 
 
-def test_texts_survive_as_media(docs, corpus):
-    out = {}
-    for r in media.features(media.store_texts(with_clashes(docs))).collect():
+def plain_features(text):
+    """All columns of the media query but the id, without the operator's code; ``text`` holds PDFs only, each followed by a line end."""
+    raw = (text or "").encode()
+    p = raw + bytes(-len(raw) % 64 if raw else 64)
+    stored = b"RIFF" + struct.pack("<I", 36 + len(p)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", len(p)) + p
+    found, at = [], p.find(b"%PDF-")
+    while at >= 0:
+        stop = p.index(b"%%EOF", at) + 6
+        found.append(f"application/pdf@{at}+{stop - at}#{zlib.crc32(p[at:stop]):08x}")
+        at = p.find(b"%PDF-", stop)
+    crossings = sum((x >= 128) != (y >= 128) for x, y in zip(p, p[1:]))
+    feature = f"type=audio/wav;mean={sum(p) / len(p):.4f};peak={max(p)};crossings={crossings};embedded={len(found)};holds={','.join(found)}"
+    return (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature)
+
+
+def test_texts_survive_as_media(spark, docs, corpus):
+    pdf = PDF.decode()
+    extra = [(800, f"é{pdf}between{pdf}"), (801, pdf), (802, "x" * 3_000_000 + pdf), (803, "%PDF- only BM RIFF GIF89a")]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra[:3], "doc_id bigint, text string"))
+    want, out = {}, {}
+    for d, t in [*pairs(corpus), *extra[:3]]:
+        want.setdefault(d, set()).add(plain_features(t))
+    for r in media.features(media.store_texts(with_clashes(both))).collect():
         out.setdefault(r["doc_id"], set()).add(tuple(r)[1:])
-    want = {}
-    for d, t in pairs(corpus):
-        raw = (t or "").encode()
-        p = raw + bytes(-len(raw) % 64 if raw else 64)
-        want.setdefault(d, set()).add((len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(p) + 44, hashlib.sha256(media.to_wav(p)).hexdigest()))
-    assert {d: {x[:6] for x in rows} for d, rows in out.items()} == want
+    assert out == want
+    none = media.features(media.store_texts(spark.createDataFrame(extra[3:], "doc_id bigint, text string"))).first()["feature"]
+    assert none.endswith("embedded=0;holds=")
 
 
 # --- empty tables --------------------------------------------------------------------
