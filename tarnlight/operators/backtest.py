@@ -102,7 +102,8 @@ def evaluate_rules(frame: DataFrame, folds: list[Fold], horizons: tuple[int, ...
     names = [*signals, "random_signal"] if control else list(signals)
     long = by_horizon(own, horizons, target_kind, [KEY, DATE, PRICE, "fold", "split", *names])
     long = add_path_outcomes(long, max(horizons), by=["fold", KEY, "horizon"], own_horizon="horizon")
-    long = long.unpivot([c for c in long.columns if c not in names], names, "method", "sent")
+    # Metrics are a dozen aggregations of the same rows: as a table, they are made once.
+    long = written(long.unpivot([c for c in long.columns if c not in names], names, "method", "sent"), "slices")
     return evaluate_method(long, "target", "sent", None, ["method", "split", "fold", KEY, "horizon"], draws=draws, scale=scale).withColumn("corridor", corridor(F.col(KEY)))
 
 
@@ -110,7 +111,7 @@ def evaluate_models(frame: DataFrame, folds: list[Fold], columns: list[str], hor
     """Metrics of a model's stream, after decision and send policy, in every fold and corridor (MDL-08); :func:`metrics.stability` sums them up."""
     stream, _ = walk_forward_predictions(frame, folds, columns, target_column(target_kind, horizon), horizon, kind, choice, iterations)
     long = by_horizon(meta_policy(stream), (horizon,), target_kind, [KEY, DATE, PRICE, "fold", "split", "policy_signal"])
-    long = add_path_outcomes(long, horizon, by=["fold", KEY]).withColumn("method", F.lit(kind))
+    long = written(add_path_outcomes(long, horizon, by=["fold", KEY]).withColumn("method", F.lit(kind)), "slices")
     return evaluate_method(long, "target", "policy_signal", None, ["method", "split", "fold", KEY, "horizon"], draws=draws, scale=scale)
 
 

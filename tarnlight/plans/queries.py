@@ -14,7 +14,7 @@ from tarnlight.functions.frames import DATE, KEY, PRICE, full, last_rows, rank_s
 from tarnlight.functions.scalar import LAR_SCALE_BPS, corridor, cross_rate, method_label, series_name
 from tarnlight.operators import asof, backtest, decision, features, metrics, models, policy, research, rules, search, signals, splits, targets, validate
 from tarnlight.operators.signals import SIGNALS, effect_column
-from tarnlight.session import scratch_folder
+from tarnlight.session import scratch_folder, written
 from tarnlight.sources import panel, sinks
 from tarnlight.sources.readers import fetch_snapshot, from_public_context, load_external, load_public_context, load_rates, parse_rate_xml, public_context_csv, text_library
 
@@ -499,14 +499,15 @@ def model_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.stability(found, ["lift", "lift_at_risk", "moment_advantage_bps", "signals_per_week"])
 
 
-def _rule_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The final stream of a score without a model."""
+def _rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score without a model, with its threshold and signal."""
     own = signals.add_has_fact(_scored(spark, sf_dir)).withColumns({"score": F.col("market_score"), "threshold": F.lit(0.5)})
-    return backtest.meta_policy(own.withColumn("model_signal", (F.col("score") >= F.col("threshold")) & F.col("has_fact")))
+    return own.withColumn("model_signal", (F.col("score") >= F.col("threshold")) & F.col("has_fact"))
 
 
 def rule_policy_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rule_stream(spark, sf_dir).select(*ID, "meta_reason", "policy_signal")
+    """The final stream of a score without a model."""
+    return backtest.meta_policy(_rule_scores(spark, sf_dir)).select(*ID, "meta_reason", "policy_signal")
 
 
 #: Cutoff days of the snapshot queries.
@@ -516,12 +517,10 @@ CUTOFFS = [dt.date(2000, 3, 1) + dt.timedelta(60 * k) for k in range(3)]
 def rule_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What would be sent on each of some cutoff days, by a score without a model."""
     texts = text_library(spark, TEMPLATES, required=set(SIGNALS))
-    parts = []
+    scored, parts = written(_rule_scores(spark, sf_dir), "scored"), []
     for day in CUTOFFS:
         # Sends depend on those before them, so each cutoff's stream is made of what was known then.
-        known = _scored(spark, sf_dir).filter(F.col("available_at") <= F.lit(day))
-        own = signals.add_has_fact(known).withColumns({"score": F.col("market_score"), "threshold": F.lit(0.5)})
-        stream = backtest.meta_policy(own.withColumn("model_signal", (F.col("score") >= F.col("threshold")) & F.col("has_fact")))
+        stream = backtest.meta_policy(scored.filter(F.col("available_at") <= F.lit(day)))
         parts.append(backtest.snapshot_output(stream, texts, day))
     out = reduce(DataFrame.unionByName, parts)
     return rounded(out.select("as_of", "effective_date", "corridor", "indicator", "direction", "strength", "speed", "recommended_scenario", "push_title", "push_body", "market_score", "market_threshold", "selected_effect", "selection_score", "decision_reason"))
