@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlight.llm import bpe, decontaminate, jaccard, language, license_scan, line_dedup, media, substring_dedup, suffix_dedup, warc
+from tarnlight.llm import bpe, collocations, decontaminate, jaccard, language, license_scan, line_dedup, media, substring_dedup, suffix_dedup, warc
 from tarnlight.llm.shared import StepTables
 
 
@@ -73,13 +73,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_license_scan, op4_decontaminate, op5_warc, op6_jaccard, op7_language, op8_suffix_dedup, op9_media, op10_substring_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_license_scan, op4_decontaminate, op5_warc, op6_jaccard, op7_language, op8_suffix_dedup, op9_media, op10_substring_dedup, op13_collocations, pipeline)}
 
 ORACLE_OP4 = r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -150,4 +154,5 @@ ORACLE_SQL = {
     "op6_jaccard": ORACLE_OP6,
     "op8_suffix_dedup": ORACLE_OP8,
     "op10_substring_dedup": ORACLE_OP10,
+    "op13_collocations": collocations.ORACLE,
 }
