@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlight.llm import bpe, collocations, decontaminate, jaccard, language, license_scan, line_dedup, media, substring_dedup, suffix_dedup, warc
+from tarnlight.llm import bpe, collocations, decontaminate, jaccard, language, license_scan, line_dedup, media, substring_dedup, suffix_dedup, url_filter, warc, whitening
 from tarnlight.llm.shared import StepTables
 
 
@@ -73,6 +73,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(table(spark, sf_dir, "pages"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -83,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_license_scan, op4_decontaminate, op5_warc, op6_jaccard, op7_language, op8_suffix_dedup, op9_media, op10_substring_dedup, op13_collocations, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_license_scan, op4_decontaminate, op5_warc, op6_jaccard, op7_language, op8_suffix_dedup, op9_media, op10_substring_dedup, op11_url_filter, op12_whitening, op13_collocations, pipeline)}
 
 ORACLE_OP4 = r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
