@@ -57,7 +57,7 @@ def counts(words: DataFrame, n: int) -> DataFrame:
 
 
 def score(a: str, left: str, right: str) -> Column:
-    """floor(SCALE * a * a / (l * r)), exact for counts up to 10^16."""
+    """floor(SCALE * a * a / (l * r)), exact for counts below 10^16."""
     wide = "CAST({} AS DECIMAL(19, 0))".format
     return F.expr(f"({wide(a)} * {wide(a)} * CAST({SCALE} AS DECIMAL(7, 0))) div ({wide(left)} * {wide(right)})")
 
