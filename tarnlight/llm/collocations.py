@@ -14,7 +14,7 @@ ties in the score go to the more frequent phrase, then to the first in UTF-8 byt
 order, so ranks are unique; a language without candidates has no rows, and an empty table gives none.
 Only ``text`` and ``lang`` are read, so no other column can clash.
 
-Scale: one round for each length, so the shuffle files of a round are gone before the next
+Scale: one round for words and pairs and one for each further length, so the shuffle files of a round are gone before the next
 begins; each round is one pass over the texts and one aggregation, reduced on the map side first, so a hot phrase or language
 is a row a task.  Phrases below ``least`` are never written after their round but for single words, whose
 sum is the number of words: both parts of a candidate occur at least as often as it does.
@@ -46,13 +46,23 @@ def pieces(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
     """(_lang, _words): the words of each piece that has some."""
     split = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("_lang"), F.explode(F.split(F.col(text), r"[.,;:!?\x0A-\x0D]")).alias("_piece"))
     trimmed = split.select("_lang", F.btrim("_piece", F.lit(" \t")).alias("_piece")).filter(F.col("_piece") != "")
-    return trimmed.select("_lang", F.split(lower_ascii(F.col("_piece")), r"[ \t]+").alias("_words"))
-
-
-def counts(words: DataFrame, n: int) -> DataFrame:
-    """(_lang, _phrase, _f): occurrences of each phrase of ``n`` words."""
-    at = words.filter(F.size("_words") >= n).select("_lang", "_words", F.explode(F.sequence(F.lit(0), F.size("_words") - n)).alias("_at"))
-    phrase = F.concat_ws(" ", *[F.get("_words", F.col("_at") + k) for k in range(n)])
+    low = lower_ascii(F.col("_piece"))
+    # Java splits at one plain character without a pattern, which would be compiled for each piece.
+    plain = ~F.contains(F.col("_piece"), F.lit("  ")) & ~F.contains(F.col("_piece"), F.lit("\t"))
+    return trimmed.select("_lang", F.when(plain, F.split(low, " ")).otherwise(F.split(low, r"[ \t]+")).alias("_words"))
+
+
+def counts(words: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """(_lang, _phrase, _f): occurrences of each phrase of some ``lengths``, in rising order."""
+    size = F.size("_words")
+    spots = {n: F.greatest(size - (n - 1), F.lit(0)) for n in lengths}
+    at = words.filter(size >= lengths[0]).select("_lang", "_words", F.explode(F.sequence(F.lit(1), reduce(Column.__add__, spots.values()))).alias("_at"))
+    phrase, before = None, F.lit(0)
+    for n, room in spots.items():
+        start = F.col("_at") - 1 - before
+        here = F.get("_words", start) if n == 1 else F.concat_ws(" ", *[F.get("_words", start + k) for k in range(n)])
+        before = before + room
+        phrase = F.when(F.col("_at") <= before, here) if phrase is None else phrase.when(F.col("_at") <= before, here)
     return at.select("_lang", phrase.alias("_phrase")).groupBy("_lang", "_phrase").agg(F.count("*").alias("_f"))
 
 
@@ -89,11 +99,12 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", max_n:
     """lang, rank, phrase, a, l, r, n, score of each language's best phrases of 2 to ``max_n`` words."""
     tables = StepTables(docs, "collocations")
     words = pieces(docs, text, lang)
-    single = tables.keep(counts(words, 1))
-    totals = single.groupBy("_lang").agg(F.sum("_f").alias("_total"))
-    levels = [single.filter(F.col("_f") >= least)] + [tables.keep(counts(words, n).filter(F.col("_f") >= least)) for n in range(2, max_n + 1)]
-    frequent = reduce(DataFrame.unionAll, levels)
-    candidates = reduce(DataFrame.unionAll, [t.select("_lang", "_phrase", F.lit(n).alias("_n"), F.col("_f").alias("_a")) for n, t in enumerate(levels[1:], 2)])
+    single = ~F.contains(F.col("_phrase"), F.lit(" "))
+    first = tables.keep(counts(words, (1, 2)[:max_n]).filter((F.col("_f") >= least) | single))
+    totals = first.filter(single).groupBy("_lang").agg(F.sum("_f").alias("_total"))
+    longer = [tables.keep(counts(words, (n,)).filter(F.col("_f") >= least)) for n in range(3, max_n + 1)]
+    frequent = reduce(DataFrame.unionAll, [first.filter(F.col("_f") >= least), *longer])
+    candidates = frequent.filter(~single).select("_lang", "_phrase", F.size(F.split("_phrase", " ")).alias("_n"), F.col("_f").alias("_a"))
     part = F.lit(f"{share:g}").cast("decimal(10,6)")
     covered = extensions(candidates).alias("e")
     own = scored(candidates, frequent).alias("c")
