@@ -77,6 +77,26 @@ def crossing(value: Column, threshold: float, key: str = KEY, date: str = DATE)
     return F.when(value.isNotNull() & before.isNotNull(), (value > threshold) & (before <= threshold))
 
 
-def island(flag: Column, key: str = KEY, date: str = DATE) -> Column:
-    """How often a flag has been false up to a row: constant along a run of true rows."""
-    return F.sum(F.when(flag, 0).otherwise(1)).over(series(key, date).rowsBetween(Window.unboundedPreceding, 0))
+def run_length(flag: Column, carried: Column | None = None, key: str = KEY, date: str = DATE) -> Column:
+    """Rows up to a row, itself included, on which a flag without nulls has held without a break.
+
+    In a chunk of a series, ``carried`` is the length of the run that ends before the chunk's own rows.
+    """
+    place = F.row_number().over(series(key, date))
+    broken = F.max(F.when(~flag, place)).over(series(key, date).rowsBetween(Window.unboundedPreceding, 0))
+    unbroken = place if carried is None else F.col("_place") - F.col("_start") + 1 + carried
+    return F.when(broken.isNotNull(), place - broken).otherwise(unbroken)
+
+
+def running_sum(value: Column, carried: Column | None = None, key: str = KEY, date: str = DATE) -> Column:
+    """The sum of a series up to a row; in a chunk, ``carried`` is the sum before the chunk's own rows."""
+    total = F.sum(value).over(series(key, date).rowsBetween(Window.unboundedPreceding, 0))
+    if carried is None:
+        return total
+    halo = F.coalesce(F.sum(F.when(F.col("_place") < F.col("_start"), value)).over(Window.partitionBy(key)), F.lit(0.0))
+    return total - halo + carried
+
+
+def carried_in(df, name: str) -> Column | None:
+    """The boundary state ``_in_<name>`` of a chunk, null as 0; None where ``df`` isn't cut into chunks."""
+    return F.coalesce(F.col(f"_in_{name}"), F.lit(0)) if f"_in_{name}" in df.columns else None

@@ -79,3 +79,8 @@ def lift_at_risk(lift: Column, value: Column, random_value: Column, regret: Colu
     """
     exponent = ((value - random_value) - F.lit(rho) * (regret - random_regret)) / F.lit(scale)
     return F.when(exponent > math.log(1.7976931348623157e308), F.lit(math.inf)).when(exponent < math.log(5e-324), F.lit(0.0)).otherwise(lift * F.exp(exponent))
+
+
+def significant(value: Column, digits: int = 9) -> Column:
+    """A double to some significant digits: what ranks and ties are decided by, so that no order of summation decides."""
+    return F.format_string(f"%.{digits - 1}e", value.cast("double")).cast("double")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlight.functions.frames import KEY, PRICE
-from tarnlight.functions.scalar import LAR_SCALE_BPS, advantage_bps, flag
+from tarnlight.functions.scalar import LAR_SCALE_BPS, advantage_bps, flag, significant
 from tarnlight.operators.metrics import path_lift_at_risk, week
 from tarnlight.operators.validate import require
 
@@ -127,11 +127,11 @@ def best_threshold(scored: DataFrame, max_per_week: float = 2.5, saturation: flo
     """One row at most: the best candidate (MDL-06).
 
     Only positive value counts; candidates above ``max_per_week`` only if none is below.
-    The metric is worth less under ``saturation`` signals a week; ties go to value, then to
-    the lowest threshold.
+    The metric is worth less under ``saturation`` signals a week; ties, to nine digits, go to value,
+    then to the lowest threshold.
     """
     share = F.lit(1.0) if saturation <= 0 else F.least(F.col("weekly") / saturation, F.lit(1.0))
-    key = F.struct((F.col("weekly") <= max_per_week).cast("int").alias("capped"), (F.col("metric") * share).alias("worth"), F.col("mean_bps").alias("bps"), (-F.col("threshold")).alias("low"))
+    key = F.struct((F.col("weekly") <= max_per_week).cast("int").alias("capped"), significant(F.col("metric") * share).alias("worth"), significant(F.col("mean_bps")).alias("bps"), (-F.col("threshold")).alias("low"))
     return scored.filter("mean_bps > 0").agg(F.max_by("threshold", key).alias("threshold"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlight.functions.frames import DATE, KEY, PRICE
-from tarnlight.functions.scalar import advantage_bps, flag
+from tarnlight.functions.scalar import advantage_bps, flag, significant
 from tarnlight.operators.metrics import week
 from tarnlight.operators.policy import publication_policy
 from tarnlight.operators.rules import Rule, add_rules, combine, correlations
@@ -66,10 +66,10 @@ def passes(s: Screening = Screening()) -> Column:
 
 
 def rank_key() -> Column:
-    """Feasible first, then lift, value, and a frequency near 1.5 a week (TOP-01)."""
-    weekly = F.col("mean_signals_per_week")
-    feasible = weekly.between(0.8, 2.5) & (F.col("mean_bps") > 0)
-    return F.struct(F.coalesce(feasible, F.lit(False)).cast("int").alias("feasible"), F.coalesce("median_lift", F.lit(-1.0)).alias("lift"), F.coalesce("mean_bps", F.lit(-1e9)).alias("bps"), (-F.abs(weekly - 1.5)).alias("near"))
+    """Feasible first, then lift, value, and a frequency near 1.5 a week (TOP-01); to nine digits, so that rules that hold on the same rows tie."""
+    lift, bps, weekly = (F.when(F.col(c).isNotNull(), significant(F.col(c))) for c in ("median_lift", "mean_bps", "mean_signals_per_week"))
+    feasible = weekly.between(0.8, 2.5) & (bps > 0)
+    return F.struct(F.coalesce(feasible, F.lit(False)).cast("int").alias("feasible"), F.coalesce(lift, F.lit(-1.0)).alias("lift"), F.coalesce(bps, F.lit(-1e9)).alias("bps"), (-F.round(F.abs(weekly - 1.5), 9)).alias("near"))
 
 
 def screen(frame: DataFrame, rules: list[Rule], target: str, horizon: int, screening: Screening = Screening()) -> DataFrame:
@@ -79,12 +79,16 @@ def screen(frame: DataFrame, rules: list[Rule], target: str, horizon: int, scree
     return out.withColumns({"family": F.split("rule_id", "__")[0], "passed": passes(screening)})
 
 
-def shortlist(screened: DataFrame, per_family: int = 5, total: int = 20) -> DataFrame:
-    """(rule_id, family, place): the best of each family, then the best of all; of all rules if none passed (TOP-02)."""
+def shortlist(screened: DataFrame, catalog: list[str], per_family: int = 5, total: int = 20) -> DataFrame:
+    """(rule_id, family, place): the best of each family, then the best of all; of all rules if none passed (TOP-02).
+
+    Ties go to the rule that is first in the ``catalog``.  There is a row for each rule, so one task ranks them.
+    """
+    nth = F.array_position(F.lit(catalog), F.col("rule_id"))
     own = screened.withColumns({"_key": rank_key(), "_any": F.max(F.col("passed").cast("int")).over(Window.partitionBy(F.lit(1)))})
     pool = own.filter(F.col("passed") | (F.col("_any") == 0))
-    best = pool.withColumn("_f", F.row_number().over(Window.partitionBy("family").orderBy(F.desc("_key"), "rule_id"))).filter(F.col("_f") <= per_family)
-    return best.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("_key"), "rule_id"))).filter(F.col("place") <= total).select("rule_id", "family", "place")
+    best = pool.withColumn("_f", F.row_number().over(Window.partitionBy("family").orderBy(F.desc("_key"), nth))).filter(F.col("_f") <= per_family)
+    return best.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("_key"), nth))).filter(F.col("place") <= total).select("rule_id", "family", "place")
 
 
 def policy_streams(frame: DataFrame, candidates: list[str], cooldowns: tuple[int, ...], target: str, horizon: int) -> DataFrame:
@@ -136,7 +140,7 @@ def indicator_search(panel: DataFrame, folds: list[Fold], target: str, horizon:
     for fold in folds:
         validation = purge_tail(frame.filter(in_range(fold.val_start, fold.val_end)), horizon)
         screened = screen(validation, rules, target, horizon, screening)
-        names = [r["rule_id"] for r in shortlist(screened).orderBy("place").collect()]
+        names = [r["rule_id"] for r in shortlist(screened, list(family)).orderBy("place").collect()]
         validation, candidates = combine(validation, names, family, correlations(validation, names))
         best = choose_policy(policy_streams(validation, candidates, cooldowns, target, horizon), candidates, cooldowns).first()
         test, _ = combine(frame.filter(in_range(fold.test_start, fold.test_end)), names, family)

@@ -12,6 +12,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnlight.functions.chunks import Pieces
 from tarnlight.functions.frames import DATE, KEY, PRICE, change, crossing, full, lagged, last_rows, quantile, rising_edge, series
 from tarnlight.functions.scalar import reciprocal
 from tarnlight.operators.asof import annual_reference, next_holiday
@@ -67,16 +68,12 @@ def momentum(days: int) -> Column:
     return F.coalesce(F.sum("_fall").over(last_rows(days)) == days, F.lit(False))
 
 
-def add_baseline(panel: DataFrame, holidays: DataFrame | None = None, country: Column | None = None, momentum_days: int = 3, level_window: int = 90, level_quantile: float = 0.1, reversal_window: int = 20, holiday_days: int = 7) -> DataFrame:
-    """The four baseline signals and their effects (seasonality has none).
-
-    Without a holiday table the seasonality signal is false.
-    """
-    require_columns(panel, (KEY, DATE, PRICE))
+def _baseline(panel: DataFrame, momentum_days: int, level_window: int, level_quantile: float, reversal_window: int) -> DataFrame:
+    """Momentum, level and reversal of each series."""
     p, recipient = F.col(PRICE), F.col("_recipient")
     before = Window.partitionBy(KEY).orderBy(DATE).rowsBetween(-reversal_window, -1)
     out = panel.withColumns({"_recipient": reciprocal(p), "_fall": falling().cast("int"), "_level": full(quantile(level_quantile), p, last_rows(level_window), level_window), "_low": full(F.min, p, before, reversal_window)})
-    out = out.withColumns({
+    return out.withColumns({
         "signal_momentum": momentum(momentum_days),
         effect_column("signal_momentum"): change(recipient, momentum_days),
         "signal_level": p <= F.col("_level"),
@@ -84,17 +81,29 @@ def add_baseline(panel: DataFrame, holidays: DataFrame | None = None, country: C
         "signal_reversal": F.when(F.col("_low").isNotNull(), (lagged(p) == F.col("_low")) & (p > lagged(p))),
         effect_column("signal_reversal"): change(recipient),
     }).drop("_recipient", "_fall", "_level", "_low")
+
+
+def add_baseline(panel: DataFrame, holidays: DataFrame | None = None, country: Column | None = None, momentum_days: int = 3, level_window: int = 90, level_quantile: float = 0.1, reversal_window: int = 20, holiday_days: int = 7, rows: int | None = None, days: int | None = None) -> DataFrame:
+    """The four baseline signals and their effects (seasonality has none).
+
+    Without a holiday table the seasonality signal is false.  ``rows`` cuts long series into chunks, ``days`` a country's dates into spans.
+    """
+    require_columns(panel, (KEY, DATE, PRICE))
+    made = lambda x: _baseline(x, momentum_days, level_window, level_quantile, reversal_window)
+    out = Pieces(panel, rows, max(momentum_days, level_window, reversal_window)).run(made) if rows else made(panel)
     if holidays is None:
         out = out.withColumn("signal_seasonality", F.lit(False))
     else:
-        out = next_holiday(out.drop("days_to_holiday"), holidays, F.lit(None).cast("string") if country is None else country)
+        out = next_holiday(out.drop("days_to_holiday"), holidays, F.lit(None).cast("string") if country is None else country, days=days)
         out = out.withColumn("signal_seasonality", F.coalesce(F.col("days_to_holiday") <= holiday_days, F.lit(False)))
     return out.withColumn(effect_column("signal_seasonality"), F.lit(None).cast("double"))
 
 
-def add_research(panel: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
-    """The seven research signals and their effects."""
+def add_research(panel: DataFrame, thresholds: Thresholds = Thresholds(), rows: int | None = None) -> DataFrame:
+    """The seven research signals and their effects; ``rows`` cuts long series into chunks, whose halo holds a year and more."""
     require_columns(panel, (KEY, DATE, PRICE))
+    if rows:
+        return Pieces(panel, rows, 366 + thresholds.annual_max_gap_days + 2).run(lambda x: add_research(x, thresholds))
     t, r = thresholds, F.col("_r")
     own = panel.withColumn("_r", reciprocal(F.col(PRICE)))
     own = annual_reference(own, r, t.annual_max_gap_days)

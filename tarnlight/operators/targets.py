@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnlight.functions.chunks import Pieces
 from tarnlight.functions.frames import DATE, KEY, PRICE, around, full, next_rows, series
 from tarnlight.functions.scalar import advantage_bps, regret_bps
 from tarnlight.operators.validate import require
@@ -36,9 +37,11 @@ def window_closing(horizon: int) -> Column:
     return F.lead(PRICE, horizon).over(series()) > F.col(PRICE)
 
 
-def add_targets(panel: DataFrame, horizon: int) -> DataFrame:
-    """All labels of one horizon: one sort of each series."""
+def add_targets(panel: DataFrame, horizon: int, rows: int | None = None) -> DataFrame:
+    """All labels of one horizon: one sort of each series, or of each chunk of ``rows`` rows."""
     require(horizon >= 1, "horizon must be at least 1")
+    if rows:
+        return Pieces(panel, rows, horizon, horizon).run(lambda x: add_targets(x, horizon))
     return panel.withColumns({
         target_column("local_min", horizon): local_min(horizon),
         target_column("stay_not_worse", horizon): stay_not_worse(horizon),
@@ -53,9 +56,11 @@ def future_prices(horizon: int) -> Column:
     return F.when(F.size(cells) == horizon, cells)
 
 
-def add_customer_outcomes(panel: DataFrame, horizon: int) -> DataFrame:
+def add_customer_outcomes(panel: DataFrame, horizon: int, rows: int | None = None) -> DataFrame:
     """Mean price around a moment, best price after it, and what they say of it in basis points (TGT-07)."""
     require(horizon >= 1, "horizon must be at least 1")
+    if rows:
+        return Pieces(panel, rows, horizon, horizon).run(lambda x: add_customer_outcomes(x, horizon))
     p = F.col(PRICE)
     mean, best = f"surrounding_mean_h{horizon}", f"future_best_h{horizon}"
     out = panel.withColumns({mean: full(F.avg, p, around(horizon), 2 * horizon + 1), best: full(F.min, p, next_rows(horizon), horizon)})
@@ -69,7 +74,7 @@ def compact_outcomes(panel: DataFrame, horizon: int) -> DataFrame:
     return own.select(KEY, DATE, F.col(target_column("stay_not_worse", horizon)).cast("int").cast("double").alias("y"), value.alias("v"), F.col(f"customer_regret_bps_h{horizon}").alias("r"), F.col(f"moment_advantage_bps_h{horizon}").alias("m"))
 
 
-def add_path_outcomes(panel: DataFrame, horizon: int, mean_gap_days: float | None = None, by: str | list[str] = KEY, own_horizon: str | None = None) -> DataFrame:
+def add_path_outcomes(panel: DataFrame, horizon: int, mean_gap_days: float | None = None, by: str | list[str] = KEY, own_horizon: str | None = None, rows: int | None = None) -> DataFrame:
     """``path_value_bps`` and ``path_regret_bps`` over the next prices of a series ``by`` (TGT-09).
 
     Later prices weigh ``exp(-days since the first of them / mean_gap_days)``, or alike where
@@ -77,6 +82,9 @@ def add_path_outcomes(panel: DataFrame, horizon: int, mean_gap_days: float | Non
     """
     require(horizon >= 1, "horizon must be at least 1")
     require(mean_gap_days is None or 0 < mean_gap_days < float("inf"), "mean_gap_days must be positive and finite")
+    if rows:
+        require(by == KEY, "only series by key are cut into chunks")
+        return Pieces(panel, rows, 0, horizon).run(lambda x: add_path_outcomes(x, horizon, mean_gap_days, by, own_horizon))
     p, n = F.col(PRICE), F.lit(horizon) if own_horizon is None else F.col(own_horizon)
     cells = F.slice(F.collect_list(F.struct(F.col(DATE).alias("d"), p.alias("p"))).over(next_rows(horizon, by)), F.lit(1), n)
     known = p.isNotNull() & (F.size(cells) == n) & ~F.exists(cells, lambda x: x.p.isNull())

@@ -231,6 +231,8 @@ screened AS (SELECT *, split_part(rule_id, '__', 1) AS family, coalesce(signal_c
 
 
 SCREEN = screening()
+#: A value to nine significant digits.
+NINE = "CASE WHEN {0} IS NOT NULL THEN CAST(printf('%.8e', {0}) AS DOUBLE) END"
 
 
 def sends(extra: str) -> str:
@@ -454,8 +456,8 @@ ORACLE_SQL: dict[str, str] = {
     "report_table": q("SELECT CAST(row_number() OVER (ORDER BY o, text) - 1 AS INTEGER) AS line, text FROM (SELECT 0 AS o, '| currency | n | high | low |' AS text UNION ALL SELECT 1, '| --- | --- | --- | --- |' UNION ALL SELECT 2, '| ' || currency || ' | ' || count(*) || ' | ' || printf('%.3f', max(cents * CAST(power(10, r_regionkey % 3) AS BIGINT) / 100.0::DOUBLE)) || ' | — |' FROM panel GROUP BY currency)", PANEL),
     "resumed": q("SELECT currency, effective_date, cents FROM panel", PANEL),
     "rule_screen": q("SELECT rule_id, signal_count, corridors_with_signals, " + rounding("mean_lift, median_lift, mean_bps, mean_signals_per_week, positive_share, mean_cluster_share", 6) + ", family, passed FROM screened", PANEL, SCREEN, recursive=True),
-    "rule_shortlist": q("""SELECT rule_id, family, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (ORDER BY f DESC, l DESC, b DESC, z DESC, rule_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY f DESC, l DESC, b DESC, z DESC, rule_id) AS kf FROM
-      (SELECT *, CAST(coalesce(mean_signals_per_week BETWEEN 0.8 AND 2.5 AND mean_bps > 0, false) AS INTEGER) AS f, coalesce(median_lift, -1) AS l, coalesce(mean_bps, -1e9) AS b, -abs(mean_signals_per_week - 1.5) AS z FROM screened WHERE passed OR NOT (SELECT bool_or(passed) FROM screened))) WHERE kf <= 5) WHERE place <= 20""", PANEL, SCREEN, recursive=True),
+    "rule_shortlist": q(f"""SELECT rule_id, family, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (ORDER BY f DESC, l DESC, b DESC, z DESC, nth) AS place FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY f DESC, l DESC, b DESC, z DESC, nth) AS kf
+      FROM (SELECT *, coalesce(CAST(wk BETWEEN 0.8 AND 2.5 AND vb > 0 AS INTEGER), 0) AS f, coalesce(vl, -1) AS l, coalesce(vb, -1e9) AS b, -round(abs(wk - 1.5), 9) AS z FROM (SELECT *, {NINE.format('median_lift')} AS vl, {NINE.format('mean_bps')} AS vb, {NINE.format('mean_signals_per_week')} AS wk, list_position({[n for n, _ in RULES]}, rule_id) AS nth, bool_or(passed) OVER () AS any_passed FROM screened) WHERE passed OR NOT any_passed)) WHERE kf <= 5) WHERE place <= 20""", PANEL, SCREEN, recursive=True),
     "policy_calendar": q("SELECT currency, effective_date, sent AS policy_signal FROM rec JOIN cand USING (currency, i)", PANEL, sends(""), CALENDAR, recursive=True),
     "rule_policy_stream": q("SELECT currency, effective_date, meta_reason, sent AS policy_signal FROM rec JOIN cand USING (currency, i)", *R, DECIDED, RULE_STREAM, CALENDAR, recursive=True),
     "rule_snapshots": q(snapshots(), *R, DECIDED, RULE_STREAM, CALENDAR, recursive=True),
@@ -469,7 +471,7 @@ ORACLE_SQL: dict[str, str] = {
     "fold_assignment": q(f"SELECT fold, CASE WHEN fold = 'oot' THEN 'oot' ELSE 'wf_oos' END AS split, currency, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM (SELECT *, {FOLD} AS fold FROM panel) WHERE fold IS NOT NULL GROUP BY ALL", PANEL),
     "threshold_macro_lar": q(f"SELECT threshold, round(weekly, 6) AS weekly, round(lr, 6) AS metric, round(mean_bps, 6) AS mean_bps FROM thr JOIN (SELECT CAST(split_part(currency, ':', 1) AS DOUBLE) AS threshold, avg({LAR}) AS lr FROM lar WHERE lift IS NOT NULL AND delta_utility_bps IS NOT NULL GROUP BY 1) USING (threshold)", *R, THRESHOLDS, MACRO, lar_draws(50, "tried_paths")),
     "threshold_scores": q("SELECT threshold, " + rounding("weekly, metric, mean_bps", 6) + " FROM thr", *R, THRESHOLDS),
-    "threshold_choice": q("SELECT max(threshold) AS threshold FROM (SELECT threshold FROM thr WHERE mean_bps > 0 ORDER BY weekly <= 2.5 DESC, metric * least(weekly, 1) DESC, mean_bps DESC, threshold LIMIT 1)", *R, THRESHOLDS),
+    "threshold_choice": q(f"SELECT max(threshold) AS threshold FROM (SELECT threshold FROM thr WHERE mean_bps > 0 ORDER BY weekly <= 2.5 DESC, {NINE.format('metric * least(weekly, 1)')} DESC, {NINE.format('mean_bps')} DESC, threshold LIMIT 1)", *R, THRESHOLDS),
     "upsert_journal": "WITH o AS (SELECT o_orderkey, o_orderstatus, CAST(year(o_orderdate) AS INTEGER) AS y FROM orders) SELECT * FROM o WHERE y < 2000 AND o_orderkey % 10 <> 0 UNION ALL SELECT o_orderkey, 'X', y FROM o WHERE o_orderkey % 10 = 0",
     "append_journal": "SELECT o_orderkey, o_orderstatus, CAST(NULL AS VARCHAR) AS o_orderpriority FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, NULL, o_orderpriority FROM orders WHERE o_orderstatus = 'P'",
     "new_dates": q("SELECT DISTINCT effective_date FROM context EXCEPT SELECT effective_date FROM panel", PANEL, CONTEXT),

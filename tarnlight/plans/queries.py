@@ -349,17 +349,17 @@ def context_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame.groupBy(KEY).agg(*[F.count_if(n).alias(n) for n in names]).unpivot([KEY], names, "rule_id", "n")
 
 
-def _screening(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _screening(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     frame, catalog = rules.add_rules(targets.add_targets(rates(spark, sf_dir).select(*ID, PRICE), 5))
-    return search.screen(frame, catalog, "target_stay_not_worse_h5", 5)
+    return search.screen(frame, catalog, "target_stay_not_worse_h5", 5), [r.rule_id for r in catalog]
 
 
 def rule_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_screening(spark, sf_dir), 6)
+    return rounded(_screening(spark, sf_dir)[0], 6)
 
 
 def rule_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.shortlist(_screening(spark, sf_dir))
+    return search.shortlist(*_screening(spark, sf_dir))
 
 
 #: One rule of each family and a second level rule: every kind of ensemble is made of them.
