@@ -476,3 +476,14 @@ ORACLE_SQL: dict[str, str] = {
     "append_journal": "SELECT o_orderkey, o_orderstatus, CAST(NULL AS VARCHAR) AS o_orderpriority FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, NULL, o_orderpriority FROM orders WHERE o_orderstatus = 'P'",
     "new_dates": q("SELECT DISTINCT effective_date FROM context EXCEPT SELECT effective_date FROM panel", PANEL, CONTEXT),
 }
+
+#: The queries of series in chunks and of joins in spans give what whole ones give.
+ORACLE_SQL |= {
+    "cut_labels": q(f"SELECT {ID}, local_min AS target_local_min_h5, stay AS target_stay_not_worse_h5, round(fwd, 6) AS forward_mean_h5, closing AS target_window_closing_h5, round(smean, 6) AS surrounding_mean_h5, round(best, 6) AS future_best_h5, round(adv, 6) AS moment_advantage_bps_h5, round(reg, 6) AS customer_regret_bps_h5, round(path_value, 6) AS path_value_bps, round(path_regret, 6) AS path_regret_bps FROM outcomes JOIN (SELECT {ID}, path_value, path_regret FROM paths) USING ({ID})", PANEL, targets(5) % "panel", path(5, 2.0, "panel")),
+    "cut_features": q(f"SELECT {ID}, {rounding('price_percentile, days_since_min, rebound_pct, ret_1, ret_3, ret_5, ret_10, ret_20, vol_20, slope_20, down_streak', 4)}, CAST(month(effective_date) AS DOUBLE) AS month, CAST(isodow(effective_date) - 1 AS DOUBLE) AS weekday FROM f2", PANEL, FEATURES),
+    "cut_signals": q(f"SELECT {ID}, {', '.join(f'{s}, round({s}_effect, 8) AS {s}_effect' for s in NAMES)} FROM signals", *R),
+    "cut_context": ORACLE_SQL["context_features"],
+    "cut_external": ORACLE_SQL["external_features"],
+    "cut_rules": ORACLE_SQL["rule_rows"],
+    "span_asof": f"SELECT {ID}, annual_reference, c.* EXCLUDE ({ID}) FROM ({ORACLE_SQL['annual_reference']}) JOIN ({ORACLE_SQL['causal_context']}) c USING ({ID})",
+}

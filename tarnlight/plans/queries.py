@@ -660,6 +660,54 @@ def ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rules.with_ema(rates(spark, sf_dir).select(*ID, PRICE), (10, 60)).drop(PRICE), 4)
 
 
+# --- long series in chunks, as-of joins in spans: the same rows by the other plan ----------
+
+#: Rows of a chunk, so that a series of the orders table is cut into about 20, and days of a span.
+CHUNK_ROWS, SPAN_DAYS = 120, 120
+
+
+def cut_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All labels of horizon 5, and the outcomes around and after each row, of series in chunks."""
+    own = written(rates(spark, sf_dir).select(*ID, PRICE), "panel")
+    out = targets.add_path_outcomes(targets.add_customer_outcomes(targets.add_targets(own, 5, CHUNK_ROWS), 5, CHUNK_ROWS), 5, 2.0, rows=CHUNK_ROWS)
+    return rounded(out.drop(PRICE), 6)
+
+
+def cut_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price features of series in chunks."""
+    own = features.add_series_features(rates(spark, sf_dir).select(*ID, PRICE), rows=CHUNK_ROWS)
+    return rounded(own.drop(PRICE), 4)
+
+
+def cut_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All signals of series in chunks, with holidays found in spans of time."""
+    own = signals.add_baseline(rates(spark, sf_dir).select(*ID, PRICE), panel.holidays(spark, FIRST_YEAR, LAST_YEAR), panel.country_of(F.col(KEY)), rows=CHUNK_ROWS, days=SPAN_DAYS)
+    out = signals.add_research(own, rows=CHUNK_ROWS)
+    return rounded(out.select(*ID, *SIGNALS, *[effect_column(x) for x in SIGNALS]))
+
+
+def cut_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context features of context series in chunks."""
+    return rounded(features.context_features(rates(spark, sf_dir), panel.context(spark, sf_dir), CHUNK_ROWS))
+
+
+def cut_external(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """External features: an as-of join in spans of time, then windows over chunks."""
+    return rounded(features.external_features(rates(spark, sf_dir), panel.external(spark, sf_dir), CHUNK_ROWS, SPAN_DAYS))
+
+
+def cut_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which price rules hold, row by row, of series in chunks."""
+    frame, catalog = rules.add_rules(rates(spark, sf_dir).select(*ID, PRICE), rows=CHUNK_ROWS)
+    return _held_rows(frame, [r.rule_id for r in catalog])
+
+
+def span_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value of a year before, and context as last available, by as-of joins in spans of time."""
+    own = asof.annual_reference(rates(spark, sf_dir).select(*ID, PRICE), F.col(PRICE), days=SPAN_DAYS)
+    return rounded(asof.causal_context(own.select(*ID, "annual_reference"), panel.public_context(panel.external(spark, sf_dir)), days=SPAN_DAYS))
+
+
 SIGNAL_QUERIES = {
     "sig_momentum": "signal_momentum", "sig_level": "signal_level", "sig_reversal": "signal_reversal", "sig_seasonality": "signal_seasonality",
     "sig_year_up": "signal_better_than_one_year_ago", "sig_year_down": "signal_less_than_one_year_ago", "sig_range_held": "signal_better_range_held",
@@ -687,5 +735,6 @@ QUERIES: dict[str, Query] = {
         rule_rows, rule_counts, context_rule_rows, context_rule_counts, rule_screen, rule_shortlist, ensembles, policy_calendar, policy_prints, indicator_search,
         meta_decisions, explanations, push_messages, split_sizes, fold_assignment, threshold_scores, threshold_choice, logreg_scores, gbt_scores, policy_stream, rule_policy_stream, model_stability, snapshot_signals, rule_snapshots, rule_backtest,
         upsert_journal, append_journal, new_dates,
+        cut_labels, cut_features, cut_signals, cut_context, cut_external, cut_rules, span_asof,
     )},
 }
