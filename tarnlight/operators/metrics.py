@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnlight.functions.frames import DATE, PRICE
+from tarnlight.functions.frames import DATE, KEY, PRICE
 from tarnlight.functions.scalar import LAR_RHO, LAR_SCALE_BPS, advantage_bps, flag, lift_at_risk
 from tarnlight.operators.validate import require
+from tarnlight.session import written
 
 
 def week(date: str = DATE) -> Column:
@@ -130,7 +131,10 @@ def with_draws(frame: DataFrame, draws: int) -> DataFrame:
 
 
 def matched_draws(frame: DataFrame, signal: str, by: list[str], draws: int, seed: str = "lar") -> DataFrame:
-    """Rows picked at random, for each draw as many in each slice and week as were sent (RND-01)."""
+    """Rows picked at random, for each draw as many in each slice and week as were sent (RND-01).
+
+    A slice's weeks are dealt out by themselves, and draws multiply rows only where they already are; weeks in which nothing was sent stay behind.
+    """
     require(draws >= 1, "draws must be at least 1")
     own = frame.withColumn("_week", week())
     own = own.withColumn("_sent", F.count_if(flag(F.col(signal))).over(Window.partitionBy(*by, "_week"))).filter("_sent > 0")
@@ -138,6 +142,35 @@ def matched_draws(frame: DataFrame, signal: str, by: list[str], draws: int, seed
     return with_draws(own, draws).withColumn("_place", place).filter("_place <= _sent").drop("_place", "_sent", "_week")
 
 
+def mask_violations(frame: DataFrame, masks: DataFrame, eligible: Column, signal: str, by: list[str], rows: list[str] = [KEY, DATE]) -> DataFrame:  # noqa: B006
+    """One row of counts, each of which must be zero, for given draws: ``masks`` (draw, rows.., drawn), a null as not drawn (RND-01).
+
+    ``other_length``: draws that don't have one row for each row of the frame; ``outside``: drawn rows that the frame hasn't; ``ineligible``: drawn
+    rows that can't be judged; ``other_count``: draws of a slice of another size than what was sent of it.
+    """
+    names = list(dict.fromkeys([*by, *rows]))
+    own = frame.select(*names, F.coalesce(eligible, F.lit(False)).alias("_eligible"), flag(F.col(signal)).alias("_sent"))
+    drawn = masks.select("draw", *rows, flag(F.col("drawn")).alias("_drawn"))
+    met = drawn.join(own.withColumn("_in", F.lit(True)), rows, "left")
+    known = F.coalesce(F.col("_in"), F.lit(False))
+    single = met.agg(F.count_if(F.col("_drawn") & ~known).alias("outside"), F.count_if(F.col("_drawn") & known & ~F.col("_eligible")).alias("ineligible"))
+    size = own.agg(F.count("*").alias("_rows"))
+    lengths = met.groupBy("draw").agg(F.count("*").alias("_n"), F.count_distinct(*[F.when(known, F.col(c)) for c in rows]).alias("_d")).crossJoin(F.broadcast(size))  # a row a draw, and one row
+    lengths = lengths.agg(F.count_if((F.col("_n") != F.col("_rows")) | (F.col("_d") != F.col("_rows"))).alias("other_length"))
+    sent = own.groupBy(*by).agg(F.count_if(F.col("_sent") & F.col("_eligible")).alias("_want"))
+    had = met.filter(known).groupBy(*by, "draw").agg(F.count_if(F.col("_drawn") & F.col("_eligible")).alias("_had"))
+    counts = had.join(sent, by).agg(F.count_if(F.col("_had") != F.col("_want")).alias("other_count"))
+    return lengths.crossJoin(single).crossJoin(counts)  # three single rows
+
+
+def given_draws(frame: DataFrame, masks: DataFrame, eligible: Column, signal: str, by: list[str], rows: list[str] = [KEY, DATE]) -> DataFrame:  # noqa: B006
+    """The drawn rows of each given draw; an error if there is none, or if the draws break :func:`mask_violations`."""
+    require(masks.limit(1).count() > 0, "there must be at least one draw")
+    bad = {k: v for k, v in mask_violations(frame, masks, eligible, signal, by, rows).first().asDict().items() if v}
+    require(not bad, f"the given draws don't fit the frame: {bad}")
+    return frame.join(masks.filter(flag(F.col("drawn"))).select("draw", *rows), rows)
+
+
 def uniform_draws(frame: DataFrame, count: Column, by: list[str], draws: int, seed: str = "uniform") -> DataFrame:
     """Rows picked at random: ``count`` of each slice, for each draw (RND-02)."""
     place = F.row_number().over(Window.partitionBy(*by, "draw").orderBy(draw_rank(seed, [*by, DATE])))
@@ -162,17 +195,20 @@ def matched_hit_rate(frame: DataFrame, target: str, signal: str, by: list[str],
     return picked.groupBy(*by, "draw").agg(F.avg(F.col(target).cast("int")).alias("h")).groupBy(*by).agg(F.avg("h").alias("freq_matched_hit_rate"))
 
 
-def path_lift_at_risk(frame: DataFrame, target: str, signal: str, by: list[str], draws: int = 200, confidence: float = 0.95, seed: str = "lar", rho: float = LAR_RHO, scale: float = LAR_SCALE_BPS) -> DataFrame:
-    """Lift-at-risk of each slice against week-matched random sends (AGG-14, AGG-15); ``path_value_bps`` and ``path_regret_bps`` must exist."""
+def path_lift_at_risk(frame: DataFrame, target: str, signal: str, by: list[str], draws: int = 200, confidence: float = 0.95, seed: str = "lar", rho: float = LAR_RHO, scale: float = LAR_SCALE_BPS, masks: DataFrame | None = None) -> DataFrame:
+    """Lift-at-risk of each slice against random sends (AGG-14, AGG-15); ``path_value_bps`` and ``path_regret_bps`` must exist.
+
+    The sends are ``draws`` random ones of as many rows a week, or those of the given ``masks``.
+    What is looked at is written once, as its five columns are read for counts, for what was sent and for the draws.
+    """
+    named = list(dict.fromkeys([*by, *([KEY] if KEY in frame.columns else []), DATE]))
+    frame = written(frame.select(*named, target, signal, "path_value_bps", "path_regret_bps"), "paths")
     known = F.col(target).isNotNull() & F.col("path_value_bps").isNotNull() & F.col("path_regret_bps").isNotNull()
     counts = frame.groupBy(*by).agg(F.count_if(known).alias("eligible_count"), F.count_if(known & flag(F.col(signal))).alias("signal_count"), F.count_if(~known & flag(F.col(signal))).alias("excluded_signal_count"))
     eligible = frame.filter(known)
-    sent = eligible.filter(flag(F.col(signal)))
-    own = sent.groupBy(*by).agg(F.avg(F.col(target).cast("int")).alias("signal_hit_rate"), F.avg("path_value_bps").alias("signal_value_bps"))
-    own = own.join(worst_share(sent, "path_regret_bps", by, confidence, "signal_tail_regret_bps"), by)
-    picked = matched_draws(eligible, signal, by, draws, seed)
-    each = picked.groupBy(*by, "draw").agg(F.avg(F.col(target).cast("int")).alias("h"), F.avg("path_value_bps").alias("v"))
-    each = each.join(worst_share(picked, "path_regret_bps", [*by, "draw"], confidence, "r"), [*by, "draw"])
+    own = judged(eligible.filter(flag(F.col(signal))), target, by, confidence, ("signal_hit_rate", "signal_value_bps", "signal_tail_regret_bps"))
+    picked = matched_draws(eligible, signal, by, draws, seed) if masks is None else given_draws(frame, masks, known, signal, by)
+    each = judged(picked, target, [*by, "draw"], confidence, ("h", "v", "r"))
     rand = each.groupBy(*by).agg(F.avg("h").alias("random_hit_rate"), F.avg("v").alias("random_value_bps"), F.avg("r").alias("random_tail_regret_bps"))
     out = counts.join(own, by, "left").join(rand, by, "left").withColumn("lift", F.try_divide("signal_hit_rate", "random_hit_rate"))
     delta = (F.col("signal_value_bps") - F.col("random_value_bps")) - rho * (F.col("signal_tail_regret_bps") - F.col("random_tail_regret_bps"))
@@ -180,6 +216,18 @@ def path_lift_at_risk(frame: DataFrame, target: str, signal: str, by: list[str],
     return out.withColumns({"delta_utility_bps": delta, "lift_at_risk": score})
 
 
+def judged(sent: DataFrame, target: str, by: list[str], confidence: float, names: tuple[str, str, str]) -> DataFrame:
+    """Mean hit, mean value and mean worst regret of what was sent in each slice, in one pass; regrets are known and not negative."""
+    require(0 < confidence < 1, "confidence must be between 0 and 1")
+    loss = F.col("path_regret_bps")
+    loss = F.when(loss >= 0, loss).otherwise(F.raise_error(F.lit("losses must not be negative")).cast("double"))
+    slice_ = Window.partitionBy(*by)
+    ranked = sent.select(*by, F.col(target).cast("int").alias("_h"), F.col("path_value_bps").alias("_v"), loss.alias("_r"))
+    ranked = ranked.withColumns({"_n": F.count("*").over(slice_), "_k": F.row_number().over(slice_.orderBy(F.desc("_r")))})
+    worst = F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(1 - confidence) - 1e-12))
+    return ranked.groupBy(*by).agg(F.avg("_h").alias(names[0]), F.avg("_v").alias(names[1]), F.avg(F.when(F.col("_k") <= worst, F.col("_r"))).alias(names[2]))
+
+
 def evaluate_method(frame: DataFrame, target: str, signal: str, horizon: int | None, by: list[str], draws: int = 200, weekly_limit: int = 2, cooldown_days: int = 3, seed: str = "lar", scale: float = LAR_SCALE_BPS) -> DataFrame:
     """One row for each slice with all metrics (AGG-05, AGG-06); outcome, path and forward-mean columns must exist.
 

@@ -280,13 +280,18 @@ def snapshots() -> str:
   FROM (SELECT *, row_number() OVER (PARTITION BY day, currency ORDER BY effective_date DESC) AS latest FROM (SELECT day, cand.*, rec.sent FROM rec JOIN cand USING (currency, i), (SELECT unnest([{days}]) AS day) WHERE effective_date <= day)) WHERE latest = 1 AND sent AND datediff('day', effective_date, day) <= 3"""
 
 
-def lar_draws(draws: int, source: str = "paths") -> str:
-    """CTEs down to ``lar``: what was sent in each series of ``source``, and random draws of as many a week."""
+#: Given draws: of each series as many judged rows as were sent, by the MD5 of draw and key.
+GIVEN = """gelig AS (SELECT *, count(*) FILTER (WHERE signal_momentum) OVER (PARTITION BY currency) AS k FROM paths WHERE stay IS NOT NULL AND path_value IS NOT NULL),
+gpick AS (SELECT * FROM (SELECT gelig.*, draw, row_number() OVER (PARTITION BY currency, draw ORDER BY md5(concat_ws(':', 'given', draw, currency, effective_date))) AS place FROM gelig, (SELECT unnest(range(1, 21)) AS draw)) WHERE place <= k)"""
+
+
+def lar_draws(draws: int, source: str = "paths", picked: str = "dr WHERE place <= k") -> str:
+    """CTEs down to ``lar``: what was sent in each series of ``source``, and random draws of as many a week, or those ``picked``."""
     return f"""
 elig AS (SELECT *, {WEEK} AS wk FROM {source} WHERE stay IS NOT NULL AND path_value IS NOT NULL AND path_regret IS NOT NULL),
 nw AS (SELECT *, count(*) FILTER (WHERE signal_momentum) OVER (PARTITION BY currency, wk) AS k FROM elig),
 dr AS (SELECT nw.*, draw, row_number() OVER (PARTITION BY currency, draw, wk ORDER BY md5(concat_ws(':', 'lar', draw, currency, effective_date))) AS place FROM nw, (SELECT unnest(range(1, {draws + 1})) AS draw) WHERE k > 0),
-pick AS (SELECT * FROM dr WHERE place <= k),
+pick AS (SELECT * FROM {picked}),
 each AS (SELECT a.currency, a.draw, h, v, w FROM (SELECT currency, draw, avg(CAST(stay AS INTEGER)) AS h, avg(path_value) AS v FROM pick GROUP BY ALL) a JOIN {worst('pick', 'path_regret', 'currency, draw', 'w')} b USING (currency, draw)),
 rnd AS (SELECT currency, avg(h) AS random_hit_rate, avg(v) AS random_value_bps, avg(w) AS random_tail_regret_bps FROM each GROUP BY currency),
 lsent AS (SELECT currency, avg(CAST(stay AS INTEGER)) AS signal_hit_rate, avg(path_value) AS signal_value_bps FROM elig WHERE signal_momentum GROUP BY currency),
@@ -486,4 +491,7 @@ ORACLE_SQL |= {
     "cut_external": ORACLE_SQL["external_features"],
     "cut_rules": ORACLE_SQL["rule_rows"],
     "span_asof": f"SELECT {ID}, annual_reference, c.* EXCLUDE ({ID}) FROM ({ORACLE_SQL['annual_reference']}) JOIN ({ORACLE_SQL['causal_context']}) c USING ({ID})",
+    "lift_at_risk_given": q("SELECT currency, eligible_count, signal_count, excluded_signal_count, " + rounding("signal_hit_rate, signal_value_bps, signal_tail_regret_bps, random_hit_rate, random_value_bps, random_tail_regret_bps, lift, delta_utility_bps", 7) + f", round({LAR}, 7) AS lift_at_risk FROM lar", *B, T5, path(5, None, "outcomes"), GIVEN, lar_draws(1, picked="gpick")),
+    "given_violations": q("""SELECT CAST(20 AS BIGINT) AS other_length, (SELECT count(*) FROM g WHERE year(effective_date) = 1996) AS outside, (SELECT count(*) FROM g WHERE year(effective_date) = 1998) AS ineligible,
+      (SELECT count(*) FROM (SELECT currency, draw, count(*) FILTER (WHERE year(effective_date) NOT IN (1996, 1998)) AS had FROM g GROUP BY ALL) JOIN (SELECT currency, count(*) FILTER (WHERE signal_momentum AND year(effective_date) NOT IN (1996, 1998)) AS want FROM gelig GROUP BY currency) USING (currency) WHERE had <> want) AS other_count""", *B, T5, path(5, None, "outcomes"), GIVEN, "g AS (SELECT * FROM gpick WHERE draw <> 3 OR year(effective_date) <> 1997)"),
 }

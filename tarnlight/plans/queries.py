@@ -7,7 +7,7 @@ from collections.abc import Callable
 from functools import reduce
 from operator import add
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnlight.functions.frames import DATE, KEY, PRICE, full, last_rows, rank_share
@@ -240,6 +240,28 @@ def lift_at_risk_discounted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.path_lift_at_risk(own, "target_stay_not_worse_h5", "signal_momentum", [KEY], draws=200, scale=SCALE), 7)
 
 
+def _given(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Labelled rows with paths, and twenty masks over all of them: of each corridor, as many judged rows as were sent, whatever their weeks."""
+    own = written(targets.add_path_outcomes(targets.add_targets(with_baseline(spark, sf_dir), 5), 5).select(*ID, "target_stay_not_worse_h5", "path_value_bps", "path_regret_bps", "signal_momentum"), "given")
+    known = own.filter("target_stay_not_worse_h5 IS NOT NULL AND path_value_bps IS NOT NULL")
+    sent = F.count_if(F.coalesce("signal_momentum", F.lit(False))).over(Window.partitionBy(KEY))
+    drawn = metrics.uniform_draws(known, sent, [KEY], 20, "given").select("draw", *ID, F.lit(True).alias("drawn"))
+    return own, metrics.with_draws(own.select(*ID), 20).join(drawn, ["draw", *ID], "left")
+
+
+def lift_at_risk_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lift-at-risk against given draws."""
+    own, masks = _given(spark, sf_dir)
+    return rounded(metrics.path_lift_at_risk(own, "target_stay_not_worse_h5", "signal_momentum", [KEY], scale=SCALE, masks=masks), 7)
+
+
+def given_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the given draws once dates of 1996 are taken out of the frame and one draw lacks a year."""
+    own, masks = _given(spark, sf_dir)
+    known = F.col("target_stay_not_worse_h5").isNotNull() & F.col("path_value_bps").isNotNull() & (F.year(DATE) != 1998)
+    return metrics.mask_violations(own.filter(F.year(DATE) != 1996), masks.filter((F.col("draw") != 3) | (F.year(DATE) != 1997)), known, "signal_momentum", [KEY])
+
+
 def slice_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All metrics of two rules by fold, corridor and horizon: input of the report queries."""
     frame = backtest.prepare(with_baseline(spark, sf_dir), (1, 5, 10))
@@ -735,6 +757,6 @@ QUERIES: dict[str, Query] = {
         rule_rows, rule_counts, context_rule_rows, context_rule_counts, rule_screen, rule_shortlist, ensembles, policy_calendar, policy_prints, indicator_search,
         meta_decisions, explanations, push_messages, split_sizes, fold_assignment, threshold_scores, threshold_choice, logreg_scores, gbt_scores, policy_stream, rule_policy_stream, model_stability, snapshot_signals, rule_snapshots, rule_backtest,
         upsert_journal, append_journal, new_dates,
-        cut_labels, cut_features, cut_signals, cut_context, cut_external, cut_rules, span_asof,
+        lift_at_risk_given, given_violations, cut_labels, cut_features, cut_signals, cut_context, cut_external, cut_rules, span_asof,
     )},
 }

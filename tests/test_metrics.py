@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import column, days, panel
 from tarnlight.operators import metrics, targets
@@ -75,3 +76,37 @@ def test_scale_of_the_composite_score(spark):
     from tarnlight.functions.scalar import lift_at_risk
 
     assert spark.range(1).select(lift_at_risk(F.lit(1.0), F.lit(100.0), F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("x")).first()["x"] == pytest.approx(1.3)
+
+
+def masked(spark, drawn):
+    """Ten days of one corridor, of which the first two were sent and the last can't be judged, and masks by draw."""
+
+    rows = [("AAA", d, None if i == 9 else i % 2 == 0, float(i), 1.0, i < 2) for i, d in enumerate(days(10))]
+    own = spark.createDataFrame(rows, "currency string, effective_date date, t boolean, path_value_bps double, path_regret_bps double, s boolean")
+    masks = [(k, "AAA", d, i in picked) for k, picked in enumerate(drawn) for i, d in enumerate(days(10))]
+    return own, spark.createDataFrame(masks, "draw int, currency string, effective_date date, drawn boolean")
+
+
+def test_given_draws_are_judged(spark):
+    own, masks = masked(spark, [{4, 5}, {2, 3}])
+    row = metrics.path_lift_at_risk(own, "t", "s", ["currency"], masks=masks).first()
+    assert (row["signal_count"], row["signal_value_bps"], row["random_value_bps"], row["random_hit_rate"]) == (2, 0.5, 3.5, 0.5)
+
+
+@pytest.mark.parametrize("what,drawn,change", [
+    ("other_count", [{4}], None), ("ineligible", [{4, 9}], None), ("other_length", [{4, 5}], "effective_date <> date'2024-01-03'"), ("outside", [{4, 5}], "later"),
+])
+def test_given_draws_that_don_t_fit_are_refused(spark, what, drawn, change):
+    own, masks = masked(spark, drawn)
+    if change == "later":
+        masks = masks.withColumn("effective_date", F.date_add("effective_date", 100))
+    elif change:
+        masks = masks.filter(change)
+    with pytest.raises(ValueError, match=what):
+        metrics.given_draws(own, masks, F.col("t").isNotNull(), "s", ["currency"])
+
+
+def test_given_draws_must_exist(spark):
+    own, masks = masked(spark, [])
+    with pytest.raises(ValueError, match="at least one draw"):
+        metrics.given_draws(own, masks, F.col("t").isNotNull(), "s", ["currency"])
