@@ -158,20 +158,47 @@ def bmp(b: bytes, at: int) -> int | None:
     return size if size >= start + (wide * bits + 31) // 32 * 4 * abs(high) or struct.unpack_from("<I", b, at + 30)[0] else None
 
 
+def _ogg_checksums() -> tuple[int, ...]:
+    """The CRC-32 of each byte at the head of a word, by the polynomial of Ogg pages, most significant bit first."""
+    table = []
+    for byte in range(256):
+        r = byte << 24
+        for _ in range(8):
+            r = (r << 1 ^ (0x04C11DB7 if r & 0x80000000 else 0)) & 0xFFFFFFFF
+        table.append(r)
+    return tuple(table)
+
+
+OGG_CRC = _ogg_checksums()
+
+
 def ogg(b: bytes, at: int) -> int | None:
-    """Pages up to one that ends its stream."""
-    p = at
+    """The pages of one stream: one serial number, numbered in order, each with its checksum, from the first page's flag to the last page's.
+
+    A page inside a stream has no first flag, so it begins nothing: each page is walked for one stream only.
+    """
+    p, first, number = at, True, 0
+    serial = b[at + 14 : at + 18]
     while b[p : p + 4] == b"OggS" and p + 27 <= len(b) and b[p + 4] == 0:
-        count = b[p + 26]
+        flags, count = b[p + 5], b[p + 26]
         stop = p + 27 + count + sum(b[p + 27 : p + 27 + count])
-        if p + 27 + count > len(b) or stop > len(b):
+        if bool(flags & 2) != first or b[p + 14 : p + 18] != serial or p + 27 + count > len(b) or stop > len(b):
+            return None
+        if struct.unpack_from("<I", b, p + 18)[0] != number or _ogg_sum(b[p : p + 22] + bytes(4) + b[p + 26 : stop]) != struct.unpack_from("<I", b, p + 22)[0]:
             return None
-        if b[p + 5] & 4:
+        if flags & 4:
             return stop - at
-        p = stop
+        p, first, number = stop, False, number + 1
     return None
 
 
+def _ogg_sum(page: bytes) -> int:
+    r = 0
+    for x in page:
+        r = (r << 8 & 0xFFFFFFFF) ^ OGG_CRC[r >> 24 ^ x]
+    return r
+
+
 def gzip(b: bytes, at: int) -> int | None:
     """A whole deflate stream with a right trailer; output is read in slices."""
     if len(b) < at + 18 or b[at + 3] & 0xE0:

@@ -480,11 +480,47 @@ BMP = b"BM" + struct.pack("<IIIIiiHHIIiiII", 58, 0, 54, 40, 1, 1, 1, 24, 0, 4, 0
 PDF = b"%PDF-1.4\n1 0 obj\nendobj\nstartxref\n9\n%%EOF\n"
 
 
+def ogg_page(payload, flags, number, serial=7):
+    """A page with the checksum that a bit-by-bit division gives."""
+    sizes = bytes([255] * (len(payload) // 255) + [len(payload) % 255])
+    page = b"OggS\0" + bytes([flags]) + bytes(8) + struct.pack("<III", serial, number, 0) + bytes([len(sizes)]) + sizes + payload
+    r = 0
+    for x in page:
+        r ^= x << 24
+        for _ in range(8):
+            r = (r << 1 ^ (0x104C11DB7 if r & 0x80000000 else 0)) & 0xFFFFFFFF
+    return page[:22] + struct.pack("<I", r) + page[26:]
+
+
+def ogg_stream(payloads, serial=7):
+    last = len(payloads) - 1
+    return b"".join(ogg_page(p, (2 if i == 0 else 0) | (4 if i == last else 0), i, serial) for i, p in enumerate(payloads))
+
+
+def test_an_ogg_stream_is_one_medium():
+    stream = ogg_stream([b"a" * 50, b"b" * 700, b"", b"c", b"dd"])
+    assert media.find_media(b"xx" + stream + b"OggS") == [("audio/ogg", 2, len(stream))]
+    two = ogg_stream([b"a", b"b"]) + ogg_stream([b"c"], serial=9)
+    assert [m[1:] for m in media.find_media(two)] == [(0, len(ogg_stream([b"a", b"b"]))), (len(ogg_stream([b"a", b"b"])), len(ogg_stream([b"c"], 9)))]
+    wrong = [stream[:60] + b"x" + stream[61:], ogg_page(b"a", 2, 0) + ogg_page(b"b", 4, 1, serial=8), ogg_page(b"a", 2, 0) + ogg_page(b"b", 4, 2), ogg_page(b"a", 0, 0) + ogg_page(b"b", 4, 1), ogg_page(b"a", 2, 0), stream[:-1]]
+    assert all(media.find_media(w) == [] for w in wrong)
+
+
+def test_a_megabyte_of_ogg_pages_is_walked_once():
+    import time
+
+    pages = b"".join(ogg_page(b"text", 2 if i == 0 else 0, i) for i in range(3000))
+    pages += (b"OggS\0\x02" + bytes(20) + b"\0") * 30_000 + (b"OggS\0\0" + bytes(20) + b"\0") * 10_000
+    began = time.perf_counter()
+    assert media.find_media(pages) == [] and len(pages) > 1_000_000
+    assert time.perf_counter() - began < 2
+
+
 def test_media_are_found_corrected_and_carved(spark):
     packed = zlib.compressobj(wbits=31)
     gz = packed.compress(b"hello" * 50) + packed.flush()
     wav = media.to_wav(b"\x80" * 64)
-    ogg = b"OggS\x00\x06" + b"\0" * 20 + b"\x01\x05hello"
+    ogg = ogg_stream([b"hello"])
     whole = {"image/png": png_bytes(), "image/gif": GIF, "image/jpeg": JPEG, "image/bmp": BMP, "application/pdf": PDF, "application/gzip": gz, "audio/wav": wav, "audio/ogg": ogg}
     for kind, content in whole.items():
         assert media.find_media(content) == [(kind, 0, len(content))], kind
