@@ -1,13 +1,13 @@
 """Send policies: a greedy pass over each series' candidates in date order (POL-01, POL-02).
 
-Whether a candidate is sent depends on all sent before it, so each series is a fold.  The
-fold runs over an array of the series' candidate dates only (a few bytes each), in the JVM;
-series are independent and spread over the cluster.
+Whether a candidate is sent depends on what was sent shortly before it, so candidates are folded in
+order.  A candidate that comes later than both the cooldown and the week of the one before depends on nothing:
+there a series is cut, and the pieces, short arrays of dates, are folded in the JVM, spread over the cluster.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlight.functions.frames import DATE, KEY, series
@@ -15,10 +15,17 @@ from tarnlight.functions.scalar import flag
 from tarnlight.operators.validate import require
 
 
-def _accepted(frame: DataFrame, candidate: Column, fields: list[str], step, start: Column, by: list[str], name: str) -> DataFrame:
-    """``frame`` with a boolean column: the rows whose date the fold accepts."""
-    some = frame.filter(candidate).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_c"))
-    sent = some.select(*by, F.explode(F.aggregate("_c", start, step, lambda s: s.sent)).alias(DATE)).withColumn(name, F.lit(True))
+def _accepted(frame: DataFrame, candidate: Column, fields: list[str], step, start: Column, fresh: Column, by: list[str], name: str) -> DataFrame:
+    """``frame`` with a boolean column: the rows whose date the fold accepts.
+
+    ``fresh`` tells, of ``_before`` and a candidate's own fields, whether nothing sent before can matter for it: the candidate in ``_before`` is the last
+    one that could have been sent.  There the series is cut, and each piece is folded by itself.
+    """
+    order = Window.partitionBy(*by).orderBy(DATE)
+    some = frame.filter(candidate).select(*by, *fields).withColumn("_before", F.lag(F.struct(*fields)).over(order))
+    piece = F.sum(F.coalesce(fresh, F.lit(True)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    pieces = some.withColumn("_piece", piece).groupBy(*by, "_piece").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_c"))
+    sent = pieces.select(*by, F.explode(F.aggregate("_c", start, step, lambda s: s.sent)).alias(DATE)).withColumn(name, F.lit(True))
     return frame.join(sent, [*by, DATE], "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
@@ -34,13 +41,14 @@ def calendar_policy(frame: DataFrame, candidate: str, cooldown_days: int = 3, we
         ok = cold & (F.coalesce(used, F.lit(0)) < weekly_limit)
         return F.when(ok, F.struct(x[DATE].alias("last"), x["_week"].alias("week"), (F.coalesce(used, F.lit(0)) + 1).alias("n"), F.array_append(s.sent, x[DATE]).alias("sent"))).otherwise(s)
 
-    return _accepted(own, flag(F.col(candidate)), [DATE, "_week"], step, start, list(by), name).drop("_week")
+    fresh = (F.datediff(F.col(DATE), F.col(f"_before.{DATE}")) > cooldown_days) & (F.col("_week") != F.col("_before._week"))
+    return _accepted(own, flag(F.col(candidate)), [DATE, "_week"], step, start, fresh, list(by), name).drop("_week")
 
 
 def publication_policy(frame: DataFrame, candidate: str, cooldown_prints: int, max_in_7d: int = 2, by: tuple[str, ...] = (KEY,), name: str = "policy_signal") -> DataFrame:
     """More than ``cooldown_prints`` publications after the last sent, at most ``max_in_7d`` in seven days (POL-02).
 
-    Positions count all rows of a series; the fold keeps the dates sent in the last week.
+    Positions count all rows of a series.
     """
     require(cooldown_prints >= 0 and max_in_7d >= 0, "limits must not be negative")
     own = frame.withColumn("_place", F.row_number().over(series() if list(by) == [KEY] else _order(by)))
@@ -51,10 +59,9 @@ def publication_policy(frame: DataFrame, candidate: str, cooldown_prints: int, m
         ok = (s.last.isNull() | (x["_place"] - s.last > cooldown_prints)) & (recent < max_in_7d)
         return F.when(ok, F.struct(x["_place"].alias("last"), F.array_append(s.sent, x[DATE]).alias("sent"))).otherwise(s)
 
-    return _accepted(own, flag(F.col(candidate)), [DATE, "_place"], step, start, list(by), name).drop("_place")
+    fresh = (F.col("_place") - F.col("_before._place") > cooldown_prints) & (F.datediff(F.col(DATE), F.col(f"_before.{DATE}")) > 6)
+    return _accepted(own, flag(F.col(candidate)), [DATE, "_place"], step, start, fresh, list(by), name).drop("_place")
 
 
 def _order(by):
-    from pyspark.sql import Window
-
     return Window.partitionBy(*by).orderBy(DATE)

@@ -83,3 +83,36 @@ def test_explanation(spark):
     df = spark.range(1).selectExpr("true AS ml_signal", "true AS signal_level", "true AS signal_momentum", "false AS signal_seasonality", "false AS signal_reversal", "0.05D AS price_percentile", "3D AS down_streak", "null AS days_to_holiday", "null AS rebound_pct")
     r = decision.add_explanations(df).first()
     assert (r["chosen_indicator"], r["speed"], r["scenario"], r["direction"]) == ("level", "slow", "now_cheap", "down")
+
+
+def plain_calendar(dates, cooldown, limit):
+    last, used, out = None, {}, []
+    for d in sorted(dates):
+        week = d - dt.timedelta(d.weekday())
+        if (last is None or (d - last).days > cooldown) and used.get(week, 0) < limit:
+            last, used[week] = d, used.get(week, 0) + 1
+            out.append(d)
+    return out
+
+
+def plain_publication(places, cooldown, limit):
+    """places: (place, date) of candidates."""
+    out = []
+    for p, d in places:
+        if (not out or p - out[-1][0] > cooldown) and sum((d - s).days < 7 for _, s in out) < limit:
+            out.append((p, d))
+    return [d for _, d in out]
+
+
+@pytest.mark.parametrize("share,cooldown,limit", [(0.05, 3, 2), (0.3, 0, 2), (0.6, 2, 1), (0.9, 9, 3), (0.5, 1, 0)])
+def test_pieces_of_a_series_are_folded_like_the_whole(spark, share, cooldown, limit):
+    import random
+
+    rng = random.Random(int(100 * share))
+    dates = [d for d in days(300) if rng.random() < 0.8]
+    wanted = [rng.random() < share and not 90 < i < 120 for i in range(len(dates))]
+    df = candidates(spark, dates, wanted)
+    got = [d for d, s in zip(dates, sent(policy.calendar_policy(df, "c", cooldown, limit))) if s]
+    assert got == plain_calendar([d for d, w in zip(dates, wanted) if w], cooldown, limit)
+    got = [d for d, s in zip(dates, sent(policy.publication_policy(df, "c", cooldown, limit))) if s]
+    assert got == plain_publication([(i, d) for i, (d, w) in enumerate(zip(dates, wanted)) if w], cooldown, limit)
