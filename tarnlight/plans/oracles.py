@@ -494,4 +494,6 @@ ORACLE_SQL |= {
     "lift_at_risk_given": q("SELECT currency, eligible_count, signal_count, excluded_signal_count, " + rounding("signal_hit_rate, signal_value_bps, signal_tail_regret_bps, random_hit_rate, random_value_bps, random_tail_regret_bps, lift, delta_utility_bps", 7) + f", round({LAR}, 7) AS lift_at_risk FROM lar", *B, T5, path(5, None, "outcomes"), GIVEN, lar_draws(1, picked="gpick")),
     "given_violations": q("""SELECT CAST(20 AS BIGINT) AS other_length, (SELECT count(*) FROM g WHERE year(effective_date) = 1996) AS outside, (SELECT count(*) FROM g WHERE year(effective_date) = 1998) AS ineligible,
       (SELECT count(*) FROM (SELECT currency, draw, count(*) FILTER (WHERE year(effective_date) NOT IN (1996, 1998)) AS had FROM g GROUP BY ALL) JOIN (SELECT currency, count(*) FILTER (WHERE signal_momentum AND year(effective_date) NOT IN (1996, 1998)) AS want FROM gelig GROUP BY currency) USING (currency) WHERE had <> want) AS other_count""", *B, T5, path(5, None, "outcomes"), GIVEN, "g AS (SELECT * FROM gpick WHERE draw <> 3 OR year(effective_date) <> 1997)"),
+    "stream_calendar": ORACLE_SQL["policy_calendar"],
+    "stream_weeks": q(f"SELECT currency, {WEEK} AS week, count(*) FILTER (WHERE c) AS pushes FROM cand GROUP BY ALL", PANEL, sends("")),
 }

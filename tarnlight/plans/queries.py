@@ -17,6 +17,7 @@ from tarnlight.operators.signals import SIGNALS, effect_column
 from tarnlight.session import scratch_folder, written
 from tarnlight.sources import panel, sinks
 from tarnlight.sources.readers import fetch_snapshot, from_public_context, load_external, load_public_context, load_rates, parse_rate_xml, public_context_csv, text_library
+from tarnlight.streaming.event_time import event_time_policy, run_available, weekly_sends
 
 Query = Callable[[SparkSession, str], DataFrame]
 ID = [KEY, DATE]
@@ -682,6 +683,36 @@ def ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rules.with_ema(rates(spark, sf_dir).select(*ID, PRICE), (10, 60)).drop(PRICE), 4)
 
 
+# --- event-time streams ------------------------------------------------------------
+
+
+def _candidate_stream(spark: SparkSession, sf_dir: str, name: str) -> Callable[[], DataFrame]:
+    """The panel's one-fall candidates as files that arrive one by one: three parts by date, each with a few days of the next, then an end mark."""
+    own = signals.add_baseline(rates(spark, sf_dir).select(*ID, PRICE), momentum_days=1)
+    own = written(own.select(*ID, F.col("signal_momentum").alias("candidate")), name)
+    folder = scratch_folder(spark, f"{name}-arrivals")
+    first, last = own.agg(F.min(DATE), F.max(DATE)).first()
+    third = (last - first) / 3
+    # A row's place depends on its date and, up to six days around a border, on its series.
+    part = reduce(add, [(F.date_add(F.col(DATE), F.pmod(F.hash(KEY), F.lit(6)).cast("int")) > F.lit(first + k * third)).cast("int") for k in (1, 2)])
+    for k in range(3):
+        own.filter(part == k).coalesce(1).write.parquet(f"{folder}/{k}")
+    spark.createDataFrame([("~end", dt.date(2200, 1, 1), False)], own.schema).coalesce(1).write.parquet(f"{folder}/3")
+    return lambda: spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
+def stream_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calendar policy as a stream with a watermark, over all that has arrived."""
+    stream = _candidate_stream(spark, sf_dir, "stream-calendar")
+    return run_available(spark, lambda: event_time_policy(stream()), "stream-calendar").filter(F.col(KEY) != "~end")
+
+
+def stream_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates by week of event time, as a stream with a watermark."""
+    stream = _candidate_stream(spark, sf_dir, "stream-weeks")
+    return run_available(spark, lambda: weekly_sends(stream(), "candidate"), "stream-weeks").filter(F.col(KEY) != "~end")
+
+
 # --- long series in chunks, as-of joins in spans: the same rows by the other plan ----------
 
 #: Rows of a chunk, so that a series of the orders table is cut into about 20, and days of a span.
@@ -757,6 +788,6 @@ QUERIES: dict[str, Query] = {
         rule_rows, rule_counts, context_rule_rows, context_rule_counts, rule_screen, rule_shortlist, ensembles, policy_calendar, policy_prints, indicator_search,
         meta_decisions, explanations, push_messages, split_sizes, fold_assignment, threshold_scores, threshold_choice, logreg_scores, gbt_scores, policy_stream, rule_policy_stream, model_stability, snapshot_signals, rule_snapshots, rule_backtest,
         upsert_journal, append_journal, new_dates,
-        lift_at_risk_given, given_violations, cut_labels, cut_features, cut_signals, cut_context, cut_external, cut_rules, span_asof,
+        stream_calendar, stream_weeks, lift_at_risk_given, given_violations, cut_labels, cut_features, cut_signals, cut_context, cut_external, cut_rules, span_asof,
     )},
 }
