@@ -448,7 +448,7 @@ ORACLE_SQL: dict[str, str] = {
     "discovery_effect": q(f"SELECT round(avg(l), 6) AS lift_point, round(avg(b), 6) AS bps_point FROM (SELECT {LIFT.format(s='signal_momentum', t='stay')} AS l, avg(CASE WHEN signal_momentum THEN bps END) AS b, count(*) FILTER (WHERE signal_momentum) AS n, avg(CAST(stay AS INTEGER)) AS pr FROM outcomes WHERE stay IS NOT NULL GROUP BY currency) WHERE n > 0 AND pr > 0", *B, T5),
     "compact_outcomes": q("SELECT currency, effective_date, CAST(CAST(stay AS INTEGER) AS DOUBLE) AS y, round(bps, 6) AS v, round(reg, 6) AS r, round(adv, 6) AS m FROM outcomes", PANEL, targets(5) % "panel"),
     "fold_calendar": q("SELECT 'wf_' || y AS fold, 'wf_oos' AS split, make_date(y - 1, 1, 1) AS train_end, make_date(y - 1, 1, 1) AS val_start, make_date(y, 1, 1) AS val_end, make_date(y, 1, 1) AS test_start, least(make_date(y + 1, 1, 1), DATE '2000-09-01') AS test_end FROM (SELECT CAST(unnest(range(1996, 2001)) AS INTEGER) AS y), (SELECT min(effective_date) AS a FROM panel) WHERE make_date(y - 1, 1, 1) > a + INTERVAL 6 MONTH UNION ALL SELECT 'oot', 'oot', DATE '1999-09-01', DATE '1999-09-01', DATE '2000-09-01', DATE '2000-09-01', CAST(max(effective_date) + 1 AS DATE) FROM panel HAVING max(effective_date) >= DATE '2000-09-01'", PANEL),
-    "candidates": "SELECT * FROM (VALUES ('random', 'random', ''), " + ", ".join(f"('{n}', 'rule', '')" for n in NAMES) + ", ('logreg_AB', 'model', 'AB'), ('logreg_ABC', 'model', 'ABC')) t(method, kind, groups)",
+    "candidates": q("SELECT 'random' AS method, 'random' AS kind, '' AS groups, (SELECT CAST(sum(CAST(least(round_even(1.5 * w, 0), k) AS BIGINT)) AS BIGINT) FROM (SELECT greatest(datediff('day', min(effective_date), max(effective_date)) / 7.0::DOUBLE, 1) AS w, count(*) AS k FROM panel GROUP BY currency)) AS n" + "".join(f" UNION ALL SELECT '{n}', 'rule', '', (SELECT count(*) FROM signals WHERE {n})" for n in NAMES) + "".join(f" UNION ALL SELECT 'logreg_{g}', 'model', '{g}', (SELECT count(*) FROM signals WHERE {' OR '.join(f'coalesce({n}, false)' for n in NAMES)})" for g in ("AB", "ABC")), *R),
     "merged_segments": "SELECT c_mktsegment, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment",
     "feature_frame": q(f"SELECT currency, effective_date, {', '.join(NAMES[:4])}, " + rounding("down_streak, price_percentile, days_since_min, rebound_pct, ret_1, ret_3, ret_5, ret_10, ret_20, vol_20", 6) + ", days_gap AS days_to_holiday, round(slope_20, 3) AS slope_20, CAST(month(effective_date) AS DOUBLE) AS month, CAST(isodow(effective_date) - 1 AS DOUBLE) AS weekday, ext.* EXCLUDE (effective_date) FROM base JOIN (SELECT * EXCLUDE (p, r, cents, r_regionkey) FROM f2) f USING (currency, effective_date) JOIN ext USING (effective_date)", *B, FEATURES, EXTERNAL, EXT,
       f"e2 AS (SELECT *, {share('value', 'l90', 90)} AS percentile, {full('stddev_samp(ret_1)', 'ret_1', frame(20), 20, SE)} AS vol_20 FROM e1), ext AS (SELECT effective_date, " + ", ".join(f"round(max(CASE WHEN series = '{n}' THEN {c} END), 6) AS ext_{n}_{c}" for n in CTX_NAMES for c in ("ret_1", "ret_5", "percentile", "vol_20", "staleness_days")) + " FROM e2 GROUP BY effective_date)"),
@@ -496,4 +496,5 @@ ORACLE_SQL |= {
       (SELECT count(*) FROM (SELECT currency, draw, count(*) FILTER (WHERE year(effective_date) NOT IN (1996, 1998)) AS had FROM g GROUP BY ALL) JOIN (SELECT currency, count(*) FILTER (WHERE signal_momentum AND year(effective_date) NOT IN (1996, 1998)) AS want FROM gelig GROUP BY currency) USING (currency) WHERE had <> want) AS other_count""", *B, T5, path(5, None, "outcomes"), GIVEN, "g AS (SELECT * FROM gpick WHERE draw <> 3 OR year(effective_date) <> 1997)"),
     "stream_calendar": ORACLE_SQL["policy_calendar"],
     "stream_weeks": q(f"SELECT currency, {WEEK} AS week, count(*) FILTER (WHERE c) AS pushes FROM cand GROUP BY ALL", PANEL, sends("")),
+    **{name: q("SELECT CAST(effective_date AS VARCHAR) AS date, p AS value FROM context WHERE currency = 'USD'", CONTEXT) for name in ("paged_context", "paged_stream")},
 }

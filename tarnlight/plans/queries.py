@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+import os
 from collections.abc import Callable
 from functools import reduce
 from operator import add
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +20,7 @@ from tarnlight.operators import asof, backtest, decision, features, metrics, mod
 from tarnlight.operators.signals import SIGNALS, effect_column
 from tarnlight.session import scratch_folder, written
 from tarnlight.sources import panel, sinks
-from tarnlight.sources.readers import fetch_snapshot, from_public_context, load_external, load_public_context, load_rates, parse_rate_xml, public_context_csv, text_library
+from tarnlight.sources.readers import PagedJson, fetch_snapshot, from_public_context, load_external, load_public_context, load_rates, parse_rate_xml, public_context_csv, text_library
 from tarnlight.streaming.event_time import event_time_policy, run_available, weekly_sends
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -566,8 +570,11 @@ def rule_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The registry of methods."""
-    return spark.createDataFrame([(m.method_id, m.kind, "".join(m.groups)) for m in backtest.methods((("A", "B"), ("A", "B", "C")))], "method string, kind string, groups string")
+    """The registry of methods, and on how many rows of the panel each may send: a rule where it holds, a model where any rule does."""
+    registry = spark.createDataFrame([(m.method_id, m.kind, "".join(m.groups), m.signal or m.kind) for m in backtest.methods((("A", "B"), ("A", "B", "C")))], "method string, kind string, groups string, sends string")
+    own = metrics.random_signal(signals.add_has_fact(with_signals(spark, sf_dir)))
+    counts = own.agg(*[F.count_if(s).alias(s) for s in SIGNALS], F.count_if("random_signal").alias("random"), F.count_if("has_fact").alias("model")).unpivot([], [*SIGNALS, "random", "model"], "sends", "n")
+    return registry.join(counts, "sends").select("method", "kind", "groups", "n")
 
 
 # --- sources and sinks -----------------------------------------------------------------
@@ -615,6 +622,48 @@ def fetched_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*ID, "cbr_id", "nominal", "value_rub", F.round("rub_per_unit", 6).alias("rub_per_unit"))
 
 
+PAGE = 100
+
+
+def _pages(rows: DataFrame, folder: str) -> None:
+    """Rows (date, value, place) as the pages that a paged service would answer with: files in a folder that all executors mount."""
+    target = folder.removeprefix("file:")
+
+    def write(key: tuple, rows: pa.Table) -> pa.Table:
+        start = key[0].as_py() * PAGE
+        cells = sorted(zip(rows.column("place").to_pylist(), rows.column("date").to_pylist(), rows.column("value").to_pylist()))
+        os.makedirs(target, exist_ok=True)
+        Path(target, f"{start}.json").write_text(json.dumps([{"date": d, "value": v} for _, d, v in cells]), encoding="utf-8")
+        return pa.table({"start": pa.array([start], pa.int64())})
+
+    rows.groupBy(F.floor(F.col("place") / PAGE).alias("page")).applyInArrow(write, "start bigint").count()
+
+
+def _paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = panel.context(spark, sf_dir).filter("currency = 'USD'")
+    return own.select(F.col(DATE).cast("string").alias("date"), F.col(PRICE).alias("value"), (F.row_number().over(Window.orderBy(DATE)) - 1).alias("place"))  # one series
+
+
+def paged_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A paged source read by several tasks."""
+    folder = scratch_folder(spark, "pages")
+    _pages(_paged(spark, sf_dir), folder)
+    spark.dataSource.register(PagedJson)
+    return spark.read.format("paged_json").options(base=folder.removeprefix("file:"), page=PAGE, readers=4).load()
+
+
+def paged_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A paged source read as a stream that is stopped in the middle of a page and goes on once more has come."""
+    folder, out = scratch_folder(spark, "pages"), scratch_folder(spark, "paged")
+    own = written(_paged(spark, sf_dir), "paged-rows")
+    spark.dataSource.register(PagedJson)
+    stream = lambda: spark.readStream.format("paged_json").options(base=folder.removeprefix("file:"), page=PAGE).load()
+    _pages(own.filter(F.col("place") < 7 * PAGE + PAGE // 2), folder)
+    run_available(spark, stream, "paged", out)
+    _pages(own.filter(F.col("place") >= 7 * PAGE), folder)
+    return run_available(spark, stream, "paged", out)
+
+
 def csv_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_folder(spark, "csv")
     sinks.write_table(rates(spark, sf_dir).select(*ID, "available_at", "nominal", "value_rub", "rub_per_unit", "is_fresh"), folder, "csv")
@@ -788,6 +837,6 @@ QUERIES: dict[str, Query] = {
         rule_rows, rule_counts, context_rule_rows, context_rule_counts, rule_screen, rule_shortlist, ensembles, policy_calendar, policy_prints, indicator_search,
         meta_decisions, explanations, push_messages, split_sizes, fold_assignment, threshold_scores, threshold_choice, logreg_scores, gbt_scores, policy_stream, rule_policy_stream, model_stability, snapshot_signals, rule_snapshots, rule_backtest,
         upsert_journal, append_journal, new_dates,
-        stream_calendar, stream_weeks, lift_at_risk_given, given_violations, cut_labels, cut_features, cut_signals, cut_context, cut_external, cut_rules, span_asof,
+        paged_context, paged_stream, stream_calendar, stream_weeks, lift_at_risk_given, given_violations, cut_labels, cut_features, cut_signals, cut_context, cut_external, cut_rules, span_asof,
     )},
 }

@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from tarnlight.functions.scalar import reciprocal
 from tarnlight.operators.validate import require, require_columns, validate_external
@@ -117,14 +117,14 @@ class PagedJson(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _PagedReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _PagedStream(self.options)
 
-class _PagedReader(DataSourceReader):
+
+class _Pages:
     def __init__(self, options):
         self.base, self.page, self.readers = options["base"].rstrip("/"), int(options.get("page", "100")), int(options.get("readers", "1"))
 
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(k) for k in range(self.readers)]
-
     def _rows(self, start: int) -> list[dict]:
         if self.base.startswith(("http://", "https://")):
             with urlopen(f"{self.base}?start={start}", timeout=60) as answer:
@@ -132,6 +132,11 @@ class _PagedReader(DataSourceReader):
         file = Path(self.base, f"{start}.json")
         return json.loads(file.read_text(encoding="utf-8")) if file.exists() else []
 
+
+class _PagedReader(_Pages, DataSourceReader):
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(k) for k in range(self.readers)]
+
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         start = partition.value * self.page
         while rows := self._rows(start):
@@ -140,6 +145,40 @@ class _PagedReader(DataSourceReader):
             start += self.readers * self.page
 
 
+class _PagedStream(_Pages, DataSourceStreamReader):
+    """``spark.readStream``: an offset is how many rows have been seen, so a last page that fills up later loses and repeats none.
+
+    The driver asks for new pages only to count their rows; tasks read them, a page each.
+    """
+
+    seen = 0
+
+    def initialOffset(self) -> dict:
+        return {"rows": 0}
+
+    def latestOffset(self) -> dict:
+        start = self.seen - self.seen % self.page
+        while rows := self._rows(start):
+            self.seen = max(self.seen, start + len(rows))
+            if len(rows) < self.page:
+                break
+            start += self.page
+        return {"rows": self.seen}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        first, last = start["rows"], end["rows"]
+        pages = range(first - first % self.page, last, self.page)
+        return [InputPartition((p, max(first - p, 0), min(last - p, self.page))) for p in pages]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        page, first, last = partition.value
+        for r in self._rows(page)[first:last]:
+            yield r["date"], float(r["value"])
+
+    def commit(self, end: dict) -> None:
+        self.seen = max(self.seen, end["rows"])
+
+
 def load_public_context(spark: SparkSession, path: str) -> DataFrame:
     """A public-context CSV; nothing may be available before its date (SRC-06)."""
     out = spark.read.schema(CONTEXT).option("header", True).option("enforceSchema", False).csv(path)
