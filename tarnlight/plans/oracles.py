@@ -453,7 +453,7 @@ ORACLE_SQL: dict[str, str] = {
     "feature_frame": q(f"SELECT currency, effective_date, {', '.join(NAMES[:4])}, " + rounding("down_streak, price_percentile, days_since_min, rebound_pct, ret_1, ret_3, ret_5, ret_10, ret_20, vol_20", 6) + ", days_gap AS days_to_holiday, round(slope_20, 3) AS slope_20, CAST(month(effective_date) AS DOUBLE) AS month, CAST(isodow(effective_date) - 1 AS DOUBLE) AS weekday, ext.* EXCLUDE (effective_date) FROM base JOIN (SELECT * EXCLUDE (p, r, cents, r_regionkey) FROM f2) f USING (currency, effective_date) JOIN ext USING (effective_date)", *B, FEATURES, EXTERNAL, EXT,
       f"e2 AS (SELECT *, {share('value', 'l90', 90)} AS percentile, {full('stddev_samp(ret_1)', 'ret_1', frame(20), 20, SE)} AS vol_20 FROM e1), ext AS (SELECT effective_date, " + ", ".join(f"round(max(CASE WHEN series = '{n}' THEN {c} END), 6) AS ext_{n}_{c}" for n in CTX_NAMES for c in ("ret_1", "ret_5", "percentile", "vol_20", "staleness_days")) + " FROM e2 GROUP BY effective_date)"),
     "xml_rates": q("SELECT currency, effective_date, CAST(power(10, r_regionkey % 3) AS INTEGER) AS nominal, cents * CAST(power(10, r_regionkey % 3) AS BIGINT) / 100.0::DOUBLE AS value_rub, round(p, 6) AS rub_per_unit FROM panel", PANEL),
-    "fetched_rates": "SELECT r_name AS currency, CAST(DATE '2000-01-01' + CAST(k AS INTEGER) AS DATE) AS effective_date, 'R' || r_regionkey AS cbr_id, CAST(power(10, r_regionkey % 3) AS INTEGER) AS nominal, ((k * 7919 + r_regionkey * 31) % 100000 + 1) / 100.0::DOUBLE AS value_rub, round(((k * 7919 + r_regionkey * 31) % 100000 + 1) / 100.0::DOUBLE / power(10, r_regionkey % 3), 6) AS rub_per_unit FROM region, (SELECT unnest(range(366)) AS k)",
+    "fetched_rates": q("SELECT currency, effective_date, 'R' || lpad(CAST(r_regionkey AS VARCHAR), 5, '0') AS cbr_id, CAST(power(10, r_regionkey % 3) AS INTEGER) AS nominal, round(cents * CAST(power(10, r_regionkey % 3) AS BIGINT) / 100.0::DOUBLE, 2) AS value_rub, round(p, 6) AS rub_per_unit FROM panel", PANEL),
     "csv_rates": q("SELECT currency, effective_date, effective_date AS available_at, CAST(power(10, r_regionkey % 3) AS INTEGER) AS nominal, cents * CAST(power(10, r_regionkey % 3) AS BIGINT) / 100.0::DOUBLE AS value_rub, p AS rub_per_unit, true AS is_fresh FROM panel", PANEL),
     "public_csv": q("SELECT effective_date AS event_date, effective_date + 3 AS available_at, 'public' AS source, 'usd' AS series_id, CAST(cents AS DOUBLE) AS value FROM context WHERE currency = 'USD' AND cents % 7 <> 0", CONTEXT),
     "csv_external": q("SELECT series_id, event_date, available_at, value FROM external", EXTERNAL),

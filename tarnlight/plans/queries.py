@@ -608,18 +608,22 @@ def xml_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).select(*ID, "nominal", "value_rub", F.round("rub_per_unit", 6).alias("rub_per_unit"))
 
 
-def _made_xml(cbr_id: str) -> str:
-    """A year of made-up prices of one series."""
-    number = int(cbr_id[1:])
-    days = ((dt.date(2000, 1, 1) + dt.timedelta(k), (k * 7919 + number * 31) % 100_000 + 1) for k in range(366))
-    return "<ValCurs>" + "".join(f'<Record Date="{d:%d.%m.%Y}" Id="{cbr_id}"><Nominal>{10 ** (number % 3)}</Nominal><Value>{v // 100},{v % 100:02d}</Value></Record>' for d, v in days) + "</ValCurs>"
-
-
 def fetched_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A snapshot fetched series by series in tasks, here from a stand-in for the network."""
-    regions = panel.table(spark, sf_dir, "region").select("r_name", "r_regionkey").collect()
-    out = fetch_snapshot(spark, _made_xml, {r["r_name"]: f"R{r['r_regionkey']}" for r in regions}, scratch_folder(spark, "rates"))
-    return out.select(*ID, "cbr_id", "nominal", "value_rub", F.round("rub_per_unit", 6).alias("rub_per_unit"))
+    """A snapshot fetched series by series in tasks; the answers, which a network would give, are the panel's series as XML in a folder that all executors mount."""
+    folder = scratch_folder(spark, "answers").removeprefix("file:")
+    own = written(rates(spark, sf_dir).select(*ID, "cbr_id", "nominal", "value_rub"), "answers-rows")
+
+    def write(key: tuple, rows: pa.Table) -> pa.Table:
+        cells = sorted(zip(*[rows.column(c).to_pylist() for c in (DATE, "nominal", "value_rub")]))
+        records = (f'<Record Date="{d:%d.%m.%Y}" Id="{key[0].as_py()}"><Nominal>{n}</Nominal><Value>{f"{v:.2f}".replace(".", ",")}</Value></Record>' for d, n, v in cells)
+        os.makedirs(folder, exist_ok=True)
+        Path(folder, f"{key[0].as_py()}.xml").write_text(f"<ValCurs>{''.join(records)}</ValCurs>", encoding="utf-8")
+        return pa.table({"n": pa.array([len(cells)], pa.int64())})
+
+    own.groupBy("cbr_id").applyInArrow(write, "n bigint").count()
+    names = {r[KEY]: r["cbr_id"] for r in own.select(KEY, "cbr_id").distinct().collect()}
+    out = fetch_snapshot(spark, lambda cbr_id: Path(folder, f"{cbr_id}.xml").read_text(encoding="utf-8"), names, scratch_folder(spark, "rates"))
+    return out.select(*ID, "cbr_id", "nominal", F.round("value_rub", 2).alias("value_rub"), F.round("rub_per_unit", 6).alias("rub_per_unit"))
 
 
 PAGE = 100
