@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-A text longer than ``chunk`` characters is cut into overlapping chunks.  Each chunk is
+A text longer than ``chunk`` characters is cut into overlapping chunks; a shorter one is a single chunk, which needs no stitch.  Each chunk is
 pre-tokenised on its own, from a start that need not be a pre-token boundary.  In the
 overlap of two neighbours, the boundaries that both see show where the two runs
 resynchronise; the text is stitched there and each piece between two stitches is

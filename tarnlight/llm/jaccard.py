@@ -29,7 +29,7 @@ copies never multiply.
 Defined results: null, empty and white-space texts have the empty set and link with
 nothing; a text of fewer words than ``shingle`` has one shingle of all its words; rows that
 repeat an id are one node whose links are those of all its rows, with a row each in the
-result; a null id is never linked and its component is null; texts of any length are taken whole;
+result, of which those with an empty set have their own id as component; a null id is never linked and its component is null; texts of any length are taken whole;
 only the key and the text are read, so other columns may have any name.
 Shingles have 64-bit names.  A set's name has 64 bits too, and a second one tells whether it
 names different sets; those go by their second name.
@@ -453,4 +453,4 @@ def brute_force(docs: list[tuple], shingle: int = 3, num: int = 90, den: int = 1
                     low = min(label[a], label[b])
                     label[a] = label[b] = low
                     changed = True
-    return [(doc, len(s), label.get(doc)) for (doc, _), s in zip(docs, sets)]
+    return [(doc, len(s), label.get(doc) if s else doc) for (doc, _), s in zip(docs, sets)]

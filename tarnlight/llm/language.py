@@ -4,10 +4,11 @@ For each language, labelled text makes a suffix automaton.  A text is parsed int
 each the longest match from where it stands; the language that needs fewest phrases wins.
 ``phrases * log2(length of the labelled text) / characters`` estimates the cross entropy in bits a character.
 
-Fitting is bounded and documented: at most ``DOCS`` distinct labelled texts of a language (those
+Fitting is bounded and documented: at most ``DOCS`` distinct labelled texts of a language are drawn (those
 whose hash is least within a share of them that is drawn by hash), a window of ``CHARS_EACH``
-characters at a hashed place of each (more where the texts are few), ``CHARS`` in all;
-every character seen in them is a symbol of its own.  Prediction parses
+characters at a hashed place of each (more where the texts are few). The windows are put together in
+that order and the first ``CHARS`` characters are learned from, so of many texts about ``CHARS / CHARS_EACH``;
+every character in them is a symbol of its own.  Prediction parses
 every whole text.  Long texts are parsed in segments of ``SEGMENT`` characters at once, each from
 ``WARM`` characters before it; where the parse so begun does not stand in the state in which the
 segment before has ended, the segment is parsed again from that state.  So the phrases are

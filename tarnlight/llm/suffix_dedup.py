@@ -17,6 +17,9 @@ belong to equal prefixes wherever they stand, and the starts of one prefix are o
   decided, and is dropped.
 * Rerank 2 sorts the 50-byte ranks (as a pair of names: 128 bits) of the starts that are left.
 
+Within a batch, documents of a stretch are found by its 64-bit rank alone.  The stretches of one 24-byte prefix meet in one
+task in rerank 1, as a row for each batch of texts and different surrounding: a prefix in very many surroundings is a hot key.
+
 Defined results: null and empty texts have no bytes; a document shorter than ``LENGTH``
 loses nothing; rows that repeat a number are one document in the comparison and get a row
 each; rows without a number lose nothing and are compared with nothing; other columns are

@@ -14,8 +14,8 @@ responses; ids and URLs of any characters fit into one header line (a URL's whit
 control characters read back as ``%XX``, a null URL as ``about:blank``); payloads of any length
 are one record; extra columns are not read; an empty table gives no archives.
 
-The dictionary is trained on evenly spread pieces of all of an archive's records, however
-large those are.  Where training finds nothing in common (or sees too little) the dictionary is
+The dictionary is trained on pieces at even distances through an archive's records, ``TRAINING_BYTES`` in all, however
+large those are; of many records, not every one gives a piece.  Where training finds nothing in common (or sees too little) the dictionary is
 the pieces' raw bytes; only archives below ``8 * MIN_DICTIONARY`` bytes have none.
 
 Scale: equal payloads meet by hash; only (hash, largest id) of hashes that occur twice is
@@ -100,7 +100,7 @@ def build_record(key, url: str | None, payload: bytes, refers_to, record_type: s
 
 
 def training_pieces(records: list[bytes]) -> list[bytes]:
-    """Pieces of at most ``PIECE_BYTES``, evenly spread over all records, ``TRAINING_BYTES`` in all."""
+    """Pieces of at most ``PIECE_BYTES`` at even distances through the records, ``TRAINING_BYTES`` in all."""
     places = [(k, at) for k, r in enumerate(records) for at in range(0, len(r), PIECE_BYTES)]
     step = max(1.0, sum(map(len, records)) / TRAINING_BYTES)
     chosen = (places[int(i * step)] for i in range(int(len(places) / step)))

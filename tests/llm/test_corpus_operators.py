@@ -307,6 +307,13 @@ def test_search_tables_take_bounded_memory():
 # --- 6 ---------------------------------------------------------------------------
 
 
+def test_jaccard_rows_that_repeat_an_id_with_and_without_words(spark):
+    rows = [(5, "a b c d e"), (78, "A b c d e"), (78, ""), (78, None), (9, " ")]
+    out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=3, num=90, den=100)
+    assert sorted(map(tuple, out.collect())) == sorted(jaccard.brute_force(rows)) == [(5, 3, 5), (9, 0, 9), (78, 0, 78), (78, 0, 78), (78, 3, 5)]
+
+
+
 @pytest.mark.parametrize("limit", [None, 0, 40])
 def test_jaccard_equals_brute_force(docs, corpus, limit):
     out = jaccard.jaccard_components(with_clashes(docs), shingle=3, num=90, den=100, limit=limit)
