@@ -1,11 +1,14 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-A text longer than ``chunk`` characters is cut into overlapping chunks; a shorter one is a single chunk, which needs no stitch.  Each chunk is
+A text longer than ``INNER[0]`` characters is cut into overlapping chunks; a shorter one is a single chunk, which needs no stitch.  Each chunk is
 pre-tokenised on its own, from a start that need not be a pre-token boundary.  In the
 overlap of two neighbours, the boundaries that both see show where the two runs
 resynchronise; the text is stitched there and each piece between two stitches is
 encoded as an independent row.  Decoding concatenates the raw bytes of the ids.
 
+A text of at most ``CHUNK`` characters is cut, stitched and encoded in the task that has read it, so it is never
+shuffled; the chunks of a longer one, which are longer too, are rows that spread over the cluster.
+
 Where an overlap holds no common boundary (a word longer than it), only the chunks on its two
 sides become one chunk, which is pre-tokenised again and stitched to its neighbours; this repeats
 until all stitches hold.  Such a chunk is cut at its own boundaries before it is encoded, so
@@ -30,8 +33,8 @@ from pyspark.sql import types as T
 
 from tarnlight.llm.shared import StepTables, batches, utf8
 
-CHUNK = 65_536
-OVERLAP = 1_024
+INNER = (8_192, 256)  #: chunk and overlap within a task
+CHUNK, OVERLAP = 65_536, 1_024  #: of texts whose chunks are rows
 
 
 @lru_cache(maxsize=4)
@@ -76,6 +79,36 @@ def _encode(cells: list[bytes | None], path: str, pattern: str) -> list[list[int
     return [encode(_text(c)) for c in cells]
 
 
+def _encode_cut(cells: list[bytes | None], path: str, pattern: str, chunk: int, overlap: int) -> list[list[int]]:
+    """As :func:`_encode`, of texts longer than ``chunk`` by their :func:`pieces`."""
+    encode, out = _encoding(path, pattern).encode_ordinary, []
+    for cell in cells:
+        text = _text(cell)
+        out.append(encode(text) if len(text) <= chunk else [i for piece in pieces(text, pattern, chunk, overlap) for i in encode(piece)])
+    return out
+
+
+def pieces(text: str, pattern: str, chunk: int, overlap: int) -> list[str]:
+    """A text cut where the pre-tokens of neighbouring chunks resynchronise; chunks without a common boundary become one."""
+    spans = [(first, min(first + chunk + overlap, len(text))) for first in range(0, max(len(text) - overlap, 1), chunk)]
+    seen = {span: [span[0] + e for e in boundaries(text[slice(*span)], pattern)] for span in spans}
+    starts, k = [0], 1
+    while k < len(spans):
+        before, own = spans[k - 1], spans[k]
+        common = {e for e in seen[before] if e >= own[0]}.intersection(seen[own])
+        if common:
+            starts.append(min(common))
+            k += 1
+            continue
+        whole = (before[0], own[1])
+        seen[whole] = [whole[0] + e for e in boundaries(text[slice(*whole)], pattern)]
+        spans[k - 1 : k + 1] = [whole]
+        if k > 1:  # its stitch to the chunk before is looked for again
+            k -= 1
+            starts.pop()
+    return [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)])]
+
+
 def decode_ids(ids, path: str) -> bytes:
     """The raw bytes of ids, concatenated."""
     return b"".join(map(_token_bytes(path).__getitem__, ids))
@@ -169,28 +202,29 @@ def _pieces(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from batches(rows(), schema)
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, inner: tuple[int, int] = INNER) -> DataFrame:
     """(key, ids): the ids of each text, one row per input row.
 
-    ``ranks`` is a file of ``base64-token rank`` lines; it must be readable on executors.
+    ``ranks`` is a file of ``base64-token rank`` lines; it must be readable on executors.  Texts longer than ``chunk`` characters
+    are cut into rows with ``overlap``; others, where longer than ``inner[0]``, in their task with the overlap ``inner[1]``.
     """
-    return _coded(docs, ranks, pattern, key, text, chunk, overlap, digest=False)
+    return _coded(docs, ranks, pattern, key, text, chunk, overlap, inner, digest=False)
 
 
-def encode_digest(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode_digest(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, inner: tuple[int, int] = INNER) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256): encodes, decodes the ids, and keeps only digests.
 
-    The ids of a text that fits one chunk never leave the worker that made them.
+    The ids of a text of at most ``chunk`` characters never leave the worker that made them.
     """
-    return _coded(docs, ranks, pattern, key, text, chunk, overlap, digest=True)
+    return _coded(docs, ranks, pattern, key, text, chunk, overlap, inner, digest=True)
 
 
 def _digest(ids: list[int], ranks: str) -> tuple[int, str, str]:
     return (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decode_ids(ids, ranks)).hexdigest())
 
 
-def _coded(docs: DataFrame, ranks: str, pattern: str, key: str, text: str, chunk: int, overlap: int, digest: bool) -> DataFrame:
-    if not 0 < overlap <= chunk:
+def _coded(docs: DataFrame, ranks: str, pattern: str, key: str, text: str, chunk: int, overlap: int, inner: tuple[int, int], digest: bool) -> DataFrame:
+    if not (0 < overlap <= chunk and 0 < inner[1] <= inner[0]):
         raise ValueError("overlap must be positive and at most chunk")
     kind = docs.schema[key].dataType
     key_out = T.StructField("key", kind)
@@ -204,7 +238,7 @@ def _coded(docs: DataFrame, ranks: str, pattern: str, key: str, text: str, chunk
         for batch in source:
             keys, cells = batch.column(0), utf8(batch.column(1))
             for at in range(0, len(cells), 512):
-                made = [result(ids) for ids in _encode(cells[at : at + 512], ranks, pattern)]
+                made = [result(ids) for ids in _encode_cut(cells[at : at + 512], ranks, pattern, *inner)]
                 columns = [pa.array(c, t) for c, (_, t) in zip(zip(*made), out_arrow)]
                 yield pa.RecordBatch.from_arrays([keys.slice(at, 512), *columns], names=["key", *[n for n, _ in out_arrow]])
 

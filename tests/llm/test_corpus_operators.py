@@ -104,6 +104,35 @@ def test_bpe_of_texts_without_spaces(spark):
     assert {r["doc_id"]: r["ids"] for r in bpe.encode(short, ranks, pattern, chunk=100, overlap=20).collect()} == want
 
 
+def hostile_texts(rng):
+    words = ["word", "don't", "we'll", "x" * 40, "  ", "\n\n", "\t", "1234567", "…!?", "é", "漢字", "a b", "'s", " '", "\u00a0"]
+    return ["".join(rng.choice(words) + rng.choice(["", " ", " ", "  "]) for _ in range(rng.choice([3, 30, 200]))) for _ in range(60)] + ["", " " * 90, "z" * 300, "z" * 100 + " " + "y" * 100]
+
+
+@pytest.mark.parametrize("chunk,overlap", [(5, 5), (16, 8), (60, 20)])
+def test_bpe_pieces_within_a_task_equal_the_library(spark, chunk, overlap):
+    ranks, pattern = queries.tokenizer()
+    encode = bpe._encoding(ranks, pattern).encode_ordinary
+    texts = hostile_texts(random.Random(chunk))
+    cut = [bpe.pieces(t, pattern, chunk, overlap) for t in texts]
+    assert all("".join(p) == t for p, t in zip(cut, texts)) and sum(len(p) > 1 for p in cut) > 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    out = {r["doc_id"]: list(r["ids"]) for r in bpe.encode(docs, ranks, pattern, inner=(chunk, overlap)).collect()}
+    assert out == {i: encode(t) for i, t in enumerate(texts)}
+
+
+def test_bpe_ids_of_long_texts_at_production_sizes(spark, corpus):
+    ranks, pattern = queries.tokenizer()
+    rng = random.Random(6)
+    words = [w for _, t in pairs(corpus) for w in (t or "").split()]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (2_500, 9_000, 50_000)]
+    assert len(texts[0]) > bpe.INNER[0] and len(texts[2]) > 200_000
+    assert all(len(bpe.pieces(t, pattern, *bpe.INNER)) > 1 for t in texts[:2])
+    out = {r["doc_id"]: r["ids_sha256"] for r in bpe.encode_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), ranks, pattern).collect()}
+    encode = bpe._encoding(ranks, pattern).encode_ordinary
+    assert out == {i: hashlib.sha256(" ".join(map(str, encode(t))).encode()).hexdigest() for i, t in enumerate(texts)}
+
+
 def test_bpe_refuses_a_bad_overlap(docs):
     with pytest.raises(ValueError):
         bpe.encode(docs, *queries.tokenizer(), chunk=10, overlap=20)
