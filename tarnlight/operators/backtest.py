@@ -61,11 +61,11 @@ def meta_policy(predictions: DataFrame, allowed: tuple[str, ...] = SIGNALS, cool
     return calendar_policy(out, "candidate_signal", cooldown_days, weekly_limit)
 
 
-def prepare(frame: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+def prepare(frame: DataFrame, horizons: tuple[int, ...], rows: int | None = None) -> DataFrame:
     """Labels and outcomes of every horizon on the full history, before any split."""
     out = frame
     for h in horizons:
-        out = add_customer_outcomes(add_targets(out, h), h)
+        out = add_customer_outcomes(add_targets(out, h, rows), h, rows)
     return out
 
 

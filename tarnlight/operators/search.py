@@ -128,12 +128,12 @@ class Found:
     test: DataFrame
 
 
-def indicator_search(panel: DataFrame, folds: list[Fold], target: str, horizon: int, screening: Screening = Screening(), cooldowns: tuple[int, ...] = (1, 2, 3, 5)) -> list[Found]:
+def indicator_search(panel: DataFrame, folds: list[Fold], target: str, horizon: int, screening: Screening = Screening(), cooldowns: tuple[int, ...] = (1, 2, 3, 5), rows: int | None = None) -> list[Found]:
     """For each fold: choose on its validation rows, then apply the choice once to its test rows.
 
     The driver sees a shortlist and one winner a fold; everything else stays distributed.
     """
-    frame, rules = add_rules(panel)
+    frame, rules = add_rules(panel, rows=rows)
     frame = written(frame, "rules")
     family = {r.rule_id: r.family for r in rules}
     out = []

@@ -35,10 +35,10 @@ def build_frame(spark: SparkSession, config: dict) -> DataFrame:
     external = _load(spark, config["external"], readers.load_external) if config.get("external") else None
     holidays = spark.read.option("header", True).schema("country string, holiday date").csv(config["holidays"]) if config.get("holidays") else None
     country = F.create_map(*[F.lit(x) for kv in config["countries"].items() for x in kv])[F.col(KEY)] if config.get("countries") else None
-    out = features.add_features(panel, context, external, holidays, country)
+    out = features.add_features(panel, context, external, holidays, country, rows=config.get("series_rows"), days=config.get("span_days"))
     if config.get("public_context"):
         out = asof.causal_context(out, _load(spark, config["public_context"], readers.load_public_context))
-    return add_has_fact(backtest.prepare(out, tuple(config.get("horizons", (config.get("horizon", 5),)))))
+    return add_has_fact(backtest.prepare(out, tuple(config.get("horizons", (config.get("horizon", 5),))), config.get("series_rows")))
 
 
 def folds_of(frame: DataFrame, config: dict) -> list[splits.Fold]:
@@ -109,7 +109,7 @@ def run_search(spark: SparkSession, config: dict) -> str:
     frame = build_frame(spark, config)
     horizon = int(config.get("horizon", 5))
     target = targets.target_column(config.get("target", "stay_not_worse"), horizon)
-    found = search.indicator_search(frame, folds_of(frame, config), target, horizon, search.Screening(**config.get("screening", {})), tuple(config.get("cooldown_prints", (1, 2, 3, 5))))
+    found = search.indicator_search(frame, folds_of(frame, config), target, horizon, search.Screening(**config.get("screening", {})), tuple(config.get("cooldown_prints", (1, 2, 3, 5))), config.get("series_rows"))
     screening = tests = None
     for f in found:
         screening = f.screening if screening is None else screening.unionByName(f.screening)

@@ -162,3 +162,14 @@ def test_the_shortlist_is_the_same_in_every_layout(spark, sf_dir, adaptive):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_all_features_in_chunks_and_spans(spark, long):
+    rng = random.Random(9)
+    found = [(c, d, 50 + rng.random()) for c in ("USD", "EUR", "CNY") for d in days(700) if rng.random() < 0.6]
+    context = spark.createDataFrame(found, "currency string, effective_date date, rub_per_unit double")
+    holidays = spark.createDataFrame([("XX", START + dt.timedelta(n)) for n in (3, 100, 400)], "country string, holiday date")
+    facts = [(d, d + dt.timedelta(2), "s", "oil", 10 + rng.random()) for d in days(500) if rng.random() < 0.5]
+    external = spark.createDataFrame(facts, "event_date date, available_at date, source string, series_id string, value double")
+    whole, cut = (features.add_features(long, context, external, holidays, F.lit("XX"), rows=r, days=d) for r, d in ((None, None), (150, 60)))
+    same(whole, cut)
