@@ -73,6 +73,39 @@ def test_scores_beyond_64_bits_are_exact(spark):
     assert all(x["s"] == 10**6 * x["a"] ** 2 // (x["l"] * x["r"]) for x in out)
 
 
+def test_phrases_become_rows_once_a_stretch(spark):
+    """Not once an occurrence: each row costs CPU time from its making to its sum."""
+    docs = spark.createDataFrame([("en", "of the " * 5_000)] * 8, "_lang string, _text string").coalesce(1)
+    rows = {bytes(r["_key"]): r["_f"] for r in collocations.phrases(docs, (0, 1, 2, 3)).collect()}
+    assert rows == {b"\nen": 80_000, b"of\nen": 40_000, b"the\nen": 40_000, b"of the\nen": 40_000, b"the of\nen": 39_992, b"of the of\nen": 39_992, b"the of the\nen": 39_992}
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 1 << 20])
+def test_stretches_cut_no_phrase(spark, size):
+    rng = random.Random(size)
+    texts = ["", "ab", "AB", "cd\x00e f", " \t", ".", "É é,É é", "x y z " * 30, "one piece, two  pieces!\nthree\tand\x0bfour"]
+    rows = [(rng.choice(["en", "", "e n\n", "und", None]), rng.choice([*texts, None])) for _ in range(200)]
+    docs = spark.createDataFrame(rows, "lang string, text string").selectExpr("coalesce(lang, 'und') _lang", "text _text").filter("_text IS NOT NULL").coalesce(2)
+    found = Counter()
+    for r in collocations.phrases(docs, (0, 1, 2, 4), size).collect():
+        found[bytes(r["_key"])] += r["_f"]
+    want = Counter()
+    for lang, text in rows:
+        for piece in re.split(r"[.,;:!?\x0a-\x0d]", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")):
+            w = [x for x in re.split(r"[ \t]", piece) if x]
+            for m in (0, 1, 2, 4):
+                want.update((" ".join(w[i : i + m]) + "\n" + ("und" if lang is None else lang)).encode() for i in range(len(w) - max(m, 1) + 1))
+    assert found == want
+
+
+def test_wide_phrases_keep_their_words(spark):
+    """Numbers of long phrases are made anew before they pass 64 bits."""
+    words = [f"w{i}" for i in range(3000)]
+    docs = spark.createDataFrame([("en", " ".join(words))] * 2, "_lang string, _text string").coalesce(1)
+    rows = {bytes(r["_key"]).decode(): r["_f"] for r in collocations.phrases(docs, (9,)).collect()}
+    assert rows == {" ".join(words[i : i + 9]) + "\nen": 2 for i in range(2992)}
+
+
 # --- whitening ----------------------------------------------------------------
 
 
